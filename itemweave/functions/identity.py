@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def stripped(text: Column) -> Column:
     """Lower case, letters and digits only; null counts as empty."""
-    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", ""))
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "")
 
 
 def option_values(options: Column) -> Column:
