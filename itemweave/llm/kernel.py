@@ -70,13 +70,21 @@ def trigrams(texts: list[str], owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def distinct(gram: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct grams of each owner, and the n + 1 offsets of the owners."""
-    order = np.lexsort((gram, owner))
-    gram, owner = gram[order], owner[order]
-    new = np.ones(len(gram), bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
-    gram, owner = gram[new], owner[new]
-    return gram, np.searchsorted(owner, np.arange(n + 1))
+    """Sorted distinct grams of each of n < 4096 owners as 52-bit values, and the n + 1 offsets of the owners."""
+    packed = np.sort((owner.astype(np.uint64) << np.uint64(52)) | (mix64(gram) >> np.uint64(12)))
+    if len(packed):
+        packed = packed[np.r_[True, packed[1:] != packed[:-1]]]
+    off = np.searchsorted(packed >> np.uint64(52), np.arange(n + 1, dtype=np.uint64))
+    return packed & np.uint64(0xFFFFFFFFFFFFF), off
+
+
+def distinct_sizes(gram: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """The number of distinct grams (52-bit values of distinct()) of each owner."""
+    packed = np.sort((owner.astype(np.uint64) << np.uint64(52)) | gram)
+    if not len(packed):
+        return np.zeros(n, np.int64)
+    packed = packed[np.r_[True, packed[1:] != packed[:-1]]]
+    return np.bincount((packed >> np.uint64(52)).astype(np.int64), minlength=n)
 
 
 def hyperminhash(gram: np.ndarray, owner: np.ndarray, n: int, seeds: int, bits: int, mantissa: int) -> np.ndarray:

@@ -25,6 +25,7 @@ ROWS = 6  # registers to a band: 42 bands
 SKETCH_SEEDS, SKETCH_MANTISSA = 1, 4  # registers used for the estimate
 THRESHOLD = 0.6
 SLACK = 0.2  # an estimate is off by less than this, 3 standard deviations of 64 registers
+BUCKET_CAP = 1024  # contents of a bucket paired in one task; larger buckets are paired by a distributed join
 BROADCAST_IDS = 2_000_000  # content keys (8 bytes each) that may be broadcast to pick the texts to verify
 _CHUNK = 2000
 
@@ -65,6 +66,59 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(packed.ravel()), pa.array(np.repeat(key[first], b))], ["band", "content"])
 
 
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the contents of each bucket from rows sorted by (band, content): (-1, a, b).
+
+    Holds at most one bucket up to BUCKET_CAP contents. The members of larger buckets pass through as (band, content, null).
+    """
+    band_left, left, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+    def rows(bands, a, b):
+        mask = np.zeros(len(a), bool) if b is not None else np.ones(len(a), bool)
+        return pa.RecordBatch.from_arrays([pa.array(bands), pa.array(a), pa.array(a if b is None else b, mask=mask)], ["band", "a", "b"])
+
+    def finish(band, content):
+        starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]]) if len(band) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(band)])
+        out_a, out_b = [], []
+        for m in np.unique(sizes[sizes > 1]):
+            i, j = np.triu_indices(int(m), 1)
+            at = starts[sizes == m]
+            step = max(1, 2_000_000 // len(i))
+            for k in range(0, len(at), step):
+                out_a.append(content[(at[k : k + step, None] + i).ravel()])
+                out_b.append(content[(at[k : k + step, None] + j).ravel()])
+        for a, b in zip(out_a, out_b):
+            yield rows(np.full(len(a), -1, np.int64), a, b)
+
+    for batch in batches:
+        band = np.concatenate([band_left, batch.column("band").to_numpy()])
+        content = np.concatenate([left, batch.column("content").to_numpy()])
+        new = np.ones(len(band), bool)
+        new[1:] = (band[1:] != band[:-1]) | (content[1:] != content[:-1])
+        band, content = band[new], content[new]
+        if large is not None:
+            still = band == large
+            if still.any():
+                yield rows(band[still], content[still], None)
+            band, content = band[~still], content[~still]
+            if len(band):
+                large = None
+        starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]]) if len(band) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(band)])
+        for at, m in zip(starts[sizes > BUCKET_CAP], sizes[sizes > BUCKET_CAP]):
+            yield rows(band[at : at + m], content[at : at + m], None)
+        if len(sizes) and sizes[-1] > BUCKET_CAP:
+            large = band[-1]
+        small = np.repeat(sizes <= BUCKET_CAP, sizes)
+        last = np.zeros(len(band), bool)
+        if len(starts):
+            last[starts[-1] :] = True
+        yield from finish(band[small & ~last], content[small & ~last])
+        band_left, left = band[small & last], content[small & last]
+    yield from finish(band_left, left)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _chunks(batches):
         texts, owner, n = _flat(batch)
@@ -115,7 +169,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams.append(gram)
             owners.append(np.repeat(np.arange(n), np.diff(off)))
         size = sum(np.bincount(o, minlength=n) for o in owners)
-        either = np.diff(K.distinct(np.concatenate(grams), np.concatenate(owners), n)[1])
+        either = K.distinct_sizes(np.concatenate(grams), np.concatenate(owners), n)
         jaccard = (size - either) / np.maximum(either, 1)
         good = pa.array(jaccard >= THRESHOLD)
         yield pa.RecordBatch.from_arrays(
@@ -134,9 +188,11 @@ def content_links(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, item, content) has every question; links (a, b, jaccard), a < b, every verified pair of contents."""
     items = _items(questions)
     parts = items.select("parts")
-    bands = parts.mapInArrow(_bands, "band long, content long").repartition("band").dropDuplicates(["band", "content"])
-    left, right = bands.select("band", F.col("content").alias("a")), bands.select("band", F.col("content").alias("b"))
-    candidates = left.join(right, "band").filter("a < b").select("a", "b").distinct()
+    bands = parts.mapInArrow(_bands, "band long, content long").repartition("band").sortWithinPartitions("band", "content")
+    paired = written(bands.mapInArrow(_paired, "band long, a long, b long"), "p7-paired")
+    large = paired.filter("b is null").select("band", "a").distinct()
+    wide = large.join(large.select("band", F.col("a").alias("b")), "band").filter("a < b").select("a", "b")
+    candidates = paired.filter("b is not null").select("a", "b").unionByName(wide).distinct()
     members = written(items.mapInArrow(_sketches, "id string, item long, content long, sketch binary"), "p7-members")
     sketch = members.select("content", "sketch").dropDuplicates(["content"])
     plausible = (

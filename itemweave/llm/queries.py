@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from itemweave.llm import format_dups, near_dups
+from itemweave.llm import format_dups, lookalike, near_dups, site_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,7 +39,7 @@ def p3_deduplicated(questions):
 
 _ITEM = r"""
 select id, source, regexp_replace(lower(coalesce(stem, '')), '[^\p{L}\p{N}]+', '', 'g') || chr(31) || array_to_string(list_sort(
-  list_transform(coalesce(map_values(options), []), x -> regexp_replace(lower(coalesce(x, '')), '[^\p{L}\p{N}]+', '', 'g'))), chr(31)) as item
+  list_transform(coalesce(map_values(options), []), lambda x: regexp_replace(lower(coalesce(x, '')), '[^\p{L}\p{N}]+', '', 'g'))), chr(31)) as item
 from questions"""
 
 SQL["p3_found"] = f"""
@@ -59,3 +59,62 @@ def p7_found(questions):
 @_on("questions")
 def p7_groups(questions):
     return near_dups.near_duplicate_groups(questions)
+
+
+@_on("questions")
+def p5_found(questions):
+    return lookalike.found(questions)
+
+
+@_on("questions")
+def p5_consistent(questions):
+    return lookalike.consistent_texts(questions)
+
+
+@_on("questions")
+def p6_found(questions):
+    return site_lines.excessive_places(questions)
+
+
+@_on("questions")
+def p6_cleaned(questions):
+    return site_lines.without_site_lines(questions).select("id", "source", "stem", "explanation")
+
+
+_SPACE = r"[\t\x0B\f\r\x{85}\p{Z}]+"
+_LINES = f"""
+cells as (select id, source, 'stem' as field, stem as text from questions union all select id, source, 'explanation', explanation from questions),
+raw as (select id, source, field, unnest(string_split(text, chr(10))) as line, unnest(generate_series(1, len(string_split(text, chr(10))))) as line_no
+  from cells where source is not null and text is not null),
+lines as (select id, source, field, line_no, trim(regexp_replace(line, '{_SPACE}', ' ', 'g')) as line from raw),
+totals as (select source, count(*) as total from questions where source is not null group by source),
+often as (select l.source, l.line from lines l join totals t using (source) where l.line <> ''
+  group by l.source, l.line, t.total having count(distinct l.id) >= 3 and count(distinct l.id) * 20 >= t.total)"""
+
+SQL["p6_found"] = f"""
+with {_LINES} select distinct l.id, l.field, cast(l.line_no as integer) as line_no from lines l join often o on l.source = o.source and l.line = o.line"""
+
+SQL["p6_cleaned"] = f"""
+with {_LINES}, kept as (select r.id, r.field, coalesce(string_agg(r.line, chr(10) order by r.line_no)
+    filter (where (r.source, trim(regexp_replace(r.line, '{_SPACE}', ' ', 'g'))) not in (select source, line from often)), '') as text
+  from raw r group by r.id, r.field)
+select q.id, q.source, case when q.source is null or q.stem is null then q.stem else s.text end as stem,
+  case when q.source is null or q.explanation is null then q.explanation else e.text end as explanation
+from questions q left join kept s on s.id = q.id and s.field = 'stem' left join kept e on e.id = q.id and e.field = 'explanation'"""
+
+
+def _p5_sql() -> str:
+    """The case definition as one character class, from the same tables, plus small Greek look-alikes beside Latin letters."""
+    flag, near = lookalike._tables()["flag"], sorted(lookalike._tables()["near"])
+    edges = np.flatnonzero(np.diff(np.r_[False, flag, False].astype(np.int8)))
+    ranges = "".join(f"\\x{{{a:X}}}-\\x{{{b - 1:X}}}" for a, b in edges.reshape(-1, 2) if not 0xD800 <= a <= 0xDFFF)
+    greek = "".join(f"\\x{{{ord(x):X}}}" for x in near)
+    pattern = f"[{ranges}]|[{greek}][A-Za-z]|[A-Za-z][{greek}]"
+    cells = " union all ".join(
+        f"select id, '{n}' as field, {c} as text from questions"
+        for n, c in [("stem", "stem"), ("explanation", "explanation"), *((f"shared-option-{k}", f"shared_options['{k}']") for k in "ABCDE")]
+    )
+    return f"select distinct id, field from ({cells}) where regexp_matches(text, '{pattern}')"
+
+
+SQL["p5_found"] = _p5_sql()
