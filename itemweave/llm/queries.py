@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from itemweave.llm import format_dups, lookalike, near_dups, site_lines
+from itemweave.llm import contamination, format_dups, lookalike, mixing, near_dups, site_lines, splitting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -118,3 +118,33 @@ def _p5_sql() -> str:
 
 
 SQL["p5_found"] = _p5_sql()
+
+
+@_on("documents", "eval_items")
+def p8_found(documents, items):
+    return contamination.leaks(documents, items)
+
+
+@_on("documents", "eval_items")
+def p8_leaked_items(documents, items):
+    return contamination.leaked_items(documents, items)
+
+
+@_on("documents", "mix_targets")
+def p9_mixture(documents, targets):
+    return mixing.mixed(documents, targets)
+
+
+@_on("documents", "mix_targets")
+def p9_report(documents, targets):
+    return mixing.report(documents, targets)
+
+
+@_on("documents", "split_limits")
+def p10_found(documents, limits):
+    return splitting.oversized(documents, limits)
+
+
+@_on("documents", "split_limits")
+def p10_pieces(documents, limits):
+    return splitting.pieces(documents, limits)
