@@ -40,12 +40,20 @@ def cuts(ends: np.ndarray, cost: np.ndarray, limit: int, overlap: int) -> list[i
     mean = (n - overlap) / pieces + overlap
     allowed = np.flatnonzero(ends >= 0) + 1  # a cut after a token that ends a character
     price = cost[ends[allowed - 1]]
-    for worst in (*PENALTIES[2:], np.inf):  # the weaker boundaries only where the stronger leave a gap too wide to bridge
-        keep = (price <= worst) | (allowed == n)
-        at, c = allowed[keep], price[keep]
-        gaps = np.diff(np.r_[overlap, at])
-        if len(at) and at[-1] == n and gaps.max() <= step // 2:
+    keep = (price <= PENALTIES[2]) | (allowed == n)
+    for level in (*PENALTIES[3:5], None):  # weaker boundaries only inside gaps that the stronger ones leave too wide
+        at = np.r_[overlap, allowed[keep]]
+        wide = np.flatnonzero(np.diff(at) > step // 2)
+        if not len(wide):
             break
+        gap = np.searchsorted(at[wide], allowed, side="left") - 1
+        inside = (gap >= 0) & (allowed < at[wide + 1][gap])
+        if level is None:  # no boundary at all: every place costs the same, so a grid of places is enough
+            grid = allowed // max(1, step // 64)
+            keep |= inside & np.r_[True, grid[1:] != grid[:-1]]
+        else:
+            keep |= inside & (price <= level)
+    at, c = allowed[keep], price[keep]
     at, c = np.r_[0, at[at > overlap]], np.r_[0.0, c[at > overlap]]
     best, back = np.full(len(at), np.inf), np.zeros(len(at), np.int64)
     best[0] = 0.0

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 DEFAULT_FILE = "byte_bpe_multi_50k.tiktoken"
 _ENCODINGS: dict[str, tiktoken.Encoding] = {}
+_LENGTHS: dict[int, np.ndarray] = {}
 
 
 def vocabulary(path: str | None = None) -> tuple[bytes, str]:
@@ -31,11 +32,18 @@ def encoding(vocab: tuple[bytes, str]) -> tiktoken.Encoding:
     return _ENCODINGS[key]
 
 
+def _lengths(enc: tiktoken.Encoding) -> np.ndarray:
+    """The bytes of each token."""
+    if id(enc) not in _LENGTHS:
+        _LENGTHS[id(enc)] = np.array([len(enc.decode_single_token_bytes(t)) for t in range(enc.n_vocab)])
+    return _LENGTHS[id(enc)]
+
+
 def token_ends(enc: tiktoken.Encoding, text: str) -> np.ndarray:
     """For each token the number of whole characters up to its end, -1 where it ends inside a character."""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     chars = np.cumsum((data & 0xC0) != 0x80)
-    ends = np.cumsum([len(enc.decode_single_token_bytes(t)) for t in enc.encode_ordinary(text)])
+    ends = np.cumsum(_lengths(enc)[enc.encode_ordinary(text)])
     starts_char = np.r_[(data & 0xC0) != 0x80, True]
     return np.where(starts_char[ends], chars[ends - 1], -1) if len(ends) else np.zeros(0, np.int64)
 
