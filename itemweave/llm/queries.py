@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from itemweave.llm import contamination, format_dups, lookalike, mixing, near_dups, site_lines, splitting
+from itemweave.llm import contamination, format_dups, lookalike, mixing, near_dups, residue, site_lines, splitting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -148,3 +148,18 @@ def p10_found(documents, limits):
 @_on("documents", "split_limits")
 def p10_pieces(documents, limits):
     return splitting.pieces(documents, limits)
+
+
+@_on("questions")
+def p2_found(questions):
+    return residue.found(questions)
+
+
+@_on("questions")
+def p2_clean_bank(questions):
+    return residue.without_residue(questions).select("id", "source", "explanation")
+
+
+@_on("questions")
+def p2_validation(questions):
+    return residue.validation(questions)
