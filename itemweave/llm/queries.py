@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from itemweave.llm import contamination, format_dups, lookalike, mixing, near_dups, residue, site_lines, splitting
+from itemweave.llm import contamination, format_dups, lookalike, mixing, near_dups, residue, site_lines, splitting, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -163,3 +163,13 @@ def p2_clean_bank(questions):
 @_on("questions")
 def p2_validation(questions):
     return residue.validation(questions)
+
+
+@_on("questions")
+def p1_found(questions):
+    return truncation.found(questions)
+
+
+@_on("questions")
+def p1_by_source(questions):
+    return truncation.by_source(questions)
