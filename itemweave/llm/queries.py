@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from itemweave.llm import contamination, format_dups, lookalike, mixing, near_dups, residue, site_lines, splitting, truncation
+from itemweave.llm import contamination, format_dups, lookalike, mixing, near_dups, residue, scan_repair, site_lines, splitting, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -173,3 +173,13 @@ def p1_found(questions):
 @_on("questions")
 def p1_by_source(questions):
     return truncation.by_source(questions)
+
+
+@_on("questions")
+def p4_found(questions):
+    return scan_repair.found(questions)
+
+
+@_on("questions")
+def p4_repaired(questions):
+    return scan_repair.repaired_fields(questions)
