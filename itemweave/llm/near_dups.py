@@ -66,7 +66,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(packed.ravel()), pa.array(np.repeat(key[first], b))], ["band", "content"])
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of the contents of each bucket from rows sorted by (band, content): (-1, a, b).
 
     Holds at most one bucket up to BUCKET_CAP contents. The members of larger buckets pass through as (band, content, null).
@@ -189,10 +189,10 @@ def content_links(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     items = _items(questions)
     parts = items.select("parts")
     bands = parts.mapInArrow(_bands, "band long, content long").repartition("band").sortWithinPartitions("band", "content")
-    paired = written(bands.mapInArrow(_paired, "band long, a long, b long"), "p7-paired")
-    large = paired.filter("b is null").select("band", "a").distinct()
+    couples = written(bands.mapInArrow(paired, "band long, a long, b long"), "p7-paired")
+    large = couples.filter("b is null").select("band", "a").distinct()
     wide = large.join(large.select("band", F.col("a").alias("b")), "band").filter("a < b").select("a", "b")
-    candidates = paired.filter("b is not null").select("a", "b").unionByName(wide).distinct()
+    candidates = couples.filter("b is not null").select("a", "b").unionByName(wide).distinct()
     members = written(items.mapInArrow(_sketches, "id string, item long, content long, sketch binary"), "p7-members")
     sketch = members.select("content", "sketch").dropDuplicates(["content"])
     plausible = (

@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemweave.llm import edges, linear, residue
+from itemweave.llm import edges, linear, near_dups, residue
 from itemweave.llm import kernel as K
 from itemweave.llm.site_lines import SPACE, excessive_lines
 from itemweave.operators.skew import lookup_join
 from itemweave.session import written
 
-TRAIN_ROWS, CUTS, PENALTY, ROUNDS = 4000, 3, 1e-7, 120
+TRAIN_ROWS, CUTS, PENALTY, ROUNDS = 2500, 3, 1e-7, 100
 #: A line of its own in so large a share of all explanations (in three at least) is a formula, not part of the explanation.
 FORMULA_SHARE, FORMULA_LETTERS = 1 / 5000, 4
 WORDS, SIMILARITY = 5, 0.8  # shingles of five letters
@@ -53,13 +53,14 @@ def plain(text: str) -> str:
 def fragment(text: str) -> tuple[str, bool]:
     """(what stands after the last finished sentence, whether a cut-off marker follows it); '' if the text is closed."""
     text = text.rstrip()
-    marked = _MARKER.search(text)
+    end = text[-24:]  # all marks are shorter than that
+    marked = _MARKER.search(end)
     if marked:
-        base = text[: marked.start()].rstrip()
+        base = text[: len(text) - len(end) + marked.start()].rstrip()
         if not base:
             return "", False
         text = base
-    elif _ANSWER.search(text) or _END.search(text):
+    elif _END.search(end) or _ANSWER.search(end):
         return "", False
     at = 0
     for m in _LAST.finditer(text):
@@ -144,7 +145,7 @@ def _formulas(rows: DataFrame, total: int) -> list[str]:
 
 
 def _bands(rows: DataFrame, formulas: frozenset[str]) -> DataFrame:
-    """(band, id, open, text) of near-copy candidates' bands."""
+    """(band, content) of all texts; the lowest bit of content, the key of a text's id, says whether the text is open."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,18 +158,16 @@ def _bands(rows: DataFrame, formulas: frozenset[str]) -> DataFrame:
                 inside = no[: len(flat) - WORDS + 1] == no[WORDS - 1 :]
                 h = flat[: len(inside)].astype(np.uint64)
                 for k in range(1, WORDS):
-                    h = K.mix64(h * np.uint64(31) + flat[k : k + len(inside)])
+                    h = h * np.uint64(0x100000001B3) + flat[k : k + len(inside)]
                 reg = K.hyperminhash(h[inside], no[: len(inside)][inside], len(texts), SEEDS, BITS, MANTISSA)
                 keys = K.band_keys(reg, ROWS)
                 some = reg.any(axis=1)
-                shut = np.array([len(t) < TAIL or fragment(strip_formulas(t, formulas))[0] == "" for t in texts])
+                opened = np.array([len(t) >= TAIL and fragment(strip_formulas(t, formulas))[0] != "" for t in texts])
                 b = keys.shape[1]
-                key = part.column("key").to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[some].ravel().view(np.int64)), pa.array(np.repeat(key[some], b)), pa.array(np.repeat(~shut[some], b))], ["band", "key", "open"]
-                )
+                key = (part.column("key").to_numpy() & ~1) | opened
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some].ravel().view(np.int64)), pa.array(np.repeat(key[some], b))], ["band", "content"])
 
-    return rows.select(F.xxhash64("id").alias("key"), "text").mapInArrow(bands, "band long, key long, open boolean")
+    return rows.select(F.xxhash64("id").alias("key"), "text").mapInArrow(bands, "band long, content long")
 
 
 def strip_formulas(text: str, formulas: frozenset[str]) -> str:
@@ -216,7 +215,7 @@ def truncated(questions: DataFrame) -> DataFrame:
             ids, sources, texts, fragments = [], [], [], []
             for i, s, t in zip(*(batch.column(c).to_pylist() for c in ("id", "source", "text"))):
                 t = strip_formulas(t, formulas)
-                if not t or (_END.search(t) and not _MARKER.search(t)):
+                if not t or (_END.search(t[-24:]) and not _MARKER.search(t[-24:])):
                     continue
                 f, marked = fragment(plain(t))
                 if f or marked:
@@ -229,17 +228,22 @@ def truncated(questions: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sources, pa.string()), pa.array(texts, pa.string()), pa.array(value, pa.float64())], ["id", "source", "text", "score"])
 
     opened = written(rows.mapInArrow(score, "id string, source string, text string, score double"), "p1-open")
-    # near-copies of the open ones: bands of all texts, kept where an open one is in the bucket
-    bands = _bands(rows, formulas).repartition("band")
-    with_open = bands.filter("open").select("band", F.col("key").alias("a")).distinct()
-    pairs = bands.select("band", F.col("key").alias("b")).distinct().join(with_open, "band").filter("a <> b").select("a", "b").distinct()
-    pairs = written(pairs, "p1-pairs")
-    keyed = rows.select(F.xxhash64("id").alias("b"), F.col("text").alias("copy"))
+    # near-copies of the open ones: bands of all texts, pairs kept where one of the two is open
+    bands = _bands(rows, formulas).repartition("band").sortWithinPartitions("band", "content")
+    paired = written(bands.mapInArrow(near_dups.paired, "band long, a long, b long").filter("b is null or a % 2 <> 0 or b % 2 <> 0"), "p1-paired")
+    large = paired.filter("b is null").select("band", "a").distinct()
+    wide = large.filter("a % 2 <> 0").join(large.select("band", F.col("a").alias("b")), "band").filter("a <> b").select("a", "b")
+    near = paired.filter("b is not null")
+    near = near.filter("a % 2 <> 0").select("a", "b").unionByName(near.filter("b % 2 <> 0").select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(wide)
+    keyless = lambda c: F.col(c).bitwiseAND(F.lit(-2)).alias(c)
+    pairs = written(near.select(keyless("a"), keyless("b")).distinct(), "p1-pairs")
+    key = F.xxhash64("id").bitwiseAND(F.lit(-2))
+    keyed = rows.select(key.alias("b"), F.col("text").alias("copy"))
     needed = written(pairs.select("b").distinct(), "p1-needed")
     if needed.count() <= 1_000_000:
         needed = F.broadcast(needed)
     copies = keyed.join(needed, "b", "left_semi")
-    both = pairs.join(opened.select(F.xxhash64("id").alias("a"), "id", "text"), "a").join(copies, "b")
+    both = pairs.join(opened.select(key.alias("a"), "id", "text"), "a").join(copies, "b")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
