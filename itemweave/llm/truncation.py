@@ -68,6 +68,11 @@ def fragment(text: str) -> tuple[str, bool]:
     return text[at:].strip(), bool(marked)
 
 
+def shut(text: str) -> bool:
+    """A quick test that holds for most texts: the last character closes a sentence and no marker ends in it."""
+    return text[-1] in "。！？）】」』”" or (text[-1] == "." and not text.endswith(".."))
+
+
 def _slots(fragments: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of how each fragment ends: its last letters, its last clause's first ones, their pairs, counts."""
     slot, owner = [], []
@@ -162,7 +167,7 @@ def _bands(rows: DataFrame, formulas: frozenset[str]) -> DataFrame:
                 reg = K.hyperminhash(h[inside], no[: len(inside)][inside], len(texts), SEEDS, BITS, MANTISSA)
                 keys = K.band_keys(reg, ROWS)
                 some = reg.any(axis=1)
-                opened = np.array([len(t) >= TAIL and fragment(strip_formulas(t, formulas))[0] != "" for t in texts])
+                opened = np.array([len(t) >= TAIL and not shut(t) and fragment(strip_formulas(t, formulas))[0] != "" for t in texts])
                 b = keys.shape[1]
                 key = (part.column("key").to_numpy() & ~1) | opened
                 yield pa.RecordBatch.from_arrays([pa.array(keys[some].ravel().view(np.int64)), pa.array(np.repeat(key[some], b))], ["band", "content"])
@@ -214,6 +219,8 @@ def truncated(questions: DataFrame) -> DataFrame:
         for batch in batches:
             ids, sources, texts, fragments = [], [], [], []
             for i, s, t in zip(*(batch.column(c).to_pylist() for c in ("id", "source", "text"))):
+                if shut(t):
+                    continue
                 t = strip_formulas(t, formulas)
                 if not t or (_END.search(t[-24:]) and not _MARKER.search(t[-24:])):
                     continue
