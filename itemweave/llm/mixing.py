@@ -30,8 +30,9 @@ def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         F.coalesce("tokens", F.lit(0).cast("long")).alias("tokens"),
     )
     bound = both.filter("target_share > 0 and tokens > 0").agg(F.min(F.col("max_repeats") * F.col("tokens") / F.col("target_share")).alias("total"))
-    rate = F.when((F.col("tokens") > 0) & (F.col("target_share") > 0), F.col("target_share") * F.col("total") / F.col("tokens"))
-    return both.crossJoin(F.broadcast(bound)).select(
+    total = bound.first().total or 0.0  # one number
+    rate = F.when((F.col("tokens") > 0) & (F.col("target_share") > 0), F.col("target_share") * F.lit(total) / F.col("tokens"))
+    return both.select(
         "source", "target_share", "max_repeats", "tokens", F.least(F.coalesce(rate, F.lit(0.0)), F.col("max_repeats").cast("double")).alias("rate")
     )
 
@@ -55,9 +56,9 @@ def report(documents: DataFrame, targets: DataFrame, seed: int = SEED, tokenizer
     sizes, chosen = mixture(documents, targets, seed, tokenizer)
     used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"))
     rows = rates(sizes, targets).join(used, "source", "left").withColumn("used", F.coalesce("used", F.lit(0).cast("long")))
-    total = rows.agg(F.sum("used").alias("total"))
-    return rows.crossJoin(F.broadcast(total)).select(
-        "source", "target_share", F.coalesce(F.col("used") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)).alias("reached_share"),
+    total = rows.agg(F.sum("used").alias("total")).first().total or 0  # one number
+    return rows.select(
+        "source", "target_share", (F.col("used") / F.lit(max(total, 1))).alias("reached_share"),
         F.col("used").alias("tokens"), F.col("rate").alias("repeats"), "max_repeats",
     )
 

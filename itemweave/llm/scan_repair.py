@@ -33,6 +33,7 @@ CONFUSED_LETTERS = ("c:e", "!:i", "1:l", "0:o", "5:s", "rn:m", "li:h", "cl:d", "
 #: A correction needs a variant so many times as frequent as the word read.
 RATIO, LEAST = 8.0, 5
 LATIN_RATIO = 4.0
+BROADCAST_SOURCES = 20_000  # sources whose lists of lines may be broadcast
 
 _HAN = "\u4e00-\u9fff\u3400-\u4dbf"
 _STOP = re.compile(r"[。！？!?：:；;…】」』”\"|]\s*$|[.)）]\s*$")
@@ -198,10 +199,9 @@ def _latin_corrections(words: DataFrame) -> DataFrame:
 
     `words` has token and n. A token with several places of one confusion counts with one and with all of them replaced.
     """
-    spark = words.sparkSession
-    confusable = spark.createDataFrame([tuple(x.split(":")) for x in CONFUSED_LETTERS], "a string, b string")
-    confusable = confusable.withColumn("delta", _anagram(F.col("b")) - _anagram(F.col("a")))
-    rare = words.join(F.broadcast(confusable), F.col("token").contains(F.col("a")))
+    confusable = [x.split(":") for x in CONFUSED_LETTERS]
+    every = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (_anagram(F.lit(b)) - _anagram(F.lit(a))).alias("delta")) for a, b in confusable))
+    rare = words.withColumn("c", F.explode(every)).select("token", "n", "c.*").filter(F.col("token").contains(F.col("a")))
     times = ((F.length("token") - F.length(F.replace("token", F.col("a"), F.lit("")))) / F.length("a")).cast("int")
     rare = rare.withColumn("k", F.explode(F.array_distinct(F.array(F.lit(1), times))))
     rare = rare.select("token", "n", "a", "b", "k", (_anagram(F.col("token")) + F.col("k") * F.col("delta")).alias("h"))
@@ -219,6 +219,7 @@ class _Readings:
 
     def __init__(self, rows: list):
         keys = {(r.side, ord(r.other), r.a, r.b): r.ratio for r in rows}
+        self.read = np.array(sorted({ord(a) for a, _ in pairs()}), np.int64)
         self.tables = {}
         for a, b in pairs():
             for side in ("left", "right"):
@@ -233,8 +234,11 @@ class _Readings:
         chars = flat[solid].astype(np.int64)
         best = np.full(len(chars), np.log(RATIO))
         meant = np.zeros(len(chars), np.int64)
-        for a, b in pairs():
-            at = np.flatnonzero(chars == ord(a))
+        some = np.flatnonzero(np.isin(chars, self.read))
+        order = some[np.argsort(chars[some], kind="stable")]
+        low, high = (np.searchsorted(chars[order], [ord(a) for a, _ in pairs()], side=x) for x in ("left", "right"))
+        for (a, b), i, j in zip(pairs(), low, high):
+            at = order[i:j]
             if not len(at):
                 continue
             total = np.zeros(len(at))
@@ -261,56 +265,55 @@ def repaired_fields(questions: DataFrame) -> DataFrame:
     from itemweave.llm import truncation
 
     every = fields(questions)
-    confused = "".join(sorted({a for a, _ in pairs()}))
     counts = written(_pair_counts(every), "p4-pairs")
     readings = _Readings(_ideograph_corrections(counts).filter("ratio is not null").collect())
-    suspect = every.filter(F.col("text").rlike(rf"\n|\p{{IsHan}} +\p{{IsHan}}|[{confused}]|\d[lO]|l\d|\p{{IsHan}}o|[A-Za-z][!|0156]|[!|0156][A-Za-z]"))
-    several = suspect.filter(F.col("text").contains("\n"))
-    lists = _site_texts(questions)
-    lists = written(lists, "p4-site")
-    with_site = lookup_join(several, lists, "source", "total").select("id", "field", "text", "site")
+    shape = F.col("text").rlike(r"\n|\p{IsHan} +\p{IsHan}|\d[lO]|l\d|\p{IsHan}[oｏ]|[A-Za-z][!|0156]|[!|0156][A-Za-z]")
+    latin = F.col("text").rlike("[A-Za-z]{4}")
+    lists = written(_site_texts(questions), "p4-site")
+    rows = every.withColumns({"shape": shape, "latin": latin})
+    if lists.count() <= BROADCAST_SOURCES:
+        rows = rows.join(F.broadcast(lists.select("source", "site")), "source", "left")
+    else:
+        with_site = lookup_join(rows, lists, "source", "total").drop("total")
+        rows = with_site.unionByName(rows.join(lists.select("source"), "source", "left_anti"), allowMissingColumns=True)
     none = F.array().cast("array<string>")
-    no_site = several.join(F.broadcast(lists.select("source")), "source", "left_anti").unionByName(suspect.filter(~F.col("text").contains("\n")))
-    rows = with_site.unionByName(no_site.select("id", "field", "text", none.alias("site")))
+    rows = rows.select("id", "field", "text", "shape", "latin", F.when(F.col("text").contains("\n"), F.coalesce("site", none)).otherwise(none).alias("site"))
     own = every.filter("field = 'explanation'").select("text")
     formulas = frozenset(x for x in truncation._formulas(own, own.count()) if len(x) >= 6)
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folded: dict[tuple, set[str]] = {}
         for batch in batches:
-            ids, names, texts, sites = (batch.column(c).to_pylist() for c in ("id", "field", "text", "site"))
-            seen, fixed = [], []
-            for text, site in zip(texts, sites):
-                key = tuple(site)
+            texts = batch.column("text").to_pylist()
+            seen, fixed = batch.column("latin").to_numpy(zero_copy_only=False).copy(), list(texts)
+            traced = np.zeros(len(texts), bool)
+            for n in np.flatnonzero(batch.column("shape").to_numpy(zero_copy_only=False)):
+                key = tuple(batch.column("site")[int(n)].as_py())
                 if key not in folded:
-                    folded[key] = {_fold(x) for x in site}
-                traced, new = structure(text, folded[key], formulas)
-                odd, new = signs(new)
-                seen.append(traced or odd)
-                fixed.append(new)
+                    folded[key] = {_fold(x) for x in key}
+                one, new = structure(texts[n], folded[key], formulas)
+                two, fixed[n] = signs(new)
+                traced[n] = one or two
             for n, wrong in enumerate(readings.misread(fixed)):
                 if wrong:
                     chars = list(fixed[n])
                     for at, c in wrong:
                         chars[at] = c
-                    fixed[n], seen[n] = "".join(chars), True
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array(names, pa.string()), pa.array(texts, pa.string()), pa.array(fixed, pa.string()), pa.array(seen)],
-                ["id", "field", "text", "repaired", "traced"],
+                    fixed[n], traced[n] = "".join(chars), True
+            keep = pa.array(seen | traced)
+            out = pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("field"), batch.column("text"), pa.array(fixed, pa.string()), pa.array(traced)], ["id", "field", "text", "repaired", "traced"]
             )
+            yield out.filter(keep)
 
-    done = written(rows.mapInArrow(repair, "id string, field string, text string, repaired string, traced boolean").filter(
-        F.col("traced") | F.col("repaired").rlike("[A-Za-z]{3}")), "p4-repaired")
+    done = written(rows.mapInArrow(repair, "id string, field string, text string, repaired string, traced boolean"), "p4-repaired")
     # Latin words: counts over all texts, corrections by anagram hash, and the fields that hold a word to correct
-    counted = every.filter(F.col("text").rlike("[A-Za-z]{4}")).select(F.explode(_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counted = done.filter(F.col("text").rlike("[A-Za-z]{4}")).select(F.explode(_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     corrections = written(_latin_corrections(counted), "p4-latin")
-    plain = every.filter(F.col("text").rlike("[A-Za-z]{4}")).join(done.select("id", "field"), ["id", "field"], "left_anti")
-    latin = done.select("id", "field", "repaired").unionByName(plain.select("id", "field", F.col("text").alias("repaired")))
+    latin = done.filter(F.col("repaired").rlike("[A-Za-z]{4}"))
     held = latin.select("id", "field", F.explode(F.array_distinct(_tokens(F.col("repaired")))).alias("token")).join(corrections, "token")
     fixes = held.groupBy("id", "field").agg(F.map_from_entries(F.collect_set(F.struct("token", "meant"))).alias("fixes"))
-    both = done.select("id", "field", "text", "repaired", "traced").unionByName(
-        plain.select("id", "field", "text", F.col("text").alias("repaired"), F.lit(False).alias("traced"))
-    ).join(fixes, ["id", "field"], "left").filter("traced or fixes is not null")
+    both = done.join(fixes, ["id", "field"], "left").filter("traced or fixes is not null")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
