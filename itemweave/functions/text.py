@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _EDGE = r"[\s\x{FEFF}]+"
 
@@ -17,19 +18,19 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)^" + _EDGE, ""), "(?U)" + _EDGE + "$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no built-in for it, so this is an Arrow function."""
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def alnum_key(text: pd.Series) -> pd.Series:
     """NFKC, lower case, alphanumeric characters of any script only; an Arrow function."""
     return text.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKC", x).lower() if c.isalnum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts; an Arrow function, since the library's junk rule has no SQL equivalent."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
@@ -49,19 +50,22 @@ def excerpt(text: Column, limit: int = 240) -> Column:
 BRACKETS = (("（", "）"), ("(", ")"), ("【", "】"), ("〖", "〗"), ("[", "]"))
 
 
+def _depth(text: Column, left: str, right: str) -> Column:
+    """(depth at the end, whether it was ever negative) of one bracket kind."""
+
+    def step(s: Column, c: Column) -> Column:
+        depth = s["depth"] + F.when(c == left, 1).when(c == right, -1).otherwise(0)
+        return F.struct(depth.alias("depth"), (s["bad"] | (depth < 0)).alias("bad"))
+
+    only = F.split(F.regexp_replace(text, f"[^\\{left}\\{right}]", ""), "")
+    return F.aggregate(only, F.struct(F.lit(0).alias("depth"), F.lit(False).alias("bad")), step)
+
+
 def unbalanced(text: Column) -> Column:
     """True if any of five bracket kinds closes before it opens or stays open."""
     bad = F.lit(False)
     for left, right in BRACKETS:
-        only = F.split(F.regexp_replace(text, f"[^\\{left}\\{right}]", ""), "")
-        fold = F.aggregate(
-            only,
-            F.struct(F.lit(0).alias("depth"), F.lit(False).alias("bad")),
-            lambda s, c, left=left, right=right: F.struct(
-                (s["depth"] + F.when(c == left, 1).when(c == right, -1).otherwise(0)).alias("depth"),
-                (s["bad"] | ((s["depth"] == 0) & (c == right))).alias("bad"),
-            ),
-        )
+        fold = _depth(text, left, right)
         bad = bad | fold["bad"] | (fold["depth"] != 0)
     return F.coalesce(bad, F.lit(False))
 
@@ -132,5 +136,8 @@ def item_fingerprint(stem: Column, options: Column, answer: Column | None = None
     """A digest of white-space-free stem and options A to E, and of answer and explanation if given."""
     bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
     parts = [bare(stem), *(bare(F.try_element_at(options, F.lit(k))) for k in "ABCDE")]
-    parts += [F.coalesce(answer, F.lit(""))] * (answer is not None) + [bare(explanation)] * (explanation is not None)
+    if answer is not None:
+        parts.append(F.coalesce(answer, F.lit("")))
+    if explanation is not None:
+        parts.append(bare(explanation))
     return F.sha2(F.concat_ws("\x1f", *parts), 256)

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemweave.operators.components import connected_components
 from itemweave.operators.skew import lookup_join
 from itemweave.session import written
 
@@ -31,34 +29,39 @@ def block_dedup(items: DataFrame, fingerprint: str, block: str, order: str) -> D
     return lookup_join(bags, kept, "bag", "n").select(F.col(block).alias("block"), "kept_block")
 
 
-def sequential_block_dedup(items: DataFrame, key: str, block: str, order: str) -> DataFrame:
+def sequential_block_dedup(items: DataFrame, key: str, block: str, order: str, max_rounds: int = 200) -> DataFrame:
     """(block, dropped): blocks taken in order; a block with any key that an accepted earlier block had is dropped whole.
 
-    A dropped block's keys don't count as seen, so the decision depends on the sequence. It is local to connected components
-    of blocks that share keys: blocks alone need no decision, and each component is decided in one task. Components are chains
-    of repeated items, so their size follows the number of copies; keys are distinct within a block before they travel.
+    A dropped block's keys don't count as seen, so the decision depends on the sequence: it is the first maximal independent
+    set in the order. Rounds decide it without walking the sequence: a block that comes first for each of its keys is
+    accepted, whatever shares a key with it is dropped, and both leave. Every round is two aggregates by key and a written
+    table; no key's blocks meet in one task, and the number of rounds follows the longest chain of dependent blocks.
+    Null and empty keys never collide.
     """
-    pairs = written(items.filter(F.col(key) != "").groupBy(block, key).agg(F.min(order).alias("ord")).select(F.col(block).alias("block"), F.col(key).alias("key"), "ord"), "blocks")
-    # edges along each key's blocks in order, not all pairs
-    first = pairs.groupBy("key").agg(F.min(F.xxhash64("block")).alias("a"), F.count("*").alias("n")).filter("n > 1")
-    edges = lookup_join(pairs, first, "key", "n").select("a", F.xxhash64("block").alias("b"))
-    parts = connected_components(edges)
-    shared = pairs.withColumn("node", F.xxhash64("block")).join(parts, "node")
-
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        seen, out = set(), []
-        starts = rows.groupby("block")["ord"].min().sort_values(kind="stable")
-        keys = rows.groupby("block")["key"].agg(set)
-        for name in starts.index:
-            dropped = bool(keys[name] & seen)
-            if not dropped:
-                seen |= keys[name]
-            out.append((name, dropped))
-        return pd.DataFrame(out, columns=["block", "dropped"])
-
-    decided = shared.groupBy("component").applyInPandas(decide, "block string, dropped boolean")
-    every = items.select(F.col(block).alias("block")).distinct()
-    return every.join(decided, "block", "left").select("block", F.coalesce("dropped", F.lit(False)).alias("dropped"))
+    spark = items.sparkSession
+    pairs = items.filter(F.col(key) != "").groupBy(F.col(block).alias("block"), F.col(key).alias("key")).agg(F.min(order).alias("ord"))
+    # a block's place is that of its first item
+    places = items.groupBy(F.col(block).alias("block")).agg(F.struct(F.min(order).alias("o"), F.first(block).alias("b")).alias("place"))
+    repeated = pairs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    contested = lookup_join(pairs, repeated, "key", "n").select("block").distinct()  # all other blocks stay, whatever happens
+    left = written(pairs.select("block", "key").join(contested, "block", "left_semi").join(places, "block"), "blocks")
+    dropped = None
+    for _ in range(max_rounds):
+        firsts = written(left.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n")), "blocks")
+        seen = lookup_join(left, firsts, "key", "n").select("block", "key", "n", (F.col("place") == F.col("first")).alias("leads"))
+        accepted = written(seen.groupBy("block").agg(F.min("leads").alias("all")).filter("all").select("block"), "blocks")
+        taken = firsts.join(accepted.select(F.col("block").alias("winner")), F.col("first.b") == F.col("winner"), "left_semi").select("key", "n")
+        losers = lookup_join(left, taken, "key", "n").select("block").distinct().join(accepted, "block", "left_anti")
+        losers = written(losers, "blocks")
+        dropped = losers if dropped is None else dropped.unionByName(losers)
+        left = written(left.join(accepted.unionByName(losers), "block", "left_anti"), "blocks")
+        if left.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"undecided blocks after {max_rounds} rounds")
+    if dropped is None:
+        dropped = spark.createDataFrame([], "block string")
+    return places.select("block").join(dropped.distinct().withColumn("hit", F.lit(True)), "block", "left").select("block", F.coalesce("hit", F.lit(False)).alias("dropped"))
 
 
 def residual_duplicates(items: DataFrame, fingerprint: str) -> DataFrame:

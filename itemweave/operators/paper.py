@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from itemweave.operators.bank import blocks
+from itemweave.operators.sequence import numbered
 from itemweave.schema import PAGE_SIZE, TYPES
 
 
@@ -94,7 +95,7 @@ def review_paper(items: DataFrame, count: int, seed: int, at_most: bool = False,
     wanted = max(1, min(total, count or 10))
     one = items.withColumn("pool", F.lit(1))
     quota = items.sparkSession.createDataFrame([(1, wanted)], "pool int, count int")
-    rows = whole_blocks(one, quota, ["pool"], seed, at_most, order).drop("pool")
+    rows = whole_blocks(one, quota, ["pool"], seed, at_most, order).drop("pool")  # `count` rows at most from here on
     return rows.withColumn("paper_pos", F.row_number().over(W.orderBy(type_rank(F.col("block_type")), "draw", "block", order)))
 
 
@@ -127,5 +128,5 @@ def mistake_order(ids: DataFrame, bank: DataFrame, seed: int) -> DataFrame:
     grouped = F.col("type").isin("A3", "B1") & (F.coalesce("group_id", F.lit("")) != "")
     block = F.when(grouped, F.concat_ws(":", "type", "group_id")).otherwise(F.concat(F.lit("question:"), F.col("id")))
     rows = rows.withColumn("block", block)
-    w = W.orderBy(draw(seed, F.col("block")), "block", F.coalesce("number", F.lit(0)), "id")
-    return rows.select("id", F.row_number().over(w).alias("pos"))
+    rows = rows.select("id", "block", draw(seed, F.col("block")).alias("d"), F.coalesce("number", F.lit(0)).alias("number"))
+    return numbered(rows, "d", "block", "number", "id").select("id", "pos")

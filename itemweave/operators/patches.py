@@ -31,6 +31,10 @@ def patch_status(items: DataFrame, patches: DataFrame, order: str = "patch_id")
     return rows.withColumn("status", status).select(*patches.columns, "status")
 
 
+def _fixed_map(column: str, prefix: str):
+    return F.transform_values(column, lambda k, v: F.coalesce(F.try_element_at("fixes", F.concat(F.lit(prefix), k)), v))
+
+
 def apply_patches(items: DataFrame, patches: DataFrame, strict: bool = True, order: str = "patch_id") -> DataFrame:
     """The items with all fitting patches applied. Strict: any patch that doesn't fit raises PatchConflict before anything is returned."""
     status = patch_status(items, patches, order)
@@ -43,7 +47,7 @@ def apply_patches(items: DataFrame, patches: DataFrame, strict: bool = True, ord
     fix = lambda f, c: F.when(F.map_contains_key("fixes", f), F.try_element_at("fixes", F.lit(f))).otherwise(c)
     columns = {c: fix(c, F.col(c)) for c in ("stem", "explanation", "prompt", "shared_stem")}
     for column, prefix in (("options", "option-"), ("shared_options", "shared-option-")):
-        columns[column] = F.transform_values(column, lambda k, v, p=prefix: F.coalesce(F.try_element_at("fixes", F.concat(F.lit(p), k)), v))
+        columns[column] = _fixed_map(column, prefix)
     return rows.withColumns(columns).select(*items.columns)
 
 

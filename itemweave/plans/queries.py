@@ -1,11 +1,645 @@
-"""The queries over the reference's own operators, by name, with their SQL."""
+"""The queries over the reference's own operators, by name, with their SQL where DuckDB can run it on whole tables.
+
+bank_ord, the place of an item in its bank, is the rank of (imported_at, id) wherever a query needs an order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from itemweave import schema
+from itemweave.functions import text as X
+from itemweave.operators import bank, dedup, events, fusion, merge, paper, patches, quality, sequence
+from itemweave.session import written
+from itemweave.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "exam_paper_pages"
+SEED = 7
+
+
+def _on(*tables: str, sql: str | None = None):
+    """Register a function of tables as the query of its name."""
+
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables))
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _ordered(questions: DataFrame) -> DataFrame:
+    """bank_ord: microseconds of import and a digest of id, so an order without a global sort; ties fall by digest."""
+    micros = F.unix_micros(F.col("imported_at").cast("timestamp"))
+    return questions.withColumn("bank_ord", F.struct(micros.alias("t"), F.col("id").alias("i")))
+
+
+def _hash(n: int, *cols: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("long") % n
+
+
+# ---- profiles, projections, filters
+
+
+@_on("questions", sql="""
+select unit, type, count(*) as items, count(distinct group_id) as groups, count(group_id) as grouped,
+  count(*) filter (where trim(coalesce(explanation, '')) <> '') as explained from questions group by unit, type""")
+def bank_profile(q):
+    return q.groupBy("unit", "type").agg(
+        F.count("*").alias("items"), F.count_distinct("group_id").alias("groups"), F.count("group_id").alias("grouped"),
+        F.count_if(F.trim(F.coalesce("explanation", F.lit(""))) != "").alias("explained"),
+    )
+
+
+@_on("questions", sql="""
+select cast(regexp_extract(id, '^(\\d{4})(-|$)', 1) as integer) as year, type, count(*) as items from questions group by all""")
+def year_type_counts(q):
+    return q.groupBy(X.year_of(F.col("id")).alias("year"), "type").agg(F.count("*").alias("items"))
+
+
+@_on("questions", sql="""
+select case when grouping(unit) = 1 then -1 else unit end as unit, count(*) filter (where type = 'A1/A2') as a12, count(*) filter (where type = 'A3') as a3,
+  count(*) filter (where type = 'B1') as b1 from questions group by rollup(unit)""")
+def type_pivot(q):
+    """Items by unit and type, pivoted, with a total row (unit -1)."""
+    counted = q.rollup("unit").agg(*(F.count_if(F.col("type") == t).alias(n) for t, n in zip(schema.TYPES, ("a12", "a3", "b1"))), F.grouping("unit").alias("g"))
+    return counted.select(F.when(F.col("g") == 1, -1).otherwise(F.col("unit")).cast("int").alias("unit"), "a12", "a3", "b1")
+
+
+@_on("questions", sql="select id, unit, type, number from questions where unit = 1 and type = 'B1'")
+def stratum_filter(q):
+    return q.filter((F.col("unit") == 1) & (F.col("type") == "B1")).select("id", "unit", "type", "number")
+
+
+_CELLS = " union all ".join(
+    f"select id, '{n}' as field, '{g}' as field_group, {c} as text from questions where {c} is not null"
+    for n, g, c in [
+        ("stem", "stem", "stem"), ("explanation", "explanation", "explanation"), ("prompt", "stem", "prompt"), ("shared_stem", "stem", "shared_stem"),
+        *((f"option-{k}", "option", f"options['{k}']") for k in schema.LETTERS), *((f"shared-option-{k}", "option", f"shared_options['{k}']") for k in schema.LETTERS),
+    ]
+)
+
+
+@_on("questions", sql=f"""
+select field, field_group, count(*) as n, cast(sum(length(text)) as bigint) as chars, count(*) filter (where trim(text) = '') as blank
+from ({_CELLS}) group by field, field_group""")
+def unpivot_fields(q):
+    rows = bank.text_fields(q)
+    return rows.groupBy("field", "field_group").agg(
+        F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.count_if(F.trim("text") == "").alias("blank")
+    )
+
+
+@_on("questions", "subjects", sql="""
+select s.ord, s.subject_id, s.subject_name, count(q.id) as items, count(distinct q.unit) as units from subjects s left join questions q using (subject_id)
+group by s.ord, s.subject_id, s.subject_name""")
+def subject_profile(q, s):
+    counts = q.groupBy("subject_id").agg(F.count("*").alias("items"), F.count_distinct("unit").alias("units"))
+    joined = s.join(counts, "subject_id", "left")
+    zero = F.lit(0).cast("long")
+    return joined.select("ord", "subject_id", "subject_name", F.coalesce("items", zero).alias("items"), F.coalesce("units", zero).alias("units"))
+
+
+@_on("subjects", sql="select subject_name, 'subject-' || substr(sha256(regexp_replace(source_file_name, '\\.[^.]*$', '')), 1, 12) as derived_id from subjects")
+def subject_ids(s):
+    return s.select("subject_name", X.subject_id(files.source_name("source_file_name")).alias("derived_id"))
+
+
+@_on("questions", sql="""
+select subject_id, unit, type, count(*) as items from questions where subject_id is not null group by all""")
+def knowledge_tree(q):
+    """Subject -> unit -> types with their numbers, exploded."""
+    nested = q.filter("subject_id is not null").groupBy("subject_id", "unit", "type").agg(F.count("*").alias("items"))
+    tree = nested.groupBy("subject_id").agg(F.collect_list(F.struct("unit", "type", "items")).alias("branches"))
+    return tree.select("subject_id", F.explode("branches").alias("b")).select("subject_id", "b.unit", "b.type", "b.items")
+
+
+@_on("questions", "bank_sources", sql="""
+select q.source, b.kind, b.lang, count(*) as items, count(*) filter (where imported_at >= make_timestamp(b.year + 1, 1, 1, 0, 0, 0.0)) as late
+from questions q join bank_sources b using (source) group by all""")
+def source_profile(q, b):
+    late = F.col("imported_at") >= F.make_timestamp_ntz(F.col("year") + 1, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    return q.join(b, "source").groupBy("source", "kind", "lang").agg(F.count("*").alias("items"), F.count_if(late).alias("late"))
+
+
+@_on("questions", sql="""
+select id, case when length(t) > 240 then substr(t, 1, 237) || '...' else t end as excerpt from
+(select id, trim(regexp_replace(regexp_replace(explanation, '[\\s\\x0B\\x{85}\\p{Z}\\x{FEFF}]+', ' ', 'g'), '^ | $', '', 'g')) as t from questions where explanation is not null)""")
+def excerpts(q):
+    folded = F.regexp_replace(F.col("explanation"), r"[\x{FEFF}]+", " ")
+    return q.filter("explanation is not null").select("id", X.excerpt(folded).alias("excerpt"))
+
+
+# ---- identity and set operations
+
+
+_BARE = "regexp_replace(coalesce({}, ''), '[ \\t\\n\\x0B\\f\\r]+', '', 'g')"
+_FP = "sha256(array_to_string([" + ", ".join([_BARE.format("stem"), *(_BARE.format(f"options['{k}']") for k in schema.LETTERS)]) + "], chr(31)))"
+
+
+@_on("questions", sql=f"""
+with q as (select id, epoch_us(imported_at) as t, {_FP} as fp from questions)
+select id, first_value(id) over (partition by fp order by t, id) as first_id, row_number() over (partition by fp order by t, id) > 1 as duplicate from q""")
+def dedup_keep_first(q):
+    rows = dedup.keep_first(_ordered(q), X.item_fingerprint(F.col("stem"), F.col("options")), "bank_ord")
+    return rows.select("id", "first_id", "duplicate")
+
+
+@_on("questions")
+def dedup_nfkc_keep_first(q):
+    """As dedup_keep_first with the folded key (NFKC, letters and ideographs); DuckDB has no NFKC."""
+    key = F.concat(X.trimmed(F.col("stem")), *(F.coalesce(F.try_element_at("options", F.lit(k)), F.lit("")) for k in schema.LETTERS))
+    return dedup.keep_first(_ordered(q), F.md5(X.content_key(key)), "bank_ord").filter("duplicate").select("id", "first_id")
+
+
+@_on("questions")
+def dedup_stem_keep_first(q):
+    """Keep the first of equal stems under the alphanumeric key."""
+    return dedup.keep_first(_ordered(q), X.alnum_key(F.col("stem")), "bank_ord").filter("duplicate").select("id", "first_id")
+
+
+@_on("questions", sql=f"""
+select first_id, n from (select {_FP} as fp, min(id) as first_id, count(*) as n from questions group by 1) where n > 1""")
+def residual_duplicates(q):
+    rows = q.withColumn("fp", X.item_fingerprint(F.col("stem"), F.col("options")))
+    return dedup.residual_duplicates(rows, "fp").select("first_id", "n")
+
+
+_FULL = f"sha256(array_to_string([{_FP}, coalesce(answer, ''), {_BARE.format('explanation')}], chr(31)))"
+
+
+@_on("questions", sql=f"""
+with q as (select coalesce(nullif(group_id, ''), id) as block, epoch_us(imported_at) as t, id, {_FULL} as fp from questions),
+b as (select block, list_sort(list(fp)) as bag, min(struct_pack(t := t, i := id)) as o from q group by block)
+select block, first_value(block) over (partition by bag order by o) as kept_block from b""")
+def block_dedup(q):
+    fp = F.sha2(F.concat_ws("\x1f", X.item_fingerprint(F.col("stem"), F.col("options")), F.coalesce("answer", F.lit("")), F.regexp_replace(F.coalesce("explanation", F.lit("")), r"\s+", "")), 256)
+    rows = _ordered(q).withColumns({"fp": fp, "block": F.coalesce(F.nullif(F.col("group_id"), F.lit("")), F.col("id"))})
+    return dedup.block_dedup(rows, "fp", "block", "bank_ord")
+
+
+@_on("questions")
+def sequential_block_dedup(q):
+    """Blocks dropped because of a key that an accepted earlier block had; order-dependent, so checked by brute force."""
+    key = F.concat(X.trimmed(F.col("stem")), *(F.coalesce(F.try_element_at("options", F.lit(k)), F.lit("")) for k in schema.LETTERS))
+    rows = _ordered(q).withColumns({"key": F.md5(X.content_key(key)), "block": F.coalesce(F.nullif(F.col("group_id"), F.lit("")), F.col("id"))})
+    rows = rows.withColumn("ord", F.concat_ws("|", F.lpad(F.col("bank_ord.t").cast("string"), 20, "0"), "id"))
+    return dedup.sequential_block_dedup(rows, "key", "block", "ord").filter("dropped").select("block")
+
+
+@_on("questions")
+def conflicting_answers(q):
+    return quality.answer_conflicts(q)
+
+
+@_on("questions", "bank_sources", sql=f"""
+with q as (select {_FP} as fp, b.kind from questions q join bank_sources b using (source))
+select a.kind, count(distinct a.fp) as shared from q a where a.kind <> 'docx' and a.fp in (select fp from q where kind = 'docx') group by a.kind""")
+def bank_overlap(q, b):
+    """How many distinct items of each other kind of source the document bank has too."""
+    rows = q.join(b.select("source", "kind"), "source").select("kind", X.item_fingerprint(F.col("stem"), F.col("options")).alias("fp")).distinct()
+    docs = rows.filter("kind = 'docx'").select("fp")
+    return rows.filter("kind <> 'docx'").join(docs, "fp", "left_semi").groupBy("kind").agg(F.count("*").alias("shared"))
+
+
+@_on("questions", "answer_log", sql="select distinct question_id from answer_log where question_id is not null and question_id not in (select id from questions)")
+def missing_keys(q, log):
+    return log.filter("question_id is not null").select("question_id").distinct().join(q.select(F.col("id").alias("question_id")), "question_id", "left_anti")
+
+
+@_on("questions", "mistake_book", sql="""
+with found as (select id from questions where trim(coalesce(explanation, '')) = ''), reviewed as (select question_id as id from mistake_book where wrong_count >= 3)
+(select id, 'found' as side from found except select id, 'found' from reviewed) union all (select id, 'reviewed' from reviewed except select id, 'reviewed' from found)""")
+def candidate_set_difference(q, book):
+    found = q.filter(F.trim(F.coalesce("explanation", F.lit(""))) == "")
+    return dedup.symmetric_difference(found, book.filter("wrong_count >= 3").select(F.col("question_id").alias("id")))
+
+
+@_on("questions", sql="""
+select id, array_to_string(list_sort(list_distinct(['A','B','C','D','E'])), '') as expected,
+  array_to_string(list_filter(['A','B','C','D','E'], lambda k: trim(coalesce(options[k], '')) = ''), '') as missing
+from questions where len(list_filter(['A','B','C','D','E'], lambda k: trim(coalesce(options[k], '')) = '')) > 0""")
+def missing_options(q):
+    letters = F.array(*(F.lit(k) for k in schema.LETTERS))
+    missing = F.filter(letters, lambda k: F.trim(F.coalesce(F.try_element_at("options", k), F.lit(""))) == "")
+    return q.select("id", F.lit("ABCDE").alias("expected"), F.array_join(missing, "").alias("missing")).filter("missing <> ''")
+
+
+# ---- corrections and merges
+
+
+_STATUS = f"""
+with cells as ({_CELLS}),
+p as (select *, row_number() over (partition by id, field order by patch_id) as turn from patches),
+s as (select p.*, case when p.id not in (select id from questions) then 'unknown-id'
+    when p.field is null or not (p.field in ('stem', 'explanation', 'prompt', 'shared_stem') or regexp_matches(p.field, '^(shared-)?option-[A-E]$')) then 'unknown-field'
+    when p.turn > 1 then 'duplicate' when p.before is distinct from c.text then 'changed' else 'ok' end as status
+  from p left join cells c on c.id = p.id and c.field = p.field)"""
+
+
+@_on("questions", "patches", sql=_STATUS + " select patch_id, id, field, status from s")
+def patch_status(q, p):
+    return patches.patch_status(q, p).select("patch_id", "id", "field", "status")
+
+
+@_on("questions", "patches", sql=_STATUS + """, ok as (select id, field, after from s where status = 'ok')
+select c.id, c.field, o.after as text from cells c join ok o on o.id = c.id and o.field = c.field where o.after is distinct from c.text""")
+def patched_fields(q, p):
+    """The fields that differ after all fitting patches."""
+    new = bank.text_fields(patches.apply_patches(q, p, strict=False)).select("id", "field", "text")
+    old = bank.text_fields(q).select("id", "field", F.col("text").alias("old"))
+    return new.join(old, ["id", "field"]).filter(~F.col("text").eqNullSafe(F.col("old"))).select("id", "field", "text")
+
+
+_REPLICA = """
+local as (select 'mistakes' as collection, question_id as key, wrong_count as version, strftime(updated_at, '%Y-%m-%dT%H:%M:%S') as updated_at, 'local' as payload
+  from mistake_book where extract(minute from created_at) % 4 <> 0),
+remote as (select 'mistakes' as collection, question_id as key, wrong_count + extract(second from created_at)::int % 3 - 1 as version,
+  strftime(updated_at + interval 1 minute * (extract(hour from created_at)::int % 3 - 1), '%Y-%m-%dT%H:%M:%S') as updated_at, 'remote' as payload
+  from mistake_book where extract(minute from created_at) % 4 <> 1)"""
+
+
+@_on("mistake_book", sql=f"""
+with {_REPLICA}, r as (select *, 1 as held from local union all select *, 0 from remote),
+o as (select *, row_number() over (partition by collection, key order by coalesce(version, 0) desc, coalesce(updated_at, '') desc, held desc) as n from r)
+select collection, key, cast(version as integer) as version, updated_at, payload from o where n = 1""")
+def lww_merge(book):
+    """Two replicas derived from the book, merged."""
+    base = book.withColumns({"m": F.minute("created_at"), "s": F.second("created_at"), "h": F.hour("created_at")})
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    shape = lambda df, v, u, p: df.select(F.lit("mistakes").alias("collection"), F.col("question_id").alias("key"), v.cast("int").alias("version"), iso(u).alias("updated_at"), F.lit(p).alias("payload"))
+    local = shape(base.filter("m % 4 <> 0"), F.col("wrong_count"), F.col("updated_at"), "local")
+    moved = F.col("updated_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("h") % 3 - 1)
+    remote = shape(base.filter("m % 4 <> 1"), F.col("wrong_count") + F.col("s") % 3 - 1, moved, "remote")
+    return merge.merge_replicas(local, remote)
+
+
+# ---- sequences and groups
+
+
+@_on("questions", sql="""
+with g as (select group_id, count(*) as members, min(group_start) as declared_start, max(group_end) as declared_end, list_sort(list(number)) as numbers,
+  count(distinct group_start) + count(distinct group_end) = 2 as agreed from questions where coalesce(group_id, '') <> '' group by group_id)
+select group_id, members, declared_start, declared_end,
+  coalesce(agreed and declared_start <= declared_end and numbers = generate_series(declared_start, declared_end), false) as complete from g""")
+def group_range_complete(q):
+    return sequence.group_ranges(q)
+
+
+@_on("questions", sql="""
+with g as (select group_id, source, min(number) as lo, max(number) as hi, count(*) as n from questions where group_id is not null group by group_id, source)
+select group_id, hi - lo + 1 = n as contiguous from (select group_id, min(lo) as lo, max(hi) as hi, sum(n) as n from g group by group_id)""")
+def group_contiguity(q):
+    return sequence.group_contiguity(q, "number")
+
+
+@_on("questions", sql=f"""
+with r as (select *, coalesce(trim(shared_stem), '') as ss, case when shared_options is null then '' else array_to_string(
+  [{", ".join(f"'{k}:' || coalesce(trim(shared_options['{k}']), '')" for k in schema.LETTERS)}], '|') end as so,
+  coalesce(regexp_extract(id, '^(\\d{{4}})(-|$)', 1), '') as year from questions where coalesce(group_id, '') <> ''),
+g as (select group_id, count(distinct type) as types, arg_min(type, struct_pack(n := number, i := id)) as type, count(distinct year) as years, count(distinct coalesce(unit, -1)) as units,
+  count(distinct ss) as stems, min(ss) as stem, count(distinct so) as options, min(so) as option from r group by group_id)
+select group_id, 'group-type-conflict' as kind from g where types <> 1 or type not in ('A3', 'B1')
+union all select group_id, 'group-scope-conflict' from g where years <> 1 or units <> 1
+union all select group_id, 'shared-stem-conflict' from g where type = 'A3' and (stems <> 1 or stem = '')
+union all select group_id, 'shared-options-conflict' from g where type = 'B1' and (options <> 1 or option = '')""")
+def group_consistency(q):
+    return sequence.group_conflicts(q)
+
+
+@_on("questions", sql="""
+with q as (select id, regexp_extract(id, '^(\\d{4})(-|$)', 1) as year, unit, number from questions)
+select a.id, exists (select 1 from q b where b.year = a.year and b.unit = a.unit and b.number = a.number + 1) as next_exists from q a""")
+def next_number_present(q):
+    return sequence.next_number(q)
+
+
+_GRAMS = "list_distinct(list_transform(generate_series(1, length({0}) - 1), lambda i: substr({0}, i, 2)))"
+
+
+@_on("questions", sql=f"""
+with q as (select id, subject_id, number, {_GRAMS.format("(stem || coalesce(options[answer], ''))")} as e, {_GRAMS.format("coalesce(explanation, '')")} as a from questions where subject_id is not null),
+n as (select *, lag(e) over w as before, lead(e) over w as after from q window w as (partition by subject_id order by number, id)),
+s as (select id, case when len(e) > 0 then len(list_intersect(e, a)) / len(e) else 0.0 end as own,
+  greatest(case when len(before) > 0 then len(list_intersect(before, a)) / len(before) else 0.0 end, case when len(after) > 0 then len(list_intersect(after, a)) / len(after) else 0.0 end) as neighbours from n)
+select id, round(own, 9) as own, round(neighbours, 9) as neighbours, own < 0.08 and neighbours > own + 0.12 as suspect from s""")
+def neighbour_overlap(q):
+    rows = q.filter("subject_id is not null").withColumns(
+        {"expected": F.concat("stem", F.coalesce(F.try_element_at("options", "answer"), F.lit(""))), "ord": F.struct("number", "id")}
+    )
+    out = sequence.neighbour_overlap(rows, "ord", "expected", "explanation", "subject_id")
+    return out.select("id", F.round("own", 9).alias("own"), F.round("neighbours", 9).alias("neighbours"), "suspect")
+
+
+# ---- papers
+
+
+@_on("questions", sql=f"""
+select id, unit, type, draw_pos from (select id, unit, type, row_number() over (partition by unit, type order by md5('{SEED}|' || id), id) as draw_pos from questions)
+where draw_pos <= 5""")
+def stratified_quota(q):
+    """Five random items of every stratum: the quota is the feature."""
+    strata = q.select("unit", "type").distinct().withColumn("count", F.lit(5))
+    return paper.stratified_quota(q, strata, ["unit", "type"], SEED).select("id", "unit", "type", F.col("draw_pos").cast("long").alias("draw_pos"))
+
+
+def _plan(q: DataFrame) -> DataFrame:
+    """The blueprint, its counts cut to what the tables can fill: at most a third of a stratum's items, an even number, 2 at least."""
+    pool = q.groupBy("unit", "type").agg(F.count("*").alias("pool"))
+    rows = schema.blueprint(q.sparkSession).join(pool, ["unit", "type"])
+    most = F.greatest(F.lit(2), 2 * F.floor(F.col("pool") / 6)).cast("int")
+    return rows.select("unit", "section_ord", "type", F.least("count", most).alias("count"))
+
+
+@_on("questions")
+def exam_paper(q):
+    """One paper for each unit: exact section totals of whole groups."""
+    return paper.exam_paper(_ordered(q), _plan(q), SEED).select("unit", "paper_pos", "id", "type", "section_ord")
+
+
+@_on("questions")
+def exam_paper_pages(q):
+    """Papers on pages of ten at most, one type to a page, groups whole; items and blocks of each page."""
+    drawn = paper.exam_paper(_ordered(q), _plan(q), SEED).select("unit", "paper_pos", "id", "type", "group_id")
+    return paper.pages(drawn, ["unit"]).groupBy("unit", "page_no", "type").agg(F.count("*").alias("items"), F.count_distinct(F.coalesce("group_id", "id")).alias("blocks"))
+
+
+@_on("questions")
+def whole_block_exact_total(q):
+    """The reached totals of each section beside the wanted ones."""
+    drawn = paper.exam_paper(_ordered(q), _plan(q), SEED).groupBy("unit", "type").agg(F.count("*").alias("reached"))
+    return drawn.join(_plan(q), ["unit", "type"]).select("unit", "type", "count", "reached")
+
+
+@_on("questions")
+def review_paper(q):
+    return paper.review_paper(_ordered(q), 60, SEED).select("paper_pos", "id", "type", "group_id")
+
+
+@_on("questions")
+def subject_review_paper(q):
+    """A review of at most 40 items for the subject with the smallest id."""
+    first = q.agg(F.min("subject_id")).first()[0]
+    return paper.review_paper(_ordered(q).filter(F.col("subject_id") == first), 40, SEED, at_most=True).select("paper_pos", "id", "type", "group_id")
+
+
+@_on("mistake_book", "questions", sql=f"""
+with r as (select q.id, number, case when type in ('A3', 'B1') and coalesce(group_id, '') <> '' then type || ':' || group_id else 'question:' || q.id end as block
+  from questions q where q.id in (select question_id from mistake_book))
+select id, row_number() over (order by md5('{SEED}|' || block), block, coalesce(number, 0), id) as pos from r""")
+def mistake_book_order(book, q):
+    return paper.mistake_order(book.select(F.col("question_id").alias("id")), q, SEED)
+
+
+# ---- quality
+
+
+_SCAN = {
+    "watermark-or-source-noise": quality.SCAN_RULES[0][2], "header-footer-or-ocr-tool-noise": quality.SCAN_RULES[1][2],
+    "embedded-latin-letter-confusion": quality.SCAN_RULES[6][2],
+} | {n: p for n, _, p in quality.SCAN_RULES}
+_RE2 = lambda p: p.replace("'", "''").replace(r"\s", r"[ \t\n\x0B\f\r]")
+_TRIM = r"regexp_replace(regexp_replace(text, '^[\s\x0B\x{85}\p{Z}\x{FEFF}]+', ''), '[\s\x0B\x{85}\p{Z}\x{FEFF}]+$', '')"
+_TESTS = " union all ".join(f"select id, field, field_group, '{n}' as issue_type from t where regexp_matches(text, '{_RE2(p)}')" for n, p in _SCAN.items())
+_SCANNED = f"""
+with t as (select * from (select id, field, field_group, {_TRIM} as text from ({_CELLS})) where text <> ''), found as ({_TESTS}
+  union all select id, field, field_group, 'embedded-question-type-label' from t where regexp_matches(text, '{_RE2(quality.TYPE_LABEL[0])}')
+    or regexp_matches(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', '', 'g'), '{quality.TYPE_LABEL[1]}'))"""
+
+
+@_on("questions", sql=_SCANNED + " select distinct id, field, field_group, issue_type from found")
+def quality_scan(q):
+    """Candidates of the rules that are literal patterns; brackets and numbering have queries of their own."""
+    rows = quality.scan_candidates(q).filter(~F.col("issue_type").isin("unbalanced-brackets", "possible-next-question-number"))
+    return rows.select("id", "field", "field_group", "issue_type")
+
+
+@_on("questions", sql=_SCANNED + " select issue_type, count(*) as issues, count(distinct id) as ids from (select distinct id, field, issue_type from found) group by issue_type")
+def quality_issue_counts(q):
+    rows = quality.scan_candidates(q).filter(~F.col("issue_type").isin("unbalanced-brackets", "possible-next-question-number"))
+    return quality.issue_counts(rows, "issue_type")
+
+
+@_on("questions", sql=f"""
+with t as (select id, field, text from ({_CELLS}) where regexp_matches(text, '[（()）【】〖〗\\[\\]]')),
+c as (select id, field, unnest(string_split(text, '')) as c, unnest(generate_series(1, length(text))) as i from t),
+d as (select id, field, i, {", ".join(f"sum(case c when '{a}' then 1 when '{b}' then -1 else 0 end) over w as d{n}" for n, (a, b) in enumerate(X.BRACKETS))} from c
+  window w as (partition by id, field order by i))
+select id, field from d group by id, field having {" or ".join(f"min(d{n}) < 0 or arg_max(d{n}, i) <> 0" for n in range(5))}""")
+def unbalanced_brackets(q):
+    return quality.scan_candidates(q).filter("issue_type = 'unbalanced-brackets'").select("id", "field")
+
+
+@_on("questions")
+def next_number_in_text(q):
+    return quality.scan_candidates(q).filter("issue_type = 'possible-next-question-number'").select("id", "field")
+
+
+@_on("questions", sql=f"""
+with e as (select id, {_TRIM.replace("text", "coalesce(explanation, '')")} as e from questions)
+select id, case when e = '' then 'missing-explanation-empty' when regexp_matches(e, '{quality.MISSING_EXPLANATION}') then 'missing-explanation-placeholder'
+  else 'missing-explanation-unusable' end as issue_type from e where e = '' or regexp_matches(e, '{quality.MISSING_EXPLANATION}') or regexp_matches(e, '{quality.UNUSABLE_EXPLANATION}')""")
+def missing_explanations(q):
+    return quality.missing_explanations(q)
+
+
+@_on("questions", sql=f"""
+select distinct id, field from ({_CELLS}) where field in ('stem', 'explanation', 'prompt', 'shared_stem') and regexp_matches(text, '{_RE2(quality.HIGH_RISK)}')""")
+def high_risk_wording(q):
+    return quality.high_risk_wording(q)
+
+
+@_on("questions")
+def structural_audit(q):
+    """All structural issues; NFKC signatures and row-dependent patterns have no DuckDB form."""
+    return quality.structural_issues(_ordered(q)).select("id", "severity", "kind", "field")
+
+
+@_on("questions")
+def structural_audit_counts(q):
+    return quality.issue_counts(quality.structural_issues(_ordered(q)), "severity", "kind")
+
+
+@_on("questions", sql="""
+with m as (select id, answer, unnest(regexp_extract_all(explanation, '(?i)(?:正确答案|答案|故|本题)(?:应|当|为|是|选|选择|选用|应该选择)*[：:，,。；; ]*([A-E])(?:[^A-Za-z]|$)', 1)) as stated from questions)
+select distinct id, upper(stated) as stated from m where upper(stated) is distinct from answer""")
+def stated_answer_conflicts(q):
+    return quality.stated_answer_conflicts(q)
+
+
+_LOOSE = lambda c: f"regexp_replace(coalesce({c}, ''), '[ \\t\\n\\x0B\\f\\r，。；：、（）()《》\"“”‘’？?！!]', '', 'g')"
+
+
+@_on("questions")
+def answer_not_explained(q):
+    return quality.answer_not_explained(q)
+
+
+@_on("questions", sql=f"""
+with r as (select id, coalesce(nullif(group_id, ''), id) as block, {_LOOSE(_TRIM.replace("text", "coalesce(explanation, '')"))} as t from questions)
+select min(id) as first_id, count(*) as members, count(distinct block) as groups from r where t <> '' group by t having count(*) > 1 and count(distinct block) > 1""")
+def repeated_explanations(q):
+    return quality.repeated_explanations(q)
+
+
+@_on("questions", sql=f"""
+with r as (select group_id, nullif(nullif({_TRIM.replace("text", "coalesce(explanation, '')")}, ''), '原文件未提供解析。') as given from questions where type = 'B1' and group_id <> '')
+select group_id, case when count(given) = 0 then 'none' when count(given) < count(*) then 'merged' when count(distinct given) = 1 then 'shared' else 'individual' end as policy,
+  count(distinct given) as texts from r group by group_id""")
+def explanation_policy(q):
+    return quality.explanation_policy(q)
+
+
+# ---- the answer log
+
+
+_CLEAN = """
+clean as (select session_id, seq, ts, received_at, mode, question_id, action, upper(letter) as letter from (
+  select *, row_number() over (partition by session_id, seq order by received_at, ts, question_id, coalesce(upper(letter), '')) as n from answer_log) where n = 1)"""
+
+
+@_on("answer_log", sql=f"with {_CLEAN} select session_id, seq, ts, received_at, mode, question_id, action, letter from clean")
+def clean_events(log):
+    return events.clean_events(log).select("session_id", "seq", "ts", "received_at", "mode", "question_id", "action", "letter")
+
+
+_FEEDBACK = """
+fb as (select c.*, q.answer, coalesce(letter = answer, false) as hit, coalesce(max(case when coalesce(letter = answer, false) then 1 else 0 end)
+    over (partition by session_id, question_id order by ts, seq rows between unbounded preceding and 1 preceding), 0) as done
+  from clean c join questions q on q.id = c.question_id where mode = 'review' and action = 'answer')"""
+
+
+@_on("answer_log", "questions", sql=f"""
+with {_CLEAN}, {_FEEDBACK} select session_id, question_id, count(*) as attempts, arg_min(hit, struct_pack(ts := ts, seq := seq)) as first_correct, bool_or(hit) as resolved,
+  last(letter order by ts, seq) as last_letter from fb where done = 0 group by session_id, question_id""")
+def first_attempt_fold(log, q):
+    clean = events.clean_events(log)
+    return events.feedback_fold(clean, q).select("session_id", "question_id", "attempts", "first_correct", "resolved", "last_letter")
+
+
+@_on("answer_log", "questions", sql=f"""
+with {_CLEAN}, {_FEEDBACK} select distinct session_id, question_id, letter, hit as "right" from fb where done = 0 and letter is not null""")
+def option_results(log, q):
+    return events.option_results(events.clean_events(log), q)
+
+
+_EXAM = """
+sub as (select session_id, min(struct_pack(ts := ts, seq := seq)) as at from clean where mode = 'exam' and action = 'submit' group by session_id),
+ans as (select c.session_id, c.question_id, sub.at.ts as submitted_at, last(letter order by c.ts, c.seq) as letter from clean c join sub using (session_id)
+  where mode = 'exam' and action = 'answer' and struct_pack(ts := c.ts, seq := c.seq) < sub.at group by all)"""
+
+
+@_on("answer_log", sql=f"with {_CLEAN}, {_EXAM} select session_id, question_id, submitted_at, letter from ans")
+def last_answer_before_submit(log):
+    return events.exam_answers(events.clean_events(log))
+
+
+@_on("answer_log", "questions", sql=f"""
+with {_CLEAN}, {_EXAM}, papers as (select distinct session_id, question_id from clean where mode = 'exam' and action = 'answer' and session_id in (select session_id from sub)),
+g as (select p.session_id, coalesce(a.letter = q.answer, false) as hit, a.letter is null as blank from papers p left join ans a using (session_id, question_id) left join questions q on q.id = p.question_id)
+select session_id, count(*) as total, count(*) filter (where hit) as correct, count(*) filter (where not hit) as wrong, count(*) filter (where blank) as unanswered from g group by session_id""")
+def grade_submission(log, q):
+    """Papers are all questions an exam session ever answered; answers after the submission leave them blank."""
+    clean = events.clean_events(log)
+    exam = clean.filter("mode = 'exam'")
+    submitted = exam.filter("action = 'submit'").select("session_id").distinct()
+    papers = exam.filter("action = 'answer'").select("session_id", "question_id").distinct().join(submitted, "session_id", "left_semi")
+    return events.grade_totals(events.grade(papers, events.exam_answers(clean), q))
+
+
+@_on("answer_log", "questions", sql=f"""
+with {_CLEAN}, {_FEEDBACK}, {_EXAM},
+ev as (select question_id, ts, session_id, seq, 'wrong' as kind, 'review' as source, false as unanswered from fb where done = 0 and not hit
+  union all select a.question_id, sub.at.ts, a.session_id, sub.at.seq, 'wrong', 'exam', a.letter is null from ans a join sub using (session_id) left join questions q on q.id = a.question_id where not coalesce(a.letter = q.answer, false)
+  union all select c.question_id, ts, session_id, seq, 'mark', null, false from clean c join questions q on q.id = c.question_id where mode = 'wrong-book' and action = 'answer' and letter = answer
+  union all select question_id, ts, session_id, seq, 'remove', null, false from clean where action = 'remove' and question_id is not null),
+o as (select *, struct_pack(ts := ts, s := session_id, seq := seq) as moment from ev),
+cut as (select question_id, max(moment) as cut from o where kind = 'remove' group by question_id),
+live as (select o.* from o left join cut using (question_id) where kind <> 'remove' and (cut is null or moment > cut)),
+w as (select question_id, min(moment) as first, count(*) as wrong_count, bool_or(source = 'review') as review, bool_or(source = 'exam') as exam, arg_max(source, moment) as last_source,
+  arg_max(unanswered, moment) as last_unanswered, max(ts) as last_wrong from live where kind = 'wrong' group by question_id),
+m as (select l.question_id, max(l.ts) as correct_at from live l join w on w.question_id = l.question_id where kind = 'mark' and moment > first group by l.question_id)
+select w.question_id, review, exam, wrong_count, last_source, last_unanswered, correct_at is not null as correct_in_book, correct_at, w.first.ts as created_at,
+  greatest(last_wrong, correct_at) as updated_at from w left join m using (question_id)""")
+def mistake_book_fold(log, q):
+    return events.mistake_fold(written(events.mistake_events(events.clean_events(log), q), "mistakes"))
+
+
+@_on("mistake_book", sql="""
+select question_id, coalesce(sources.review, false) as review, coalesce(sources.exam, false) as exam, greatest(1, coalesce(wrong_count, 1)) as wrong_count, last_source,
+  coalesce(last_unanswered, false) as last_unanswered, coalesce(correct_in_book, false) as correct_in_book, case when correct_in_book then correct_at end as correct_at, created_at, updated_at
+from mistake_book where question_id is not null""")
+def normalised_book(book):
+    return events.normalise_book(book)
+
+
+@_on("mistake_book", sql="select question_id, not coalesce(correct_in_book, false) as confirm from mistake_book where question_id is not null")
+def removal_confirmation(book):
+    return events.needs_confirmation(book)
+
+
+@_on("answer_log", "questions", sql="""
+select session_id, bool_and(question_id in (select id from questions)) as valid from answer_log where question_id is not null group by session_id""")
+def valid_sessions(log, q):
+    return events.valid_sessions(log, q)
+
+
+@_on("answer_log", sql="""
+select mode, action, date_trunc('month', ts) as month, count(*) as rows, count(distinct session_id) as sessions, count(*) filter (where received_at > ts + interval 1 day) as late
+from answer_log group by all""")
+def log_profile(log):
+    late = F.col("received_at") > F.col("ts") + F.make_dt_interval(F.lit(1))
+    return log.groupBy("mode", "action", F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month")).agg(
+        F.count("*").alias("rows"), F.count_distinct("session_id").alias("sessions"), F.count_if(late).alias("late")
+    )
+
+
+# ---- fusion and alignment
+
+
+@_on("answer_log", "questions", sql=f"""
+with {_CLEAN}, a as (select question_id, first(letter order by ts, session_id, seq) as low, last(letter order by ts, session_id, seq) as high from clean
+  where action = 'answer' and letter is not null group by question_id)
+select q.id, low, high, case when low in ('A','B','C','D','E') and high in ('A','B','C','D','E') and low <> high then null
+  else coalesce(case when low in ('A','B','C','D','E') then low end, case when high in ('A','B','C','D','E') then high end) end as fused
+from questions q left join a on a.question_id = q.id""")
+def answer_fusion(log, q):
+    """The first and the last letter given to each question as two readings of its key."""
+    at = F.struct("ts", "session_id", "seq")
+    rows = events.clean_events(log).filter("action = 'answer' and letter is not null").groupBy(F.col("question_id").alias("id")).agg(F.min_by("letter", at).alias("low"), F.max_by("letter", at).alias("high"))
+    return q.select("id").join(rows, "id", "left").select("id", "low", "high", fusion.fuse_letters(F.col("low"), F.col("high")).alias("fused"))
+
+
+@_on("questions")
+def sequence_alignment(q):
+    """Item numbers as a scanner may have read them (every 11th lost, every 7th unknown) aligned with the expected numbers of each paper."""
+    base = q.select(X.year_of(F.col("id")).alias("year"), "unit", "number").filter("year is not null and number is not null").distinct()
+    seen = base.filter("number % 11 <> 0").select("year", "unit", F.col("number").alias("pos"), F.when(F.col("number") % 7 != 0, F.col("number")).alias("number"))
+    papers = base.withColumn("paper", F.floor((F.col("number") - 1) / 150).cast("int"))
+    seen = seen.withColumn("paper", F.floor((F.col("pos") - 1) / 150).cast("int"))
+    return fusion.align_sequences(seen, papers.withColumn("ord", F.col("number")), ["year", "unit", "paper"])
+
+
+@_on("questions", "bank_sources")
+def near_match_stems(q, b):
+    """Best near matches of the stems from web sources among those of documents, under the alphanumeric key."""
+    rows = q.join(b.select("source", "kind"), "source").select("id", "kind", X.alnum_key(F.col("stem")).alias("text")).filter("text <> ''")
+    return fusion.near_matches(rows.filter("kind = 'web'").select("id", "text"), rows.filter("kind = 'docx'").select("id", "text"))
+
+
+@_on("questions", sql="select count(*) as n, count(distinct id) as ids, count(distinct type) as types from questions")
+def bank_counts(q):
+    return q.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("type").alias("types"))
+
+
+@_on("questions")
+def bank_fingerprint(q):
+    return files.fingerprint(q, ["id", "stem", "answer", "explanation"])
+
+
