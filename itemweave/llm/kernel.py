@@ -108,14 +108,17 @@ def hyperminhash(gram: np.ndarray, owner: np.ndarray, n: int, seeds: int, bits:
         np.minimum.at(low, cell, h << np.uint64(bits))
         low = low.reshape(n, m)
         empty = (low == full) & some[:, None]
-        cols, t = np.arange(m, dtype=np.uint64), 0
-        filled = low.copy()
-        while empty.any() and t < 4 * m:
+        cols, filled = np.arange(m, dtype=np.uint64), low.copy()
+        rows = np.flatnonzero(empty.any(axis=1))
+        for t in range(4 * m):
+            if not len(rows):
+                break
             src = (mix64(cols * np.uint64(0x10001) + np.uint64(977 * t + 13 * s + 1)) >> np.uint64(64 - bits)).astype(np.int64)
-            take = empty & (low[:, src] != full)
-            filled = np.where(take, low[:, src], filled)
-            empty &= ~take
-            t += 1
+            offer = low[rows][:, src]
+            take = empty[rows] & (offer != full)
+            filled[rows] = np.where(take, offer, filled[rows])
+            empty[rows] &= ~take
+            rows = rows[empty[rows].any(axis=1)]
         lz = 63 - np.floor(np.log2(np.maximum(filled, np.uint64(1)).astype(np.float64))).astype(np.int64)
         lz = np.clip(lz, 0, 60)
         part = ((filled << (lz + 1).astype(np.uint64)) >> np.uint64(64 - mantissa)).astype(np.uint16)
