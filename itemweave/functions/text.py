@@ -77,7 +77,7 @@ def answer_letter(text: Column) -> Column:
 
 def chinese_number(text: Column) -> Column:
     """Numerals up to 99; a lone 百 is 100; anything else is null."""
-    digit = lambda c: F.nullif(F.locate(c, F.lit("一二三四五六七八九")), F.lit(0))
+    digit = lambda c: F.nullif(F.position(c, F.lit("一二三四五六七八九")), F.lit(0))
     tens, ones = F.split_part(text, F.lit("十"), F.lit(1)), F.split_part(text, F.lit("十"), F.lit(2))
     with_ten = F.when(tens == "", 1).otherwise(digit(tens)) * 10 + F.when(ones == "", 0).otherwise(digit(ones))
     return F.when(text == "百", 100).when(text.contains("十"), with_ten).when(F.length(text) == 1, digit(text)).cast("int")

@@ -48,7 +48,7 @@ def apply_patches(items: DataFrame, patches: DataFrame, strict: bool = True, ord
     columns = {c: fix(c, F.col(c)) for c in ("stem", "explanation", "prompt", "shared_stem")}
     for column, prefix in (("options", "option-"), ("shared_options", "shared-option-")):
         columns[column] = _fixed_map(column, prefix)
-    return rows.withColumns(columns).select(*items.columns)
+    return rows.withColumns(columns).select(*items.columns)  # the items' own columns, in their order
 
 
 def backfill_status(items: DataFrame, backfills: DataFrame, suffix: str) -> DataFrame:
