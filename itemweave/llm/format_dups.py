@@ -46,12 +46,14 @@ def format_duplicates(questions: DataFrame) -> DataFrame:
 
 
 def deduplicated(questions: DataFrame) -> DataFrame:
-    """The bank with one record for each item (its smallest id) and the number of its copies, itself included."""
+    """The bank with one record for each item (its smallest id) and the number of its copies, itself included.
+
+    A column that is already called copies is replaced. Repeated rows of one id are one record.
+    """
     classes = item_classes(questions)
     kept = classes.filter("id = first_id").select("id", "copies").distinct()
     dropped = classes.filter("id <> first_id").select("id")
-    return (
-        questions.join(dropped, "id", "left_anti")
-        .join(kept, "id", "left")
-        .withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
-    )
+    columns = [c for c in questions.columns if c != "copies"]
+    rows = questions.select(F.col("id"), F.struct(*columns).alias("row")).dropDuplicates(["id"])
+    rows = rows.join(dropped, "id", "left_anti").join(kept, "id", "left")
+    return rows.select("row.*", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))

@@ -53,12 +53,13 @@ def without_site_lines(questions: DataFrame) -> DataFrame:
     Questions without a source, or of a source without excessive lines, come back unchanged.
     """
     lists = excessive_lines(questions)
-    matched = lookup_join(questions, lists, "source", "total")
+    rows = questions.select("source", F.struct(*questions.columns).alias("row"))
+    matched = lookup_join(rows, lists, "source", "total")
+    cleaned = F.col("row")
     for field in ("stem", "explanation"):
-        kept = F.filter(
-            F.arrays_zip(F.split(field, "\n").alias("raw"), _line_keys(F.col("source"), F.col(field)).alias("key")),
-            lambda x: x["key"].isNull() | ~F.array_contains(F.col("keys"), x["key"]),
-        )
-        matched = matched.withColumn(field, F.array_join(F.transform(kept, lambda x: x["raw"]), "\n"))
-    rest = questions.join(F.broadcast(lists.select("source")), "source", "left_anti")
-    return matched.select(*questions.columns).unionByName(rest.select(*questions.columns))
+        text = F.col("row")[field]
+        cells = F.arrays_zip(F.split(text, "\n").alias("raw"), _line_keys(F.col("source"), text).alias("key"))
+        kept = F.filter(cells, lambda x: x["key"].isNull() | ~F.array_contains(F.col("keys"), x["key"]))
+        cleaned = cleaned.withField(field, F.array_join(F.transform(kept, lambda x: x["raw"]), "\n"))
+    rest = rows.join(F.broadcast(lists.select("source")), "source", "left_anti").select("row")
+    return matched.select(cleaned.alias("row")).unionByName(rest).select("row.*")
