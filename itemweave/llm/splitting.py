@@ -20,11 +20,14 @@ _COMPILED = [re.compile(x) for x in _BOUNDARIES]
 
 
 def boundary_penalties(text: str) -> np.ndarray:
-    """The cost of a cut before each character (and at the end)."""
+    """The cost of a cut before each character (and at the end). White space after a mark may go to either side of the cut."""
     cost = np.full(len(text) + 1, PENALTIES[-1])
     for pattern, penalty in zip(_COMPILED[::-1], PENALTIES[-2::-1]):
         for m in pattern.finditer(text):
-            cost[m.end()] = min(cost[m.end()], penalty)
+            found = m.group()
+            for at in {m.end(), m.start() + len(found.rstrip())}:
+                if at and penalty < cost[at]:
+                    cost[at] = penalty
     return cost
 
 
