@@ -69,7 +69,8 @@ def whole_blocks(items: DataFrame, quotas: DataFrame, by: list[str], seed: int,
     heads = rows.filter(F.col(order) == F.col("block_pos")).select(*by, "block", "block_size").withColumn("draw", draw(seed, F.col("block")))
     heads = heads.join(F.broadcast(quotas), by)
     rank = F.row_number().over(W.partitionBy(*by, "block_size").orderBy("draw", "block"))
-    useful = heads.withColumn("r", rank).filter(F.col("r") * F.col("block_size") <= F.col("count"))
+    most = quotas.agg(F.max("count")).first()[0] or 0  # a literal limit on the rank is applied per task, before the shuffle
+    useful = heads.withColumn("r", rank).filter(F.col("r") <= most).filter(F.col("r") * F.col("block_size") <= F.col("count"))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["draw", "block"])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from itemweave.functions.text import bigrams, containment, year_of
 from itemweave.schema import GROUPED_TYPES, LETTERS
@@ -73,15 +72,18 @@ def next_number(items: DataFrame) -> DataFrame:
     return rows.join(following, ["year", "unit", "number"], "left").select("id", F.coalesce("next_exists", F.lit(False)).alias("next_exists"))
 
 
-def neighbour_overlap(items: DataFrame, order: str, expected: str, explanation: str, partition: str) -> DataFrame:
+def neighbour_overlap(items: DataFrame, order: list[str], expected: str, explanation: str, partition: str) -> DataFrame:
     """(id, own, neighbours, suspect): how well an explanation fits its own item and those next to it in the partition.
 
     Own below 0.08 and a neighbour better by more than 0.12 is suspect. First and last rows of a partition have one neighbour.
+    Neighbours are found by place in one total order, so a partition of any size is spread over all tasks.
     """
-    w = W.partitionBy(partition).orderBy(order)
-    rows = items.withColumns({"e": bigrams(F.col(expected)), "a": bigrams(F.coalesce(explanation, F.lit("")))})
-    rows = rows.withColumns({"before": F.lag("e").over(w), "after": F.lead("e").over(w)})
-    none = F.array().cast("array<string>")
-    best = F.greatest(*(containment(F.coalesce(c, none), F.col("a")) for c in ("before", "after")))
-    rows = rows.select("id", containment(F.col("e"), F.col("a")).alias("own"), best.alias("neighbours"))
-    return rows.withColumn("suspect", (F.col("own") < 0.08) & (F.col("neighbours") > F.col("own") + 0.12))
+    keys = [c for c in (partition, *order) if c != "id"]
+    rows = numbered(items.select("id", *keys, F.col(expected).alias("e"), F.coalesce(explanation, F.lit("")).alias("x")), partition, *order)
+    near = rows.select(F.col(partition).alias("other"), "pos", F.col("e").alias("ne"))
+    sides = [near.select((F.col("pos") + d).alias("pos"), F.col("other").alias(f"p{n}"), F.col("ne").alias(f"e{n}")) for n, d in enumerate((1, -1))]
+    both = rows.join(sides[0], "pos", "left").join(sides[1], "pos", "left")
+    found = bigrams(F.col("x"))
+    score = lambda n: F.when(F.col(f"p{n}") == F.col(partition), containment(bigrams(F.coalesce(f"e{n}", F.lit(""))), found)).otherwise(F.lit(0.0))
+    out = both.select("id", containment(bigrams(F.col("e")), found).alias("own"), F.greatest(score(0), score(1)).alias("neighbours"))
+    return out.withColumn("suspect", (F.col("own") < 0.08) & (F.col("neighbours") > F.col("own") + 0.12))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from itemweave import schema
 from itemweave.functions import text as X
-from itemweave.operators import bank, dedup, events, fusion, merge, paper, patches, quality, sequence
+from itemweave.operators import bank, dedup, events, fusion, lookup, merge, paper, patches, quality, scanned_bank, sequence
 from itemweave.session import written
 from itemweave.sources import files
 
@@ -331,9 +331,9 @@ s as (select id, case when len(e) > 0 then len(list_intersect(e, a)) / len(e) el
 select id, round(own, 9) as own, round(neighbours, 9) as neighbours, own < 0.08 and neighbours > own + 0.12 as suspect from s""")
 def neighbour_overlap(q):
     rows = q.filter("subject_id is not null").withColumns(
-        {"expected": F.concat("stem", F.coalesce(F.try_element_at("options", "answer"), F.lit(""))), "ord": F.struct("number", "id")}
+        {"expected": F.concat("stem", F.coalesce(F.try_element_at("options", "answer"), F.lit("")))}
     )
-    out = sequence.neighbour_overlap(rows, "ord", "expected", "explanation", "subject_id")
+    out = sequence.neighbour_overlap(rows, ["number", "id"], "expected", "explanation", "subject_id")
     return out.select("id", F.round("own", 9).alias("own"), F.round("neighbours", 9).alias("neighbours"), "suspect")
 
 
@@ -571,6 +571,52 @@ def mistake_book_fold(log, q):
     return events.mistake_fold(written(events.mistake_events(events.clean_events(log), q), "mistakes"))
 
 
+@_on("answer_log", "questions", sql=f"""
+with {_CLEAN}, {_EXAM}, g as (select a.session_id, a.question_id, dense_rank() over (partition by a.session_id order by a.question_id) as pos, coalesce(a.letter = q.answer, false) as hit,
+  case when q.type in ('A3', 'B1') and coalesce(q.group_id, '') <> '' then q.group_id else q.id end as block from ans a join questions q on q.id = a.question_id)
+select session_id, block, min(pos) as first_wrong, array_to_string(list(question_id order by pos), ',') as wrong_ids from g where not hit group by session_id, block""")
+def exam_result_groups(log, q):
+    """Blocks with wrong members of each graded exam; the paper's order is that of the ids."""
+    answers = events.exam_answers(events.clean_events(log))
+    graded = events.grade(answers.select("session_id", "question_id"), answers, q).join(q.select(F.col("id").alias("question_id")), "question_id", "left_semi")
+    ordered = graded.groupBy("session_id").agg(F.array_sort(F.collect_set("question_id")).alias("ids"))
+    placed = ordered.select("session_id", F.posexplode("ids").alias("pos", "question_id")).withColumn("pos", (F.col("pos") + 1).cast("long"))
+    rows = lookup.result_groups(graded.join(placed, ["session_id", "question_id"]), q)
+    return rows.select("session_id", "block", "first_wrong", F.array_join("wrong_ids", ",").alias("wrong_ids"))
+
+
+@_on("questions", sql="""
+select id, case when year between 2019 and 2022 and unit is not null then (unit - 1) * 150 + number else number end as source_number
+from (select id, unit, number, try_cast(regexp_extract(id, '^(\\d{4})(-|$)', 1) as integer) as year from questions)""")
+def source_numbers(q):
+    return q.select("id", X.source_number(F.col("id"), F.col("unit"), F.col("number")).alias("source_number"))
+
+
+@_on("questions", sql="""
+select id, case when options is null then '' else 'A:' || trim(coalesce(options['A'], '')) || '|B:' || trim(coalesce(options['B'], '')) || '|C:' || trim(coalesce(options['C'], ''))
+  || '|D:' || trim(coalesce(options['D'], '')) || '|E:' || trim(coalesce(options['E'], '')) end as signature from questions""")
+def option_signatures(q):
+    return q.select("id", lookup.option_signature(F.col("options")).alias("signature"))
+
+
+@_on("questions")
+def distributed_explanations(q):
+    return scanned_bank.distributed_explanations(q)
+
+
+@_on("questions", sql="""
+select id from questions where trim(coalesce(explanation, '')) not in ('', '原文件未提供解析。')""")
+def explained_items(q):
+    return lookup.explained(q, "原文件未提供解析。").select("id")
+
+
+@_on("mistake_book", "questions", sql="select question_id as id from mistake_book where question_id in (select id from questions) and wrong_count >= 2")
+def pruned_session(book, q):
+    """A mistake session of all entries with two errors or more, after pruning to what the bank still has."""
+    session = book.filter("wrong_count >= 2").select(F.col("question_id").alias("id"), F.lit(0).alias("pos"))
+    return lookup.pruned_ids(session, book, q).select("id")
+
+
 @_on("mistake_book", sql="""
 select question_id, coalesce(sources.review, false) as review, coalesce(sources.exam, false) as exam, greatest(1, coalesce(wrong_count, 1)) as wrong_count, last_source,
   coalesce(last_unanswered, false) as last_unanswered, coalesce(correct_in_book, false) as correct_in_book, case when correct_in_book then correct_at end as correct_at, created_at, updated_at
