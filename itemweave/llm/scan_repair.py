@@ -33,11 +33,12 @@ CONFUSED_LETTERS = ("c:e", "!:i", "1:l", "0:o", "5:s", "rn:m", "li:h", "cl:d", "
 #: A correction needs a variant so many times as frequent as the word read.
 RATIO, LEAST = 8.0, 5
 LATIN_RATIO = 4.0
+STRONG = 0.8  # share of a character's occurrences that are misreadings, from which on it always counts as one beside others
 BROADCAST_SOURCES = 20_000  # sources whose lists of lines may be broadcast
 
 _HAN = "\u4e00-\u9fff\u3400-\u4dbf"
 _STOP = re.compile(r"[。！？!?：:；;…】」』”\"|]\s*$|[.)）]\s*$")
-_GAP = re.compile(f"(?<=[{_HAN}]) +(?=[{_HAN}])")
+_GAP = re.compile(f"(?<=[{_HAN}]) (?=[{_HAN}])")  # wider gaps are layout
 _SITE = re.compile(r"[|｜▼►▲]")
 _HYPHEN = re.compile(r"(?<=[A-Za-z])[-¬‐­]\s*$")
 _STRAY_O = re.compile(f"(?<=[{_HAN}）)])[oｏ](?![A-Za-z])")
@@ -84,12 +85,19 @@ def _is_site(line: str, site: set[str]) -> bool:
     return any(abs(len(s) - len(folded)) <= 1 and len(s) >= 6 and sum(a != b for a, b in zip(s, folded)) <= max(1, len(s) // 5) for s in site)
 
 
+def _ends_only(before: str, line: str) -> bool:
+    """A line of marks alone, unless it closes a bracket that the line before it left open."""
+    if re.search(r"\w", line):
+        return False
+    return not any(c in line and before.count(o) > before.count(c) for o, c in ("（）", "()"))
+
+
 def structure(text: str, site: set[str], formulas: frozenset[str]) -> tuple[bool, str]:
     """(has traces of page and line, the text with edge lines removed, broken lines joined and gaps closed).
 
     A line end stays where a sentence, heading or listed point ends, and around lines of the source.
     """
-    from itemweave.llm import residue
+    from itemweave.llm import residue, truncation
 
     lines, traces, out, running = text.split("\n"), False, [], False
     several = len(lines) > 1
@@ -107,7 +115,7 @@ def structure(text: str, site: set[str], formulas: frozenset[str]) -> tuple[bool
         closed = _GAP.sub("", body) if not _SITE.search(body) else body
         if closed != body and not residue._WEAK.search(body):
             traces, line = True, closed
-        if running and not edges.is_bullet(line) and not _NOTE.fullmatch(line) and not residue._WEAK.search(out[-1][1]) and not residue._WEAK.search(line):
+        if running and not _ends_only(out[-1][1], body) and not edges.is_bullet(line) and not _NOTE.fullmatch(line) and not residue._WEAK.search(out[-1][1]) and not residue._WEAK.search(line):
             traces = True
             before = out[-1][1]
             if _HYPHEN.search(before) and re.match(r"\s*[a-z]", line):
@@ -117,7 +125,7 @@ def structure(text: str, site: set[str], formulas: frozenset[str]) -> tuple[bool
                 out[-1] = ("body", before.rstrip() + glue + line.strip())
         else:
             out.append(("body", line))
-        last = out[-1][1]
+        last = truncation._HIDDEN.sub("", out[-1][1]).rstrip()
         running = not _STOP.search(last) and not _ANSWER.search(last)
     return traces, "\n".join(x for _, x in out)
 
@@ -191,7 +199,7 @@ def _ideograph_corrections(counts: DataFrame) -> DataFrame:
     )
     # half of log((pair of b)² / total of b) for each side: both sides together give the trigram's log ratio
     ratio = F.log((F.coalesce("m", F.lit(0)) + 0.1) / (F.col("n") + 0.1)) - 0.5 * F.log(F.col("nb") / F.col("na"))
-    return rows.select("a", "b", "other", "side", ratio.alias("ratio"))
+    return rows.select("a", "b", "other", "side", "n", ratio.alias("ratio"))
 
 
 def _latin_corrections(words: DataFrame) -> DataFrame:
@@ -220,6 +228,19 @@ class _Readings:
     def __init__(self, rows: list):
         keys = {(r.side, ord(r.other), r.a, r.b): r.ratio for r in rows}
         self.read = np.array(sorted({ord(a) for a, _ in pairs()}), np.int64)
+        # characters that nearly always stand for another: beside them, a neighbour is also read as what they stand for
+        total, wrong = {}, {}
+        best: dict[tuple, tuple] = {}
+        for r in rows:
+            if r.side == "left":
+                key = (r.a, r.other)
+                best[key] = max(best.get(key, (-99.0, "", 0)), (r.ratio, r.b, r.n))
+        for (a, _), (ratio, b, n) in best.items():
+            total[a] = total.get(a, 0) + n
+            if ratio > np.log(RATIO) / 2:
+                wrong.setdefault(a, {}).setdefault(b, 0)
+                wrong[a][b] += n
+        self.stands_for = {ord(a): ord(max(w, key=w.get)) for a, w in wrong.items() if sum(w.values()) >= STRONG * total[a]}
         self.tables = {}
         for a, b in pairs():
             for side in ("left", "right"):
@@ -246,7 +267,12 @@ class _Readings:
                 others, values = self.tables[a, b, side]
                 k = np.minimum(np.searchsorted(others, near), max(len(others) - 1, 0))
                 ok = others[k] == near if len(others) else np.zeros(len(at), bool)
-                total += np.where(ok, values[k] if len(others) else 0.0, -9.0)
+                value = np.where(ok, values[k] if len(others) else 0.0, -9.0)
+                if len(others):
+                    meant_near = np.array([self.stands_for.get(int(c), -1) for c in near], np.int64)
+                    k = np.minimum(np.searchsorted(others, meant_near), len(others) - 1)
+                    value = np.where(others[k] == meant_near, np.maximum(value, values[k]), value)
+                total += value
             better = total > best[at]
             best[at[better]] = total[better]
             meant[at[better]] = ord(b)
@@ -294,7 +320,10 @@ def repaired_fields(questions: DataFrame) -> DataFrame:
                 one, new = structure(texts[n], folded[key], formulas)
                 two, fixed[n] = signs(new)
                 traced[n] = one or two
+            names = batch.column("field").to_pylist()
             for n, wrong in enumerate(readings.misread(fixed)):
+                if names[n] == "explanation":  # the last character of a broken-off explanation has no right neighbour to judge by
+                    wrong = [x for x in wrong if x[0] + 1 < len(fixed[n].rstrip())]
                 if wrong:
                     chars = list(fixed[n])
                     for at, c in wrong:
