@@ -184,6 +184,28 @@ def p4_repaired(questions):
     return scan_repair.repaired_fields(questions)
 
 
+SQL["p7_found"] = r"""
+with parts as (select id, unnest(list_concat([coalesce(stem, ''), coalesce(explanation, '')], coalesce(map_values(options), []))) as x from questions),
+p as (select id, regexp_replace(lower(coalesce(x, '')), '[^\p{L}\p{N}]+', '', 'g') as t from parts),
+g as (select distinct id, unnest(list_transform(generate_series(1, length(t) - 2), lambda i: substr(t, i, 3))) as g from p where length(t) >= 3),
+n as (select id, count(*) as n from g group by id),
+c as (select a.id as id_a, b.id as id_b, count(*) as shared from g a join g b on a.g = b.g and a.id < b.id group by all),
+k as (""" + _ITEM + r""")
+select distinct id_a, id_b from c join n a on a.id = id_a join n b on b.id = id_b join k x on x.id = id_a join k y on y.id = id_b
+where shared >= 0.6 * (a.n + b.n - shared) and x.item <> y.item"""
+
+_LEAKS = r"""
+d as (select doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') as t from documents),
+e as (select item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') as t from eval_items),
+dw as (select doc_id, unnest(list_transform(generate_series(1, length(t) - 39), lambda i: substr(t, i, 40))) as w from d where length(t) >= 40),
+ew as (select distinct item_id, unnest(list_transform(generate_series(1, length(t) - 39), lambda i: substr(t, i, 40))) as w from e where length(t) >= 40),
+leaks as (select distinct doc_id, item_id from dw join ew using (w))"""
+
+SQL["p8_found"] = f"with {_LEAKS} select doc_id, item_id from leaks"
+
+SQL["p8_leaked_items"] = f"with {_LEAKS} select item_id, count(*) as documents from leaks group by item_id"
+
+
 def sql() -> dict[str, str]:
     """All SQL; the text of p5_found is built from the look-alike tables here, not on import."""
     return SQL | {"p5_found": _p5_sql()}
