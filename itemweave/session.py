@@ -1,7 +1,9 @@
-"""Session settings and the shared scratch folder."""
+"""Session settings, the shared scratch folder, and sending this package to the executors."""
 
 from __future__ import annotations
 
+import atexit
+import io
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: dict[str, str] = {}
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -40,22 +43,50 @@ def scratch_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write `df` as a Parquet table into the shared folder and read it back.
 
-    The table outlives lost executors, and its columns are stored compressed, unlike a checkpoint's rows.
+    The table outlives lost executors, and its columns are stored compressed, unlike a checkpoint's rows. Tables are deleted
+    when the driver ends, or by clear_scratch() as soon as no result that reads them is needed any more.
     """
-    path = f"{scratch_dir(df.sparkSession)}/itemweave-{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/itemweave-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    """(file system, path) on the JVM side."""
+    context = spark.sparkContext
+    name = context._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(context._jsc.hadoopConfiguration()), name
+
+
+def clear_scratch() -> None:
+    """Delete the tables that written() made so far; sessions that ended are skipped."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            system, name = _path(spark, path)
+            system.delete(name, True)
+        except Exception:  # noqa: BLE001  the session is gone, and its temporary folder is no concern of a cluster
+            continue
+
+
+atexit.register(clear_scratch)
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Give the executors this package, so that functions pickled by reference load there; once for each context."""
     context = spark.sparkContext
     if _SHIPPED.get("to") != context.applicationId:
-        root = Path(__file__).resolve().parent
-        target = Path(tempfile.mkdtemp(prefix="itemweave-")) / "itemweave.zip"
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        root, data = Path(__file__).resolve().parent, io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
             for path in sorted(root.rglob("*.py")):
                 z.write(path, path.relative_to(root.parent))
-        context.addPyFile(str(target))
+        target = f"{scratch_dir(spark)}/{uuid.uuid4().hex}/itemweave.zip"
+        system, name = _path(spark, target)
+        out = system.create(name, True)
+        out.write(bytearray(data.getvalue()))
+        out.close()
+        context.addPyFile(target)
         _SHIPPED["to"] = context.applicationId
     return spark
