@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,10 +94,8 @@ def _slots(fragments: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def hash_text(key: str) -> int:
     """A slot of the linear model that is the same in every process."""
-    h = 0xCBF29CE484222325
-    for c in key:
-        h = ((h ^ ord(c)) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return (h ^ (h >> 29)) * 0x9E3779B97F4A7C15 % (1 << 64) >> (64 - linear.BITS)
+    h = zlib.crc32(key.encode())
+    return (h ^ (h >> 15)) * 0x9E3779B1 % (1 << 32) >> (32 - linear.BITS)
 
 
 def fit(texts: list[str]) -> np.ndarray:
