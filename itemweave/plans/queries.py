@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from itemweave import schema
 from itemweave.functions import text as X
-from itemweave.operators import bank, dedup, events, fusion, lookup, merge, paper, patches, quality, scanned_bank, sequence
+from itemweave.operators import bank, dedup, events, fusion, lookup, merge, paper, patches, quality, scanned_bank, sequence, validate
 from itemweave.session import written
 from itemweave.sources import files
 
@@ -455,6 +455,38 @@ def high_risk_wording(q):
     return quality.high_risk_wording(q)
 
 
+@_on("questions", sql="""
+with c as (select id, 'stem' as problem, trim(coalesce(stem, '')) = '' as bad from questions union all select id, 'explanation', trim(coalesce(explanation, '')) = '' from questions
+  union all select id, 'answer', not coalesce(answer in ('A', 'B', 'C', 'D', 'E'), false) from questions
+  union all select id, 'option-' || k, trim(coalesce(options[k], '')) = '' from questions, (select unnest(['A', 'B', 'C', 'D', 'E']) as k))
+select id, problem from c where bad""")
+def incomplete_items(q):
+    return validate.incomplete_items(q)
+
+
+@_on("questions", sql="""
+with e as (select unit, type, case when unit = 0 then 0 else cast(round(avg(n)) as bigint) end as expected from (select unit, type, source, count(*) as n from questions group by all) group by unit, type),
+a as (select unit, type, count(*) as actual from questions group by unit, type)
+select unit, type, expected, actual from e join a using (unit, type) where expected <> actual""")
+def count_validation(q):
+    """Each stratum against an expectation, here the rounded mean of its sources."""
+    per = q.groupBy("unit", "type", "source").agg(F.count("*").alias("n")).groupBy("unit", "type").agg(F.round(F.avg("n")).cast("long").alias("mean"))
+    expected = per.select("unit", "type", F.when(F.col("unit") == 0, 0).otherwise(F.col("mean")).cast("long").alias("expected"))
+    return validate.expected_counts(q, expected, ["unit", "type"])
+
+
+@_on("questions", "subjects", sql="""
+with n as (select subject_id, count(*) as actual from questions where subject_id is not null group by 1),
+r as (select coalesce(s.subject_id, n.subject_id) as subject_id, s.subject_id is not null as listed, coalesce(actual, 0) as n, s.ord * 100 as wanted, subject_name,
+  regexp_replace(source_file_name, '\\.[^.]*$', '') as bare from subjects s full join n on n.subject_id = s.subject_id)
+select subject_id, 'unknown' as problem from r where not listed union all select subject_id, 'count' from r where listed and n <> wanted
+union all select subject_id, 'empty' from r where listed and n = 0
+union all select subject_id, 'file-name' from r where listed and (regexp_matches(subject_name, '(?i)\\.txt$|[\\\\/]') or subject_name = bare)""")
+def subject_reconciliation(q, s):
+    """The subject list against the bank, with an announced count of 100 times the subject's order."""
+    return validate.subject_reconciliation(q, s.withColumn("count", F.col("ord") * 100))
+
+
 @_on("questions")
 def structural_audit(q):
     """All structural issues; NFKC signatures and row-dependent patterns have no DuckDB form."""
