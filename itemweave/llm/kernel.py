@@ -7,12 +7,17 @@ never on a whole table. "Letters and digits" are the Unicode categories L* and N
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPAN = 0x32400  # last assigned ideograph block ends below; everything above is no letter here
 _TABLES: dict[str, np.ndarray] = {}
 
+ROWS, BYTES = 2000, 1 << 22
+
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -43,6 +48,26 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     return _TABLES["keep"], _TABLES["lower"]
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: str, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows and BYTES bytes of the column (one row at least), so that long texts bound memory too.
+
+    The column holds texts or lists of texts.
+    """
+    for batch in batches:
+        values = batch.column(column)
+        if pa.types.is_list(values.type):
+            flat = pc.fill_null(pc.binary_length(values.flatten()), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(np.r_[0, flat])[np.cumsum(pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False))]
+        else:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + BYTES, side="right"))))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Flat code points of all texts and the text number of each."""
     lens = np.fromiter(map(len, texts), np.int64, len(texts))

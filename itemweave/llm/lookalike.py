@@ -111,7 +111,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0x110000, np.int64)
     strings: dict[str, int] = defaultdict(int)
     longer = {x for group in t["members"].values() for x in group if len(x) > 1}
-    for batch in batches:
+    for batch in K.bounded(batches, "text", 10_000):
         texts = batch.column(0).drop_null().to_pylist()
         flat, _ = K.codepoints(texts)
         total += np.bincount(flat, minlength=0x110000)
@@ -206,7 +206,7 @@ def consistent_fields(questions: DataFrame) -> DataFrame:
 
     def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rewrite = rewriter(to)
-        for batch in batches:
+        for batch in K.bounded(batches, "text", 10_000):
             case = pa.array(_cases(batch.column("text").to_pylist()))
             batch = batch.filter(case)
             yield batch.append_column("consistent", pa.array([rewrite(x) for x in batch.column("text").to_pylist()], pa.string()))
@@ -226,7 +226,7 @@ def consistent_texts(questions: DataFrame) -> DataFrame:
 
     def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rewrite = rewriter(to)
-        for batch in batches:
+        for batch in K.bounded(batches, "text", 10_000):
             texts = batch.column("text").to_pylist()
             case = _cases(texts)
             new = [rewrite(x) if y else x for x, y in zip(texts, case)]

@@ -27,7 +27,6 @@ THRESHOLD = 0.6
 SLACK = 0.2  # an estimate is off by less than this, 3 standard deviations of 64 registers
 BUCKET_CAP = 1024  # contents of a bucket paired in one task; larger buckets are paired by a distributed join
 BROADCAST_IDS = 2_000_000  # content keys (8 bytes each) that may be broadcast to pick the texts to verify
-_CHUNK = 2000
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, int]:
@@ -45,14 +44,8 @@ def _content_keys(gram: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return K.mix64(total).view(np.int64)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, _CHUNK):
-            yield batch.slice(at, _CHUNK)
-
-
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _chunks(batches):
+    for batch in K.bounded(batches, "parts"):
         texts, owner, n = _flat(batch)
         gram, owner = K.trigrams(texts, owner)
         key = _content_keys(gram, owner, n)
@@ -120,7 +113,7 @@ def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _chunks(batches):
+    for batch in K.bounded(batches, "parts"):
         texts, owner, n = _flat(batch)
         gram, owner = K.trigrams(texts, owner)
         reg = K.hyperminhash(gram, owner, n, SKETCH_SEEDS, BITS, SKETCH_MANTISSA)
@@ -133,7 +126,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _chunks(batches):
+    for batch in K.bounded(batches, "parts"):
         texts, owner, n = _flat(batch)
         gram, owner = K.trigrams(texts, owner)
         yield pa.RecordBatch.from_arrays([pa.array(_content_keys(gram, owner, n)), batch.column("parts")], ["content", "parts"])
@@ -158,7 +151,7 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _chunks(batches):
+    for batch in K.bounded(batches, "parts_a"):
         n = batch.num_rows
         grams, owners = [], []
         for side in ("parts_a", "parts_b"):

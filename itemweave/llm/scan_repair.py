@@ -149,7 +149,7 @@ def _pair_counts(texts: DataFrame) -> DataFrame:
         known = np.zeros(0x110000, bool)
         known[chars] = True
         keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in K.bounded(batches, "text", 10_000):
             flat, _ = K.codepoints(["^" + t + "$" for t in batch.column(0).to_pylist()])
             flat = flat[(flat != 10) & (flat != 32)].astype(np.int64)
             at = np.flatnonzero(known[flat])
@@ -309,7 +309,7 @@ def repaired_fields(questions: DataFrame) -> DataFrame:
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folded: dict[tuple, set[str]] = {}
-        for batch in batches:
+        for batch in K.bounded(batches, "text", 10_000):
             texts = batch.column("text").to_pylist()
             seen, fixed = batch.column("latin").to_numpy(zero_copy_only=False).copy(), list(texts)
             traced = np.zeros(len(texts), bool)

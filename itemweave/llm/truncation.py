@@ -152,24 +152,22 @@ def _bands(rows: DataFrame, formulas: frozenset[str]) -> DataFrame:
     """(band, content) of all texts; the lowest bit of content, the key of a text's id, says whether the text is open."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                texts = part.column("text").to_pylist()
-                flat, no = K.letters(texts)
-                if len(flat) < WORDS:
-                    continue
-                inside = no[: len(flat) - WORDS + 1] == no[WORDS - 1 :]
-                h = flat[: len(inside)].astype(np.uint64)
-                for k in range(1, WORDS):
-                    h = h * np.uint64(0x100000001B3) + flat[k : k + len(inside)]
-                reg = K.hyperminhash(h[inside], no[: len(inside)][inside], len(texts), SEEDS, BITS, MANTISSA)
-                keys = K.band_keys(reg, ROWS)
-                some = reg.any(axis=1)
-                opened = np.array([len(t) >= TAIL and not shut(t) and fragment(strip_formulas(t, formulas))[0] != "" for t in texts])
-                b = keys.shape[1]
-                key = (part.column("key").to_numpy() & ~1) | opened
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some].ravel().view(np.int64)), pa.array(np.repeat(key[some], b))], ["band", "content"])
+        for part in K.bounded(batches, "text"):
+            texts = part.column("text").to_pylist()
+            flat, no = K.letters(texts)
+            if len(flat) < WORDS:
+                continue
+            inside = no[: len(flat) - WORDS + 1] == no[WORDS - 1 :]
+            h = flat[: len(inside)].astype(np.uint64)
+            for k in range(1, WORDS):
+                h = h * np.uint64(0x100000001B3) + flat[k : k + len(inside)]
+            reg = K.hyperminhash(h[inside], no[: len(inside)][inside], len(texts), SEEDS, BITS, MANTISSA)
+            keys = K.band_keys(reg, ROWS)
+            some = reg.any(axis=1)
+            opened = np.array([len(t) >= TAIL and not shut(t) and fragment(strip_formulas(t, formulas))[0] != "" for t in texts])
+            b = keys.shape[1]
+            key = (part.column("key").to_numpy() & ~1) | opened
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some].ravel().view(np.int64)), pa.array(np.repeat(key[some], b))], ["band", "content"])
 
     return rows.select(F.xxhash64("id").alias("key"), "text").mapInArrow(bands, "band long, content long")
 

@@ -122,3 +122,15 @@ def test_distinct_grams_match_sets(sentence):
     _, off = K.distinct(gram, owner, len(texts))
     want = [len({strip(t)[i : i + 3] for i in range(len(strip(t)) - 2)}) for t in texts]
     assert np.diff(off)[:-1].tolist() == want[:-1]
+
+
+@pytest.mark.parametrize("size", [1, 50, 10**6])
+def test_bounded_parts_keep_every_row(monkeypatch, size):
+    monkeypatch.setattr(K, "BYTES", size)
+    texts = ["", None, "甲" * 40, "乙", "b" * 70, None, "c"]
+    lists = [["a", "bb"], [], None, ["甲" * 30], ["x"] * 9, [None], ["y"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(lists, pa.list_(pa.string()))], ["t", "l"])
+    for column in ("t", "l"):
+        parts = list(K.bounded(iter([batch, batch.slice(2, 4)]), column, 3))
+        assert [v for p in parts for v in p.column("t").to_pylist()] == texts + texts[2:6]
+        assert max(p.num_rows for p in parts) <= 3
