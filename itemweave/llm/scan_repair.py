@@ -34,6 +34,7 @@ CONFUSED_LETTERS = ("c:e", "!:i", "1:l", "0:o", "5:s", "rn:m", "li:h", "cl:d", "
 RATIO, LEAST = 8.0, 5
 LATIN_RATIO = 4.0
 STRONG = 0.8  # share of a character's occurrences that are misreadings, from which on it always counts as one beside others
+JOINT = "\x1d"  # between two Latin lines: a space, or nothing if both ends make a word the bank knows
 BROADCAST_SOURCES = 20_000  # sources whose lists of lines may be broadcast
 
 _HAN = "\u4e00-\u9fff\u3400-\u4dbf"
@@ -95,6 +96,7 @@ def _ends_only(before: str, line: str) -> bool:
 def structure(text: str, site: set[str], formulas: frozenset[str]) -> tuple[bool, str]:
     """(has traces of page and line, the text with edge lines removed, broken lines joined and gaps closed).
 
+    Latin lines without a hyphen are joined by JOINT, for the bank's words to decide.
     A line end stays where a sentence, heading or listed point ends, and around lines of the source.
     """
     from itemweave.llm import residue, truncation
@@ -122,6 +124,8 @@ def structure(text: str, site: set[str], formulas: frozenset[str]) -> tuple[bool
                 out[-1] = ("body", _HYPHEN.sub("", before) + line.strip())
             else:
                 glue = " " if re.search(r"[\w,;.]$", before, re.A) and re.match(r"\s*\w", line, re.A) else ""
+                if re.search(r"[A-Za-z]$", before.rstrip()) and re.match(r"[a-z]", line.strip()):
+                    glue = JOINT
                 out[-1] = ("body", before.rstrip() + glue + line.strip())
         else:
             out.append(("body", line))
@@ -342,12 +346,18 @@ def repaired_fields(questions: DataFrame) -> DataFrame:
     latin = done.filter(F.col("repaired").rlike("[A-Za-z]{4}"))
     held = latin.select("id", "field", F.explode(F.array_distinct(_tokens(F.col("repaired")))).alias("token")).join(corrections, "token")
     fixes = held.groupBy("id", "field").agg(F.map_from_entries(F.collect_set(F.struct("token", "meant"))).alias("fixes"))
-    both = done.join(fixes, ["id", "field"], "left").filter("traced or fixes is not null")
+    joints = done.filter(F.col("repaired").contains(JOINT)).select("id", "field", F.explode(F.regexp_extract_all(F.lower("repaired"), F.lit(f"([a-z]+{JOINT}[a-z]+)"))).alias("joint"))
+    known = joints.withColumn("token", F.replace("joint", F.lit(JOINT), F.lit(""))).join(counted.filter(F.col("n") >= LEAST), "token")
+    glued = known.groupBy("id", "field").agg(F.collect_set("joint").alias("glued"))
+    both = done.join(fixes, ["id", "field"], "left").join(glued, ["id", "field"], "left").filter("traced or fixes is not null")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, fixes in zip(batch.column("repaired").to_pylist(), batch.column("fixes").to_pylist()):
+            for text, fixes, glued in zip(*(batch.column(c).to_pylist() for c in ("repaired", "fixes", "glued"))):
+                for joint in glued or ():
+                    text = re.sub(rf"(?i)(?<![a-z]){joint}(?![a-z])", lambda m: m.group(0).replace(JOINT, ""), text)
+                text = text.replace(JOINT, " ")
                 for token, meant in fixes or ():
                     text = re.sub(rf"(?i)(?<![A-Za-z!|0156]){re.escape(token)}(?![A-Za-z!|0156])", lambda m: meant.capitalize() if m.group(0)[0].isupper() else meant, text)
                 out.append(text)
