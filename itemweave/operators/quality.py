@@ -46,7 +46,9 @@ HISTORY_OCR = r"原文件未提供解析|[•●▪〖〗【】]|·209|原7|訂|
 ANSWER_MARKER = r"答案[：:]|解析[：:]|型题"
 AUDIT_PLACEHOLDER = r"^(?:原文件未提供解析。?|略。?|实记题。?|\d{1,3})$"
 AUDIT_UNUSABLE = r"(?i)^[A-E]?\s*略\s*[。．.]?(?:\s*[【〖][^】〗]*[】〗]\s*[。．.]?)?$"
-ANCHOR_STARTS = r"患者|患儿|下列|上述|治疗|诊断|某|女性|男性"
+# A question number inside another text, by what stands before and after it, and one at its end.
+ANCHOR = (r"(?:[·•]\s*(?:", r")(?=\s*[（(]|$)|(?:^|[^\d])(?:", r")[.．、]\s*(?:(?:[【〖]\s*)?(?:解析|一\s*点\s*笔\s*记)|患者|患儿|下列|上述|治疗|诊断|某|女性|男性))")
+TRAILING = (r"(?i)(?:^|[·。；;，,\s])(?:", r")(?:[IL])?[.．、]?\s*$")
 STATED_ANSWER = r"(?i)(?:正确答案|答案|故|本题)(?:应|当|为|是|选|选择|选用|应该选择)*[：:，,。；; ]*([A-E])(?=[^A-Za-z]|$)"
 PLACEHOLDER_STEM = r"^(?:[【\[]?\s*配伍题\s*[】\]]?|A[1234](?:\s*/\s*A4)?型题|B1型题)[（(]?\s*[)）]?$"
 
@@ -153,11 +155,8 @@ def structural_issues(items: DataFrame, order: str = "bank_ord") -> DataFrame:
     cells = cells.withColumn("audited", audited)
     any_of = lambda c: F.array_join(F.transform(c, lambda n: n.cast("string")), "|")
     a, n = any_of("anchors"), any_of("nexts")
-    merged = F.concat(
-        F.lit(r"(?:[·•]\s*(?:"), a, F.lit(r")(?=\s*[（(]|$)|(?:^|[^\d])(?:"), a,
-        F.lit(r")[.．、]\s*(?:(?:[【〖]\s*)?(?:解析|一\s*点\s*笔\s*记)|" + ANCHOR_STARTS + "))"),
-    )
-    trailing = F.concat(F.lit(r"(?i)(?:^|[·。；;，,\s])(?:"), n, F.lit(r")(?:[IL])?[.．、]?\s*$"))
+    merged = F.concat(F.lit(ANCHOR[0]), a, F.lit(ANCHOR[1]), a, F.lit(ANCHOR[2]))
+    trailing = F.concat(F.lit(TRAILING[0]), n, F.lit(TRAILING[1]))
     has_digit = F.col("raw").rlike(r"\d")
     text_tests = [(kind, F.col("audited").rlike(pattern)) for kind, pattern in AUDIT_RULES]
     text_tests += [

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemweave import schema
@@ -40,10 +40,6 @@ def _ordered(questions: DataFrame) -> DataFrame:
     return questions.withColumn("bank_ord", F.struct(micros.alias("t"), F.col("id").alias("i")))
 
 
-def _hash(n: int, *cols: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("long") % n
-
-
 # ---- profiles, projections, filters
 
 
@@ -259,24 +255,22 @@ def patched_fields(q, p):
 
 _REPLICA = """
 local as (select 'mistakes' as collection, question_id as key, wrong_count as version, strftime(updated_at, '%Y-%m-%dT%H:%M:%S') as updated_at, 'local' as payload
-  from mistake_book where extract(minute from created_at) % 4 <> 0),
-remote as (select 'mistakes' as collection, question_id as key, wrong_count + extract(second from created_at)::int % 3 - 1 as version,
-  strftime(updated_at + interval 1 minute * (extract(hour from created_at)::int % 3 - 1), '%Y-%m-%dT%H:%M:%S') as updated_at, 'remote' as payload
-  from mistake_book where extract(minute from created_at) % 4 <> 1)"""
+  from mistake_book where sources.review),
+remote as (select 'mistakes' as collection, question_id as key, case when last_source = 'exam' then wrong_count + 1 when last_unanswered then null else wrong_count end as version,
+  strftime(coalesce(correct_at, updated_at), '%Y-%m-%dT%H:%M:%S') as updated_at, 'remote' as payload from mistake_book where sources.exam or correct_in_book)"""
 
 
 @_on("mistake_book", sql=f"""
 with {_REPLICA}, r as (select *, 1 as held from local union all select *, 0 from remote),
 o as (select *, row_number() over (partition by collection, key order by coalesce(version, 0) desc, coalesce(updated_at, '') desc, held desc) as n from r)
-select collection, key, cast(version as integer) as version, updated_at, payload from o where n = 1""")
+select collection, key, version, updated_at, payload from o where n = 1""")
 def lww_merge(book):
-    """Two replicas derived from the book, merged."""
-    base = book.withColumns({"m": F.minute("created_at"), "s": F.second("created_at"), "h": F.hour("created_at")})
+    """The book as two devices hold it, one that reviews and one that sits exams and marks, merged."""
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     shape = lambda df, v, u, p: df.select(F.lit("mistakes").alias("collection"), F.col("question_id").alias("key"), v.cast("int").alias("version"), iso(u).alias("updated_at"), F.lit(p).alias("payload"))
-    local = shape(base.filter("m % 4 <> 0"), F.col("wrong_count"), F.col("updated_at"), "local")
-    moved = F.col("updated_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("h") % 3 - 1)
-    remote = shape(base.filter("m % 4 <> 1"), F.col("wrong_count") + F.col("s") % 3 - 1, moved, "remote")
+    local = shape(book.filter("sources.review"), F.col("wrong_count"), F.col("updated_at"), "local")
+    version = F.when(F.col("last_source") == "exam", F.col("wrong_count") + 1).when(~F.coalesce("last_unanswered", F.lit(False)), F.col("wrong_count"))
+    remote = shape(book.filter("sources.exam or correct_in_book"), version, F.coalesce("correct_at", "updated_at"), "remote")
     return merge.merge_replicas(local, remote)
 
 
@@ -696,12 +690,12 @@ def answer_fusion(log, q):
 
 @_on("questions")
 def sequence_alignment(q):
-    """Item numbers as a scanner may have read them (every 11th lost, every 7th unknown) aligned with the expected numbers of each paper."""
-    base = q.select(X.year_of(F.col("id")).alias("year"), "unit", "number").filter("year is not null and number is not null").distinct()
-    seen = base.filter("number % 11 <> 0").select("year", "unit", F.col("number").alias("pos"), F.when(F.col("number") % 7 != 0, F.col("number")).alias("number"))
-    papers = base.withColumn("paper", F.floor((F.col("number") - 1) / 150).cast("int"))
-    seen = seen.withColumn("paper", F.floor((F.col("pos") - 1) / 150).cast("int"))
-    return fusion.align_sequences(seen, papers.withColumn("ord", F.col("number")), ["year", "unit", "paper"])
+    """Item numbers as a careless reading has them (items without a subject lost, numbers of unexplained items unknown) against the expected numbers of each paper."""
+    rows = q.withColumns({"year": X.year_of(F.col("id")), "paper": F.floor((F.col("number") - 1) / 150).cast("int")}).filter("year is not null and number is not null")
+    by = ["year", "unit", "paper"]
+    seen = rows.groupBy(*by, F.col("number").alias("pos")).agg(F.max(F.when(F.col("explanation").isNotNull(), F.col("number"))).alias("number"), F.max("subject_id").alias("s"))
+    wanted = rows.select(*by, "number").distinct().withColumn("ord", F.col("number"))
+    return fusion.align_sequences(seen.filter("s is not null").drop("s"), wanted, by)
 
 
 @_on("questions", "bank_sources")
