@@ -50,7 +50,7 @@ def links() -> Iterator[tuple[str, str, bool]]:
             yield c, "", False
         elif kind in ("Zs", "Zl", "Zp") and c != " ":
             yield c, " ", False
-        elif 0xFF10 <= i <= 0xFF5A and kind[0] in "LN" or 0x1D400 <= i <= 0x1D7FF or 0x2F00 <= i <= 0x2FDF or 0xF900 <= i <= 0xFAFF or 0x2F800 <= i <= 0x2FA1F or 0xFF66 <= i <= 0xFF9D or i in (0x212A, 0x212B):
+        elif 0xFF10 <= i <= 0xFF5A and kind[0] in "LN" or 0x1D400 <= i <= 0x1D7FF or 0x2F00 <= i <= 0x2FDF or 0xF900 <= i <= 0xFAFF or 0x2F800 <= i <= 0x2FA1F or 0xFF66 <= i <= 0xFF9D or 0xFB00 <= i <= 0xFB06 or i in (0x212A, 0x212B):
             usual = unicodedata.normalize("NFKC", c)
             if usual != c:
                 yield c, usual, False
