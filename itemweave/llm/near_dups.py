@@ -218,15 +218,16 @@ def near_duplicates(questions: DataFrame) -> DataFrame:
     within = members.groupBy("content").agg(F.countDistinct("item").alias("items"), F.count("*").alias("n"))
     # contents that are linked, or that hold several items
     wanted = within.join(nodes.withColumn("linked", F.lit(True)), "content", "left").filter("linked or items > 1")
-    some = written(lookup_join(members, wanted.select("content", "n", "items"), "content", "n"), "p7-some")
-    a = some.select(F.col("content").alias("a"), F.col("id").alias("id1"), F.col("item").alias("item1"))
-    b = some.select(F.col("content").alias("b"), F.col("id").alias("id2"), F.col("item").alias("item2"))
-    pairs = links.select("a", "b").join(a, "a").join(b, "b").filter("item1 <> item2").select("id1", "id2")
-    several = some.filter("items > 1")
-    a = several.select("content", F.col("id").alias("id1"), F.col("item").alias("item1"))
-    b = several.select("content", F.col("id").alias("id2"), F.col("item").alias("item2"))
-    inside = a.join(b, "content").filter("item1 <> item2 and id1 < id2").select("id1", "id2")
-    pairs = pairs.unionByName(inside)
+    some = lookup_join(members, wanted.select("content", "n"), "content", "n").select("content", "item", "id").distinct()
+    some = written(some.withColumn("unit", F.xxhash64("content", "item")), "p7-some")
+    # links between units (one item's records of one content) first, so that no two records of one item ever meet
+    units = some.select("content", "item", "unit").distinct()
+    side = lambda k, n: units.select(F.col("content").alias(k), F.col("item").alias(f"item{n}"), F.col("unit").alias(f"unit{n}"))
+    between = links.select("a", "b").join(side("a", 1), "a").join(side("b", 2), "b").filter("item1 <> item2").select("unit1", "unit2")
+    inside = side("content", 1).join(side("content", 2), "content").filter("item1 < item2").select("unit1", "unit2")
+    linked = written(between.unionByName(inside).distinct(), "p7-units")
+    ids = lambda n: some.select(F.col("unit").alias(f"unit{n}"), F.col("id").alias(f"id{n}"))
+    pairs = linked.join(ids(1), "unit1").join(ids(2), "unit2").filter("id1 <> id2")
     return pairs.select(F.least("id1", "id2").alias("id_a"), F.greatest("id1", "id2").alias("id_b")).distinct()
 
 

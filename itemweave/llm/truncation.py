@@ -71,7 +71,8 @@ def fragment(text: str) -> tuple[str, bool]:
 
 def shut(text: str) -> bool:
     """A quick test that holds for most texts: the last character closes a sentence and no marker ends in it."""
-    return text[-1] in "。！？）】」』”" or (text[-1] == "." and not text.endswith(".."))
+    end = text[-1:]
+    return end != "" and (end in "。！？）】」』”" or (end == "." and not text.endswith("..")))
 
 
 def _slots(fragments: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,12 +132,10 @@ def _own_lines(questions: DataFrame) -> DataFrame:
     rows = questions.filter("explanation is not null and trim(explanation) <> ''").select("id", "source", "explanation")
     lists = excessive_lines(questions)
     normal = lambda x: F.trim(F.regexp_replace(x, SPACE, " "))
-    several = rows.filter(F.col("explanation").contains("\n"))
-    matched = lookup_join(several, lists, "source", "total")
+    matched = lookup_join(rows, lists, "source", "total")
     kept = F.filter(F.split("explanation", "\n"), lambda x: ~F.array_contains("keys", F.xxhash64(F.col("source"), normal(x))))
     matched = matched.select("id", "source", F.array_join(kept, "\n").alias("text"))
-    other = several.join(F.broadcast(lists.select("source")), "source", "left_anti")
-    rest = rows.filter(~F.col("explanation").contains("\n")).unionByName(other).select("id", "source", F.col("explanation").alias("text"))
+    rest = rows.join(F.broadcast(lists.select("source")), "source", "left_anti").select("id", "source", F.col("explanation").alias("text"))
     return matched.unionByName(rest)
 
 

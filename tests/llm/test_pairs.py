@@ -134,3 +134,13 @@ def test_bounded_parts_keep_every_row(monkeypatch, size):
         parts = list(K.bounded(iter([batch, batch.slice(2, 4)]), column, 3))
         assert [v for p in parts for v in p.column("t").to_pylist()] == texts + texts[2:6]
         assert max(p.num_rows for p in parts) <= 3
+
+
+def test_a_hot_item_with_two_contents(items, sentence):
+    """Half of all records are one item, under two explanations that are near each other, and one edited item."""
+    s, e = sentence(1, 40), sentence(2, 80)
+    rows = [{"id": f"h{i:03d}", "stem": s, "options": {"A": "x"}, "explanation": e + ("又" * (i % 2))} for i in range(60)]
+    rows += [{"id": "edit", "stem": s + "甲", "options": {"A": "x"}, "explanation": e}]
+    rows += [{"id": f"o{i}", "stem": sentence((i, 5), 40), "options": {"A": "x"}, "explanation": sentence((i, 6), 80)} for i in range(60)]
+    got = {tuple(r) for r in near_dups.near_duplicates(items(*rows)).collect()}
+    assert got == {("edit", f"h{i:03d}") for i in range(60)}
