@@ -26,7 +26,7 @@ SKETCH_SEEDS, SKETCH_MANTISSA = 1, 4  # registers used for the estimate
 THRESHOLD = 0.6
 SLACK = 0.2  # an estimate is off by less than this, 3 standard deviations of 64 registers
 BUCKET_CAP = 1024  # contents of a bucket paired in one task; larger buckets are paired by a distributed join
-BROADCAST_IDS = 2_000_000  # content keys (8 bytes each) that may be broadcast to pick the texts to verify
+BROADCAST_IDS = 500_000  # ids that may be broadcast to pick the texts to verify
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, int]:
@@ -125,13 +125,6 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in K.bounded(batches, "parts"):
-        texts, owner, n = _flat(batch)
-        gram, owner = K.trigrams(texts, owner)
-        yield pa.RecordBatch.from_arrays([pa.array(_content_keys(gram, owner, n)), batch.column("parts")], ["content", "parts"])
-
-
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard estimates from two n x registers arrays: the share of equal registers less what chance makes equal.
 
@@ -194,11 +187,11 @@ def content_links(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
         .mapInArrow(_plausible, "a long, b long")
     )
     plausible = written(plausible, "p7-plausible")
-    needed = written(plausible.select(F.explode(F.array("a", "b")).alias("content")).distinct(), "p7-needed")
-    if needed.count() <= BROADCAST_IDS:
-        needed = F.broadcast(needed)
-    texts = written(parts.mapInArrow(_keyed, "content long, parts array<string>").join(needed, "content", "left_semi"), "p7-texts")
-    texts = texts.dropDuplicates(["content"])
+    needed = plausible.select(F.explode(F.array("a", "b")).alias("content")).distinct()
+    # one record speaks for each content, so texts are picked by id and nothing is hashed again
+    speakers = written(members.join(needed, "content").groupBy("content").agg(F.min("id").alias("id")), "p7-speakers")
+    picked = F.broadcast(speakers) if speakers.count() <= BROADCAST_IDS else speakers
+    texts = written(items.select("id", "parts").join(picked, "id").select("content", "parts"), "p7-texts").dropDuplicates(["content"])
     pairs = plausible.join(texts.select(F.col("content").alias("a"), F.col("parts").alias("parts_a")), "a").join(
         texts.select(F.col("content").alias("b"), F.col("parts").alias("parts_b")), "b"
     )
