@@ -238,3 +238,26 @@ def explanation_policy(items: DataFrame) -> DataFrame:
     )
     policy = F.when(F.col("given") == 0, "none").when(F.col("given") < F.col("members"), "merged").when(F.col("texts") == 1, "shared").otherwise("individual")
     return rows.select("group_id", policy.alias("policy"), "texts")
+
+
+def placeholder_stems(items: DataFrame) -> DataFrame:
+    """(id): stems that hold nothing but a type label."""
+    return items.filter(trimmed(F.col("stem")).rlike(PLACEHOLDER_STEM)).select("id")
+
+
+def group_member_issues(items: DataFrame) -> DataFrame:
+    """(group_id, kind): groups of fewer than two members ('single'), with blank prompts ('blank-prompt'), and B1 groups whose members'
+    options differ from each other or from the shared ones ('options'). Options are compared trimmed, in letter order.
+    """
+    from itemweave.operators.lookup import option_signature
+
+    rows = items.filter("group_id <> ''").select(
+        "group_id", "type", option_signature(F.col("options")).alias("own"), option_signature(F.col("shared_options")).alias("shared"), (trimmed(F.col("prompt")) == "").alias("blank")
+    )
+    g = rows.groupBy("group_id").agg(
+        F.count("*").alias("n"), F.max("blank").alias("blank"), F.min("type").alias("type"), F.count_distinct("own").alias("owns"), F.max(F.col("own") != F.col("shared")).alias("differs")
+    )
+    kinds = F.array(
+        F.when(F.col("n") < 2, "single"), F.when(F.col("blank"), "blank-prompt"), F.when((F.col("type") == "B1") & ((F.col("owns") != 1) | F.col("differs")), "options")
+    )
+    return g.select("group_id", F.explode(F.array_compact(kinds)).alias("kind"))

@@ -499,6 +499,24 @@ def stated_answer_conflicts(q):
     return quality.stated_answer_conflicts(q)
 
 
+@_on("questions", sql=f"select id from questions where regexp_matches({_TRIM.replace('text', 'stem')}, '{quality.PLACEHOLDER_STEM}')")
+def placeholder_stems(q):
+    return quality.placeholder_stems(q)
+
+
+_SIGNATURE = lambda c: "case when " + c + " is null then '' else " + " || '|' || ".join(f"'{k}:' || trim(coalesce({c}['{k}'], ''))" for k in schema.LETTERS) + " end"
+
+
+@_on("questions", sql=f"""
+with r as (select group_id, type, {_SIGNATURE("options")} as own, {_SIGNATURE("shared_options")} as shared, {_TRIM.replace("text", "coalesce(prompt, '')")} = '' as blank
+  from questions where group_id <> ''),
+g as (select group_id, count(*) as n, bool_or(blank) as blank, min(type) as type, count(distinct own) as owns, bool_or(own <> shared) as differs from r group by group_id)
+select group_id, 'single' as kind from g where n < 2 union all select group_id, 'blank-prompt' from g where blank
+union all select group_id, 'options' from g where type = 'B1' and (owns <> 1 or differs)""")
+def group_member_issues(q):
+    return quality.group_member_issues(q)
+
+
 _LOOSE = lambda c: f"regexp_replace(coalesce({c}, ''), '[ \\t\\n\\x0B\\f\\r，。；：、（）()《》\"“”‘’？?！!]', '', 'g')"
 
 

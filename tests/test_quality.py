@@ -58,3 +58,11 @@ def test_subject_rules(spark, items):
     b = {"type": "B1", "group_id": "g"}
     assert [r.policy for r in quality.explanation_policy(items(b | {"explanation": "同"}, b | {"explanation": "同"})).collect()] == ["shared"]
     assert [r.policy for r in quality.explanation_policy(items(b | {"explanation": ""}, b | {"explanation": "同"})).collect()] == ["merged"]
+
+
+def test_group_members(spark, items):
+    same = {k: k for k in "ABCDE"}
+    b = {"type": "B1", "group_id": "g", "prompt": "问", "options": same, "shared_options": same}
+    q = items(b, b, b | {"group_id": "h"}, b | {"group_id": "i", "prompt": " "}, b | {"group_id": "i", "options": same | {"A": "x"}}, {"stem": "【配伍题】（）"}, {"stem": "A1型题"}, {"stem": "A1型题干"})
+    assert kinds(quality.group_member_issues(q), "group_id", "kind") == {("h", "single"), ("i", "blank-prompt"), ("i", "options")}
+    assert {i[0][-3:] for i in kinds(quality.placeholder_stems(q), "id")} == {"006", "007"}
