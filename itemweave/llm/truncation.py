@@ -27,7 +27,7 @@ from itemweave.session import written
 TRAIN_ROWS, CUTS, PENALTY, ROUNDS = 2500, 3, 1e-7, 100
 #: A line of its own in so large a share of all explanations (in three at least) is a formula, not part of the explanation.
 FORMULA_SHARE, FORMULA_LETTERS = 1 / 5000, 4
-WORDS, SIMILARITY = 5, 0.8  # shingles of five letters
+WORDS, SIMILARITY = 5, 0.8  # shingles of five letters; what a cut text and the aligned part of its copy share of theirs at least
 SEEDS, BITS, MANTISSA, ROWS = 1, 6, 10, 5  # 64 registers in 12 bands
 TAIL = 12  # letters that have to agree where a copy is aligned
 
@@ -187,12 +187,21 @@ def _aligned(text: str) -> str:
     return _NORMAL.sub("", re.sub(r"[！？!?]|\.(?=\s|$)", "。", plain(text).lower()))
 
 
+def similarity(a: str, b: str) -> float:
+    """The Jaccard similarity of the shingles of two aligned texts; sentence ends don't count."""
+    a, b = ({t[i : i + WORDS] for i in range(len(t) - WORDS + 1)} for t in (a.replace("。", ""), b.replace("。", "")))
+    return len(a & b) / max(len(a | b), 1)
+
+
 def compare(cut: str, copy: str) -> int:
-    """1 if the copy goes on inside the sentence where `cut` ends, -1 if its sentence ends there, 0 if they don't align."""
+    """1 if the copy goes on inside the sentence where `cut` ends, -1 if its sentence ends there, 0 if they don't align.
+
+    Only the copy up to there has to be similar, so an early cut is compared with as much of its copy as it holds.
+    """
     a, b = _aligned(_MARKER.sub("", cut.rstrip())), _aligned(copy)
     tail = a[-TAIL:]
     at = b.find(tail) if len(tail) == TAIL else -1
-    if at < 0 or b.find(tail, at + 1) >= 0:
+    if at < 0 or b.find(tail, at + 1) >= 0 or similarity(a, b[: at + TAIL]) < SIMILARITY:
         return 0
     following = b[at + TAIL : at + TAIL + 1]
     return -1 if following in ("", "。") else 1

@@ -51,6 +51,17 @@ def test_compare():
     assert truncation.compare("甲", "乙") == 0
 
 
+def test_compare_asks_for_similar_texts(sentence):
+    tail, body, other = "故应以健脾化湿之法治之为宜", "".join(sentence(i) for i in range(4)), "".join(sentence(i) for i in range(10, 14))
+    for rest in ("且忌生冷。", "。", ""):
+        assert truncation.compare(body + tail, other + tail + rest) == 0
+    assert truncation.compare(body + tail, body + tail + "且忌生冷。") == 1 and truncation.compare(body + tail, body + tail + "。") == -1
+    # a cut in the first tenth of the text, and a copy with one changed letter
+    late = "".join(sentence(i) for i in range(20, 60))
+    assert truncation.compare(body + tail, body + tail + "且忌" + late) == 1
+    assert truncation.compare(body + tail, "甲" + body[1:] + tail + "且忌生冷。") == 1
+
+
 # ---- p2
 
 
