@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itemweave.functions.identity import stripped
 from itemweave.llm import edges, linear, near_dups, residue
 from itemweave.llm import kernel as K
 from itemweave.llm.site_lines import SPACE, excessive_lines
@@ -25,7 +26,7 @@ from itemweave.operators.skew import lookup_join
 from itemweave.session import written
 
 TRAIN_ROWS, CUTS, PENALTY, ROUNDS = 2500, 3, 1e-7, 100
-#: A line of its own in so large a share of all explanations (in three at least) is a formula, not part of the explanation.
+#: A line of its own after so many different texts, as a share of all explanations (three at least), is a formula, not part of the explanation.
 FORMULA_SHARE, FORMULA_LETTERS = 1 / 5000, 4
 WORDS, SIMILARITY = 5, 0.8  # shingles of five letters; what a cut text and the aligned part of its copy share of theirs at least
 SEEDS, BITS, MANTISSA, ROWS = 1, 6, 10, 5  # 64 registers in 12 bands
@@ -140,11 +141,19 @@ def _own_lines(questions: DataFrame) -> DataFrame:
 
 
 def _formulas(rows: DataFrame, total: int) -> list[str]:
-    """Lines that end many explanations whole; their number is bounded by 1 / FORMULA_SHARE."""
-    line = F.trim(F.regexp_replace(F.element_at(F.split(F.rtrim("text"), "\n"), -1), SPACE, " "))
+    """Lines that end many different explanations whole; their number is bounded by 1 / FORMULA_SHARE.
+
+    What counts is the number of different texts before the line, by their letters: the last line of an explanation with
+    many copies follows one text only.
+    """
+    text = F.rtrim("text")
+    last = F.element_at(F.split(text, "\n"), -1)
+    line = F.trim(F.regexp_replace(last, SPACE, " "))
+    before = F.xxhash64(stripped(text.substr(F.lit(1), F.length(text) - F.length(last))))
     least = max(3.0, total * FORMULA_SHARE)
-    counts = rows.filter(F.col("text").contains("\n")).groupBy(line.alias("line")).agg(F.count("*").alias("n"))
-    return [r.line for r in counts.filter((F.col("n") >= least) & (F.length("line") >= FORMULA_LETTERS)).collect()]
+    ends = rows.filter(F.col("text").contains("\n")).select(line.alias("line"), before.alias("before")).filter(F.length("line") >= FORMULA_LETTERS)
+    counts = ends.distinct().groupBy("line").agg(F.count("*").alias("n"))
+    return [r.line for r in counts.filter(F.col("n") >= least).collect()]
 
 
 def _bands(rows: DataFrame, formulas: frozenset[str]) -> DataFrame:
@@ -203,7 +212,9 @@ def compare(cut: str, copy: str) -> int:
     at = b.find(tail) if len(tail) == TAIL else -1
     if at < 0 or b.find(tail, at + 1) >= 0 or similarity(a, b[: at + TAIL]) < SIMILARITY:
         return 0
-    following = b[at + TAIL : at + TAIL + 1]
+    following, end = b[at + TAIL : at + TAIL + 1], plain(copy)[-24:]
+    if following == "" and (_MARKER.search(end) or not _END.search(end)):
+        return 0  # the copy breaks off at the same place, so it is no witness
     return -1 if following in ("", "。") else 1
 
 

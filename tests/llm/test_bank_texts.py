@@ -62,6 +62,21 @@ def test_compare_asks_for_similar_texts(sentence):
     assert truncation.compare(body + tail, "甲" + body[1:] + tail + "且忌生冷。") == 1
 
 
+def test_last_line_of_copies_is_no_formula(items, sentence):
+    cut = sentence("c") + "\n若肝心脾肺"
+    copies = [{"id": f"cut{i}", "explanation": cut if i % 2 else " " + cut.replace("。", " 。")} for i in range(40)]
+    thanks = [{"id": f"ok{i}", "explanation": sentence((i, "t")) + "\n祝各位复习顺利"} for i in range(4)]
+    q = plain_bank(items, sentence, more=[{**r, "source": f"s{n}"} for n, r in enumerate(copies + thanks)])
+    assert truncation._formulas(q.selectExpr("explanation as text"), q.count()) == ["祝各位复习顺利"]
+    assert {i for i in ids(truncation.found(q)) if not i.startswith("a")} == {r["id"] for r in copies}
+
+
+def test_copy_that_breaks_off_too_is_no_witness(sentence):
+    text = sentence(1) + "若肝心脾肺肾胆当从气血阴阳"
+    assert [truncation.compare(text, text + end) for end in ("", "…", "<", "\n- 12 -")] == [0, 0, 0, 0]
+    assert [truncation.compare(text, text + end) for end in ("。", "）", "。\n- 12 -")] == [-1, -1, -1]
+
+
 # ---- p2
 
 
@@ -161,6 +176,12 @@ def test_misread_characters_and_words(items):
     assert got["m1", "stem"] == "头痛脉濡者，治宜宣散。" and got["m2", "explanation"] == "The patient shows dizziness of the kidney."
 
 
+def test_broken_last_line_of_copies_is_joined(items, sentence):
+    rows = [{"id": f"c{i}", "stem": "x", "explanation": sentence("b")[:-1] + "肝主疏\n泄气机而藏血液。", "options": {}, "source": f"s{i}"} for i in range(40)]
+    got = {(r.id, r.field): r.repaired for r in scan_repair.repaired_fields(items(*rows)).collect()}
+    assert got == {(r["id"], "explanation"): r["explanation"].replace("\n", "") for r in rows}
+
+
 # ---- p5
 
 
