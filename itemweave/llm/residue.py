@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from itemweave.llm import kernel as K
 from itemweave.llm import linear
+from itemweave.operators.sequence import numbered
 from itemweave.session import written
 
 #: Rows of each weak label that the model is fitted on; they are the first in the order of a hash of id.
 TRAIN_ROWS = 5000
 PENALTY, ROUNDS, THRESHOLD = 2e-7, 150, 0.0
 HELD_OUT_OF = 4  # one in so many sources is held out for validation
+COUNTS = ("clauses", "weak", "agreed", "missed", "extra")
 
 # Phrases and response statuses, in the regular-expression dialect that Python and Java share.
 PATTERNS = (
@@ -191,16 +193,33 @@ def without_residue(questions: DataFrame) -> DataFrame:
     return questions.join(found(questions), "id", "left_anti")
 
 
+def _counts(weights: np.ndarray, rows: DataFrame) -> DataFrame:
+    """(source, clauses, weak, agreed, missed, extra) of rows (source, explanation), one row for each source of a part of a batch."""
+    packed = weights.astype(np.float32)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, automaton = packed.astype(np.float64), _automaton()
+        for part in K.bounded(batches, "explanation"):
+            texts = part.column("explanation").to_pylist()
+            bad, parts, text_no = _apply(w, texts)
+            label = np.array([m and bool(_WEAK.search(c)) for m, p in zip((weak(t, automaton) for t in texts), parts) for c in p], bool)
+            names, of = np.unique(np.array(part.column("source").to_pylist(), object), return_inverse=True)
+            each = [np.bincount(of[text_no], weights=x, minlength=len(names)).astype(np.int64) for x in (np.ones(len(label)), label, label & bad, label & ~bad, bad & ~label)]
+            yield pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()), *map(pa.array, each)], ["source", *COUNTS])
+
+    return rows.mapInArrow(count, f"source string, {', '.join(f'{c} long' for c in COUNTS)}")
+
+
 def validation(questions: DataFrame) -> DataFrame:
-    """(source, clauses, weak, agreed, missed, extra) on sources that the model never saw, one in HELD_OUT_OF, against the weak labels."""
-    rows = training_rows(questions)
-    names = sorted({r.source or "" for r in rows})
-    held = set(names[::HELD_OUT_OF])
-    weights = fit([r for r in rows if (r.source or "") not in held])
-    out = []
-    for name in sorted(held):
-        texts = [r.explanation for r in rows if (r.source or "") == name]
-        bad, parts, _ = _apply(weights, texts)
-        weak = np.array([bool(_WEAK.search(c)) for p in parts for c in p], bool)
-        out.append((name, len(weak), int(weak.sum()), int((weak & bad).sum()), int((weak & ~bad).sum()), int((bad & ~weak).sum())))
-    return questions.sparkSession.createDataFrame(out, "source string, clauses long, weak long, agreed long, missed long, extra long")
+    """(source, clauses, weak, agreed, missed, extra) on sources that the model never saw, one in HELD_OUT_OF, against the weak labels.
+
+    Sources come from the whole table, and every explanation of a held-out source is counted; a source without any has
+    zeros. Questions without a source are those of the source ''. Only the sample that the model is fitted on is bounded.
+    """
+    rows = questions.select("id", F.coalesce("source", F.lit("")).alias("source"), "explanation")
+    names = written(numbered(rows.select("source").distinct(), "source"), "p2-sources")
+    held = names.filter(F.col("pos") % HELD_OUT_OF == 1).select("source")
+    weights = fit(training_rows(rows.join(held, "source", "left_anti")))
+    texts = rows.filter("explanation is not null").join(held, "source", "left_semi").select("source", "explanation")
+    counts = _counts(weights, texts).groupBy("source").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    return held.join(counts, "source", "left").select("source", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in COUNTS))

@@ -103,6 +103,19 @@ def test_residue_on_unseen_sources(items, sentence):
     assert sum(r.agreed for r in v) >= 0.95 * sum(r.weak for r in v) and sum(r.extra for r in v) <= 0.02 * sum(r.clauses for r in v)
 
 
+def test_validation_counts_every_explanation_of_whole_sources(items, sentence, monkeypatch):
+    monkeypatch.setattr(residue, "TRAIN_ROWS", 20)  # a sample that leaves most rows out
+    rows = [{"id": f"{s}{i}", "source": f"s{s}", "explanation": RESIDUE[i % 10] if i % 4 == 0 else sentence((s, i))} for s in range(1, 8) for i in range(60)]
+    rows += [{"id": "n1", "source": "s0", "explanation": None}, {"id": "n2", "source": "s0", "explanation": ""}, {"id": "n3", "source": "s9", "explanation": None}]
+    got = {r.source: r for r in residue.validation(items(*rows)).collect()}
+    assert set(got) == {"s0", "s4", "s9"}  # of s0 to s7 and s9, every fourth
+    for s in got:
+        parts = [c for r in rows if r["source"] == s and r["explanation"] for c in residue.clauses(r["explanation"])]
+        v = got[s]
+        assert (v.clauses, v.weak) == (len(parts), sum(bool(residue._WEAK.search(c)) for c in parts))
+        assert v.agreed + v.missed == v.weak and v.extra <= v.clauses - v.weak
+
+
 def test_every_weak_label_holds_a_trigger():
     automaton = residue._automaton()
     for t in [*RESIDUE, "Traceback (most recent call last): KeyError: 'a'", "<请在此输入解析内容>", "本题考查%s的内容", "______", "……………………", "xxx，xxx", "HTTP Status 500 - 请求的资源不可用", "SQLSTATE[HY000]: General error", "Access denied. Request id 1"]:
