@@ -37,18 +37,18 @@ def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def mixture(documents: DataFrame, targets: DataFrame, seed: int = SEED, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(sizes, copies): tokens of all documents, and (doc_id, source, tokens, copies) of the documents in the mixture.
+def mixture(documents: DataFrame, targets: DataFrame, seed: int = SEED, tokenizer: str | None = None, text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(sizes, copies): tokens of all documents, and (doc_id, source, tokens, copies) of the documents in the mixture, with text where asked for.
 
     A document is used floor(rate) times, and once more with the probability of the fraction, decided by a hash of seed and
     doc_id. Documents without a source, or with null or empty text, are no part of the mixture. Repeated doc_ids count as
     rows of their own.
     """
-    sizes = written(with_tokens(documents, tokenizer), "p9-sizes")
+    sizes = written(with_tokens(documents, tokenizer, text), "p9-sizes")
     rate = rates(sizes, targets).filter("rate > 0").select("source", "rate")
     copies = F.floor("rate") + (_uniform(F.col("doc_id"), seed=seed) < F.col("rate") - F.floor("rate")).cast("long")
     chosen = sizes.filter("tokens > 0").join(rate, "source").withColumn("copies", copies).filter("copies > 0")
-    return sizes, chosen.select("doc_id", "source", "tokens", "copies")
+    return sizes, chosen.select("doc_id", "source", "tokens", "copies", *(["text"] if text else []))
 
 
 def report(documents: DataFrame, targets: DataFrame, seed: int = SEED, tokenizer: str | None = None) -> DataFrame:
@@ -64,6 +64,6 @@ def report(documents: DataFrame, targets: DataFrame, seed: int = SEED, tokenizer
 
 
 def mixed(documents: DataFrame, targets: DataFrame, seed: int = SEED, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, source, copy, tokens): one row for every use of a document."""
-    _, chosen = mixture(documents, targets, seed, tokenizer)
-    return chosen.select("doc_id", "source", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"), "tokens")
+    """(doc_id, source, copy, tokens, text): the documents of the mixture, one row for every use of a document."""
+    _, chosen = mixture(documents, targets, seed, tokenizer, text=True)
+    return chosen.select("doc_id", "source", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"), "tokens", "text")

@@ -48,14 +48,14 @@ def token_ends(enc: tiktoken.Encoding, text: str) -> np.ndarray:
     return np.where(starts_char[ends], chars[ends - 1], -1) if len(ends) else np.zeros(0, np.int64)
 
 
-def with_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, source, tokens) of every document; a null text has 0 tokens."""
-    vocab = vocabulary(path)
+def with_tokens(documents: DataFrame, path: str | None = None, text: bool = False) -> DataFrame:
+    """(doc_id, source, tokens) of every document, and its text where asked for; a null text has 0 tokens."""
+    vocab, more = vocabulary(path), ["text"] if text else []
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocab)
         for batch in batches:
             n = pa.array([len(enc.encode_ordinary(x)) if x else 0 for x in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), n], ["doc_id", "source", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), n, *(batch.column(c) for c in more)], ["doc_id", "source", "tokens", *more])
 
-    return documents.select("doc_id", "source", "text").mapInArrow(count, "doc_id long, source string, tokens long")
+    return documents.select("doc_id", "source", "text").mapInArrow(count, "doc_id long, source string, tokens long" + ", text string" * text)

@@ -96,6 +96,13 @@ def test_mixture_reaches_its_shares(spark, sentence):
     assert sum(r.tokens for r in used) == sum(r.tokens for r in rep.values())
 
 
+def test_mixture_holds_whole_documents(spark, sentence):
+    rows = [(7, "甲的文本。", "a"), (7, "另一文本。\n第二行", "a"), (8, "b" * 20_000, "a")]
+    t = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
+    used = mixing.mixed(docs(spark, rows), t).collect()
+    assert sorted((r.doc_id, r.text, r.source, r.copy) for r in used) == sorted((*r, k) for r in rows for k in (1, 2))
+
+
 def test_mixture_of_nothing(spark):
     t = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
     d = docs(spark, [(1, None, None)])
