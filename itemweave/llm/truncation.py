@@ -71,7 +71,10 @@ def fragment(text: str) -> tuple[str, bool]:
 
 
 def shut(text: str) -> bool:
-    """A quick test that holds for most texts: the last character closes a sentence and no marker ends in it."""
+    """A quick test that holds for most texts of one line: the last character closes a sentence and no marker ends in it.
+
+    With more lines the last one can be a formula or page line, which has to go first.
+    """
     end = text[-1:]
     return end != "" and (end in "。！？）】」』”" or (end == "." and not text.endswith("..")))
 
@@ -172,7 +175,7 @@ def _bands(rows: DataFrame, formulas: frozenset[str]) -> DataFrame:
             reg = K.hyperminhash(h[inside], no[: len(inside)][inside], len(texts), SEEDS, BITS, MANTISSA)
             keys = K.band_keys(reg, ROWS)
             some = reg.any(axis=1)
-            opened = np.array([len(t) >= TAIL and not shut(t) and fragment(strip_formulas(t, formulas))[0] != "" for t in texts])
+            opened = np.array([len(t) >= TAIL and ("\n" in t or not shut(t)) and fragment(strip_formulas(t, formulas))[0] != "" for t in texts])
             b = keys.shape[1]
             key = (part.column("key").to_numpy() & ~1) | opened
             yield pa.RecordBatch.from_arrays([pa.array(keys[some].ravel().view(np.int64)), pa.array(np.repeat(key[some], b))], ["band", "content"])
@@ -235,7 +238,7 @@ def truncated(questions: DataFrame) -> DataFrame:
         for batch in batches:
             ids, sources, texts, fragments = [], [], [], []
             for i, s, t in zip(*(batch.column(c).to_pylist() for c in ("id", "source", "text"))):
-                if shut(t):
+                if "\n" not in t and shut(t):
                     continue
                 t = strip_formulas(t, formulas)
                 if not t or (_END.search(t[-24:]) and not _MARKER.search(t[-24:])):

@@ -71,6 +71,13 @@ def test_last_line_of_copies_is_no_formula(items, sentence):
     assert {i for i in ids(truncation.found(q)) if not i.startswith("a")} == {r["id"] for r in copies}
 
 
+def test_cut_before_a_closed_formula_or_page_line(items, sentence):
+    thanks = [{"id": f"ok{i}", "explanation": sentence((i, "t")) + "\n祝各位复习顺利！", "source": f"t{i}"} for i in range(4)]
+    more = [{"id": f"cut{i}", "explanation": sentence((i, "u")) + "若肝心脾肺\n" + end, "source": f"u{i}"} for i, end in enumerate(("祝各位复习顺利！", "【12】", "（12）"))]
+    q = plain_bank(items, sentence, more=thanks + more)
+    assert {i for i in ids(truncation.found(q)) if not i.startswith("a")} == {"cut0", "cut1", "cut2"}
+
+
 def test_copy_that_breaks_off_too_is_no_witness(sentence):
     text = sentence(1) + "若肝心脾肺肾胆当从气血阴阳"
     assert [truncation.compare(text, text + end) for end in ("", "…", "<", "\n- 12 -")] == [0, 0, 0, 0]
