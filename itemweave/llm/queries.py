@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from itemweave.llm import contamination, format_dups, lookalike, mixing, near_dups, residue, scan_repair, site_lines, splitting, truncation
 
@@ -27,6 +28,11 @@ def _on(*tables: str):
     return register
 
 
+def _without_maps(rows: DataFrame) -> DataFrame:
+    """Whole records; maps become arrays of their entries, which can be compared."""
+    return rows.select(*(F.map_entries(c).alias(c) if kind.startswith("map<") else c for c, kind in rows.dtypes))
+
+
 @_on("questions")
 def p3_found(questions):
     return format_dups.format_duplicates(questions)
@@ -37,6 +43,11 @@ def p3_deduplicated(questions):
     return format_dups.deduplicated(questions).select("id", "source", "copies")
 
 
+@_on("questions")
+def p3_kept_records(questions):
+    return _without_maps(format_dups.deduplicated(questions))
+
+
 _ITEM = r"""
 select id, source, regexp_replace(lower(coalesce(stem, '')), '[^\p{L}\p{N}]+', '', 'g') || chr(31) || array_to_string(list_sort(
   list_transform(coalesce(map_values(options), []), lambda x: regexp_replace(lower(coalesce(x, '')), '[^\p{L}\p{N}]+', '', 'g'))), chr(31)) as item
@@ -156,7 +167,7 @@ def p2_found(questions):
 
 @_on("questions")
 def p2_clean_bank(questions):
-    return residue.without_residue(questions).select("id", "source", "explanation")
+    return _without_maps(residue.without_residue(questions))
 
 
 @_on("questions")

@@ -27,3 +27,12 @@ COLUMNS = {
 @pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_columns(spark, name):
     assert llm.QUERIES[name](spark, SMALL).columns == COLUMNS[name]
+
+
+@pytest.mark.parametrize(("name", "more"), [("p2_clean_bank", []), ("p3_kept_records", ["copies"])])
+def test_whole_records(spark, name, more):
+    bank = spark.read.parquet(f"{SMALL}/questions.parquet")
+    bank = bank.selectExpr(*(f"map_entries({c}) as {c}" if kind.startswith("map<") else c for c, kind in bank.dtypes))
+    got = llm.QUERIES[name](spark, SMALL)
+    assert sorted(got.columns) == sorted(bank.columns + more)
+    assert got.count() > 0 and got.select(bank.columns).exceptAll(bank).count() == 0
