@@ -2,7 +2,11 @@
 
 A content is the bag of three-letter runs of stem, explanation and options. Equal contents share one content key, so
 copies travel as one row; bands, candidates and verification concern different contents only. Links are listed between
-contents and expanded to records at the end, because the result is defined on records.
+contents and expanded to records at the end, because the result is defined on records. A record without any run has no
+content, so it is no copy of other such records.
+
+Bands that many different contents share (items written from one template) leave the one-pass pairing. Their contents are
+joined by an exact prefix filter instead: each content's rarest runs, as many as a pair at the threshold must have in common.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from itemweave.functions.identity import option_values, stripped
 from itemweave.llm import kernel as K
@@ -20,12 +25,14 @@ from itemweave.operators.components import connected_components
 from itemweave.operators.skew import lookup_join
 from itemweave.session import written
 
-SEEDS, BITS, MANTISSA = 5, 6, 10  # 320 registers
-ROWS = 6  # registers to a band: 53 bands, which miss 0.13 % of pairs at a similarity of 0.7 and 1.6 % at 0.65
-SKETCH_SEEDS, SKETCH_MANTISSA = 1, 4  # registers used for the estimate
+SEEDS, BITS, MANTISSA = 12, 5, 10  # 384 registers in groups of 32, which even short texts fill
+ROWS = 6  # registers to a band: 64 bands; of 13,558 pairs among 200,000 questions they miss one, at 0.66
+SKETCH_SEEDS, SKETCH_MANTISSA = 2, 4  # registers used for the estimate
 THRESHOLD = 0.6
 SLACK = 0.2  # an estimate is off by less than this, 3 standard deviations of 64 registers
-BUCKET_CAP = 1024  # contents of a bucket paired in one task; larger buckets are paired by a distributed join
+BUCKET_CAP = 1024  # contents of a bucket paired in one task; those of larger buckets are joined by the exact prefix filter
+SAMPLE = 64  # one content in so many, by its key, counts for finding hot bands before the shuffle
+HOT_BAND = 100_000  # estimated contents of a band from which on it isn't shuffled at all; there are at most bands * contents / HOT_BAND
 BROADCAST_IDS = 500_000  # ids that may be broadcast to pick the texts to verify
 
 
@@ -44,25 +51,41 @@ def _content_keys(gram: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return K.mix64(total).view(np.int64)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in K.bounded(batches, "parts"):
-        texts, owner, n = _flat(batch)
-        gram, owner = K.trigrams(texts, owner)
-        key = _content_keys(gram, owner, n)
-        bands = K.band_keys(K.hyperminhash(gram, owner, n, SEEDS, BITS, MANTISSA), ROWS)
-        some = np.zeros(n, bool)
-        some[owner] = True
-        _, first = np.unique(key, return_index=True)  # copies within the batch go once
-        first = first[some[first]]
-        b = bands.shape[1]
-        packed = (np.arange(b, dtype=np.int64)[None, :] << 32) | (bands[first] >> np.uint64(32)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(packed.ravel()), pa.array(np.repeat(key[first], b))], ["band", "content"])
+def _band_rows(gram: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """n x bands: the number of the band above 32 bits of its registers' hash."""
+    bands = K.band_keys(K.hyperminhash(gram, owner, n, SEEDS, BITS, MANTISSA), ROWS)
+    return (np.arange(bands.shape[1], dtype=np.int64)[None, :] << 32) | (bands >> np.uint64(32)).astype(np.int64)
+
+
+def _bands(hot: np.ndarray):
+    """(band, content) of the contents of each batch; for the bands in `hot` once for each content, with band -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.bounded(batches, "parts"):
+            texts, owner, n = _flat(batch)
+            gram, owner = K.trigrams(texts, owner)
+            key = _content_keys(gram, owner, n)
+            some = np.zeros(n, bool)
+            some[owner] = True
+            _, first = np.unique(key, return_index=True)  # copies within the batch go once
+            first = first[some[first]]
+            bands = _band_rows(gram, owner, n)[first]
+            apart = np.isin(bands, hot) if len(hot) else np.zeros(bands.shape, bool)
+            hit = apart.any(axis=1)
+            content = np.repeat(key[first], bands.shape[1])
+            keep = ~apart.ravel()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.r_[bands.ravel()[keep], np.full(hit.sum(), -1, np.int64)]), pa.array(np.r_[content[keep], key[first][hit]])], ["band", "content"]
+            )
+
+    return run
 
 
 def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the contents of each bucket from rows sorted by (band, content): (-1, a, b).
+    """Pairs of the contents of each bucket from rows sorted by band: (-1, a, b).
 
     Holds at most one bucket up to BUCKET_CAP contents. The members of larger buckets pass through as (band, content, null).
+    A content that occurs several times in a bucket counts once.
     """
     band_left, left, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
@@ -87,6 +110,8 @@ def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         band = np.concatenate([band_left, batch.column("band").to_numpy()])
         content = np.concatenate([left, batch.column("content").to_numpy()])
+        order = np.lexsort((content, band))
+        band, content = band[order], content[order]
         new = np.ones(len(band), bool)
         new[1:] = (band[1:] != band[:-1]) | (content[1:] != content[:-1])
         band, content = band[new], content[new]
@@ -113,15 +138,26 @@ def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, item, content, sketch, bands); content is null without runs, bands is null but for the contents of the sample."""
     for batch in K.bounded(batches, "parts"):
         texts, owner, n = _flat(batch)
         gram, owner = K.trigrams(texts, owner)
         reg = K.hyperminhash(gram, owner, n, SKETCH_SEEDS, BITS, SKETCH_MANTISSA)
         low = ((np.minimum(reg >> SKETCH_MANTISSA, 15) << SKETCH_MANTISSA) | (reg & 15)).astype(np.uint8)
-        rows = [r.tobytes() for r in low]
+        none = np.ones(n, bool)
+        none[owner] = False
+        key = _content_keys(gram, owner, n)
+        chosen = ~none & (key % SAMPLE == 0)
+        bands: list = [None] * n
+        if chosen.any():
+            at = np.flatnonzero(chosen)
+            own = np.cumsum(chosen) - 1
+            of = chosen[owner]
+            for i, row in zip(at, _band_rows(gram[of], own[owner[of]], len(at))):
+                bands[i] = row.tolist()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("item"), pa.array(_content_keys(gram, owner, n)), pa.array(rows, pa.binary())],
-            ["id", "item", "content", "sketch"],
+            [batch.column("id"), batch.column("item"), pa.array(key, mask=none), pa.array([r.tobytes() for r in low], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+            ["id", "item", "content", "sketch", "bands"],
         )
 
 
@@ -170,33 +206,74 @@ def _items(questions: DataFrame) -> DataFrame:
     return questions.select("id", item.alias("item"), parts.alias("parts"))
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(content, size, gram): the distinct runs of each content."""
+    for batch in K.bounded(batches, "parts"):
+        texts, owner, n = _flat(batch)
+        gram, off = K.distinct(*K.trigrams(texts, owner), n)
+        size = np.diff(off)
+        content = batch.column("content").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(content, size)), pa.array(np.repeat(size, size).astype(np.int32)), pa.array(gram.astype(np.int64))], ["content", "size", "gram"])
+
+
+def prefix_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of the contents (content, parts) that can reach THRESHOLD; none that does is missing.
+
+    Two sets with a Jaccard similarity of t share at least t / (1 + t) of their sizes' sum, so they share one of the first
+    size - ceil(t * size) + 1 runs of both in any order; the order is by rarity. Sizes and the places of a shared run bound
+    what else they can share. What runs all contents have in common is in no prefix, unless a content holds little else.
+    """
+    grams = written(texts.mapInArrow(_grams, "content long, size int, gram long"), "p7-grams")
+    rarity = grams.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")  # a run of one content joins nothing
+    rank = F.row_number().over(W.partitionBy("content").orderBy(F.coalesce("df", F.lit(1)), "gram"))  # as many rows as one text has runs
+    ranked = grams.join(rarity, "gram", "left").withColumn("r", rank).filter("df is not null")
+    first = written(ranked.filter(F.col("r") <= F.col("size") - F.ceil(F.col("size") * F.lit(THRESHOLD) - 1e-9) + 1).select("gram", "content", "size", "r"), "p7-prefix")
+    side = lambda n: first.select("gram", F.col("content").alias(n), F.col("size").alias(f"s{n}"), F.col("r").alias(f"r{n}"))
+    least = THRESHOLD / (1 + THRESHOLD) * (F.col("sa") + F.col("sb")) - 1e-9
+    reach = 1 + F.least(F.col("sa") - F.col("ra"), F.col("sb") - F.col("rb"))
+    return side("a").join(side("b"), "gram").filter("a < b").filter((F.least("sa", "sb") >= least) & (reach >= least)).select("a", "b").distinct()
+
+
 def content_links(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, item, content) has every question; links (a, b, jaccard), a < b, every verified pair of contents."""
     items = _items(questions)
     parts = items.select("parts")
-    bands = parts.mapInArrow(_bands, "band long, content long").repartition("band").sortWithinPartitions("band", "content")
-    couples = written(bands.mapInArrow(paired, "band long, a long, b long"), "p7-paired")
-    large = couples.filter("b is null").select("band", "a").distinct()
-    wide = large.join(large.select("band", F.col("a").alias("b")), "band").filter("a < b").select("a", "b")
-    candidates = couples.filter("b is not null").select("a", "b").unionByName(wide).distinct()
-    members = written(items.mapInArrow(_sketches, "id string, item long, content long, sketch binary"), "p7-members")
+    every = written(items.mapInArrow(_sketches, "id string, item long, content long, sketch binary, bands array<long>"), "p7-members")
+    sample = every.filter("bands is not null").select("content", "bands").dropDuplicates(["content"]).select(F.explode("bands").alias("band"))
+    hot = sample.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") * SAMPLE >= HOT_BAND).select("band").collect()
+    hot = np.array(sorted(r.band for r in hot), np.int64)
+    members = every.filter("content is not null")
+
+    def speakers(contents: DataFrame, name: str) -> DataFrame:
+        """(content, parts): one record speaks for each content, so texts are picked by id and nothing is hashed again."""
+        ids = written(members.join(contents, "content").groupBy("content").agg(F.min("id").alias("id")), f"p7-{name}-ids")
+        picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return written(items.select("id", "parts").join(picked, "id").select("content", "parts"), f"p7-{name}").dropDuplicates(["content"])
+
+    # hot contents stay where they are; all others are sorted by one long, which Spark does by radix
+    bands = parts.mapInArrow(_bands(hot), "band long, content long")
+    if len(hot):
+        bands = written(bands, "p7-bands")
+    couples = written(bands.filter("band >= 0").repartition("band").sortWithinPartitions("band").mapInArrow(paired, "band long, a long, b long"), "p7-paired")
+    candidates = couples.filter("b is not null").select("a", "b").distinct()
+    wide = couples.filter("b is null").select(F.col("a").alias("content"))
+    if len(hot):
+        wide = wide.unionByName(bands.filter("band < 0").select("content"))
     sketch = members.select("content", "sketch").dropDuplicates(["content"])
     plausible = (
         candidates.join(sketch.select(F.col("content").alias("a"), F.col("sketch").alias("sketch_a")), "a")
         .join(sketch.select(F.col("content").alias("b"), F.col("sketch").alias("sketch_b")), "b")
         .mapInArrow(_plausible, "a long, b long")
     )
+    if not wide.isEmpty():
+        plausible = plausible.unionByName(prefix_pairs(speakers(written(wide.distinct(), "p7-wide"), "wide-texts"))).distinct()
     plausible = written(plausible, "p7-plausible")
-    needed = plausible.select(F.explode(F.array("a", "b")).alias("content")).distinct()
-    # one record speaks for each content, so texts are picked by id and nothing is hashed again
-    speakers = written(members.join(needed, "content").groupBy("content").agg(F.min("id").alias("id")), "p7-speakers")
-    picked = F.broadcast(speakers) if speakers.count() <= BROADCAST_IDS else speakers
-    texts = written(items.select("id", "parts").join(picked, "id").select("content", "parts"), "p7-texts").dropDuplicates(["content"])
+    texts = speakers(plausible.select(F.explode(F.array("a", "b")).alias("content")).distinct(), "texts")
     pairs = plausible.join(texts.select(F.col("content").alias("a"), F.col("parts").alias("parts_a")), "a").join(
         texts.select(F.col("content").alias("b"), F.col("parts").alias("parts_b")), "b"
     )
     links = written(pairs.mapInArrow(_verified, "a long, b long, jaccard double"), "p7-links")
-    return members.select("id", "item", "content"), links
+    return every.select("id", "item", "content"), links
 
 
 def near_duplicates(questions: DataFrame) -> DataFrame:
@@ -207,6 +284,7 @@ def near_duplicates(questions: DataFrame) -> DataFrame:
     one content are a pair if their items differ. Repeated rows change nothing; an empty table gives no rows.
     """
     members, links = content_links(questions)
+    members = members.filter("content is not null")
     nodes = links.select(F.explode(F.array("a", "b")).alias("content")).distinct()
     within = members.groupBy("content").agg(F.countDistinct("item").alias("items"), F.count("*").alias("n"))
     # contents that are linked, or that hold several items
@@ -225,12 +303,17 @@ def near_duplicates(questions: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(questions: DataFrame) -> DataFrame:
-    """(id, group_id, links): every question with the smallest id of its group and its content's number of linked contents."""
-    members, links = content_links(questions)
+    """(id, group_id, links): every question with the smallest id of its group and its content's number of linked contents.
+
+    A record without any run of three letters is a group of its own.
+    """
+    every, links = content_links(questions)
+    members = every.filter("content is not null")
+    alone = every.filter("content is null").select("id", F.col("id").alias("group_id"), F.lit(0).cast("long").alias("links"))
     nodes = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("content")).groupBy("content").agg(F.count("*").alias("links"))
     member = members.join(nodes.withColumnRenamed("node", "content"), "content", "left").join(degree, "content", "left")
     member = member.select("id", F.coalesce("component", "content").alias("component"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
     member = written(member, "p7-groups")
     names = member.groupBy("component").agg(F.min("id").alias("group_id"), F.count("*").alias("n"))
-    return lookup_join(member, names, "component", "n").select("id", "group_id", "links")
+    return lookup_join(member, names, "component", "n").select("id", "group_id", "links").unionByName(alone)

@@ -195,15 +195,24 @@ def p4_repaired(questions):
     return scan_repair.repaired_fields(questions)
 
 
-SQL["p7_found"] = r"""
-with parts as (select id, unnest(list_concat([coalesce(stem, ''), coalesce(explanation, '')], coalesce(map_values(options), []))) as x from questions),
+_GRAMS = r"""
+parts as (select id, unnest(list_concat([coalesce(stem, ''), coalesce(explanation, '')], coalesce(map_values(options), []))) as x from questions),
 p as (select id, regexp_replace(lower(coalesce(x, '')), '[^\p{L}\p{N}]+', '', 'g') as t from parts),
 g as (select distinct id, unnest(list_transform(generate_series(1, length(t) - 2), lambda i: substr(t, i, 3))) as g from p where length(t) >= 3),
 n as (select id, count(*) as n from g group by id),
 c as (select a.id as id_a, b.id as id_b, count(*) as shared from g a join g b on a.g = b.g and a.id < b.id group by all),
-k as (""" + _ITEM + r""")
-select distinct id_a, id_b from c join n a on a.id = id_a join n b on b.id = id_b join k x on x.id = id_a join k y on y.id = id_b
-where shared >= 0.6 * (a.n + b.n - shared) and x.item <> y.item"""
+near as (select id_a, id_b, shared = a.n and shared = b.n as equal from c join n a on a.id = id_a join n b on b.id = id_b where shared >= 0.6 * (a.n + b.n - shared))"""
+
+SQL["p7_found"] = f"""
+with {_GRAMS}, k as ({_ITEM})
+select distinct id_a, id_b from near join k x on x.id = id_a join k y on y.id = id_b where x.item <> y.item"""
+
+SQL["p7_groups"] = f"""
+with recursive {_GRAMS}, sides as (select id_a as a, id_b as b, equal from near union all select id_b, id_a, equal from near),
+reach(id, other) as (select id, id from questions union select r.id, b.b from reach r join sides b on b.a = r.other),
+first as (select id, least(id, min(b)) as content from (select id from questions) left join sides on a = id and equal group by id),
+degree as (select a as id, count(distinct f.content) as links from sides join first f on f.id = b where not equal group by a)
+select id, min(other) as group_id, coalesce(any_value(links), 0) as links from reach left join degree using (id) group by id"""
 
 _LEAKS = r"""
 d as (select doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') as t from documents),

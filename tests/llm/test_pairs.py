@@ -61,6 +61,39 @@ def test_near_duplicates_against_all_pairs(items, sentence, seed):
     assert len(groups) == len(rows) and all(groups[a] == groups[b] for a, b in want)
 
 
+def test_records_without_runs_have_no_partner_and_no_group(items, sentence):
+    short = [{"id": f"s{i}", "stem": x, "options": {}, "explanation": None} for i, x in enumerate(("ab", "cd", "ef", "", None, "甲、乙"))]
+    rows = [*short, short[0], {"id": "t1", "stem": sentence(1, 30), "options": {}, "explanation": None}, {"id": "t2", "stem": sentence(1, 30)[:-1] + "甲", "options": {}, "explanation": None}]
+    q = items(*rows)
+    assert {tuple(r) for r in near_dups.near_duplicates(q).collect()} == {("t1", "t2")}
+    groups = [tuple(r) for r in near_dups.near_duplicate_groups(q).collect()]
+    assert sorted(groups) == sorted([(r["id"], r["id"], 0) for r in [*short, short[0]]] + [("t1", "t1", 1), ("t2", "t1", 1)])
+
+
+@pytest.mark.parametrize(("cap", "hot", "sample"), [(2, 10**9, 64), (1024, 3, 1), (3, 4, 1)])
+def test_large_and_hot_buckets_lose_nothing(items, sentence, monkeypatch, cap, hot, sample):
+    """Items from one template that meet in most bands, beside near ones: the exact prefix filter takes over."""
+    monkeypatch.setattr(near_dups, "BUCKET_CAP", cap)
+    monkeypatch.setattr(near_dups, "HOT_BAND", hot)
+    monkeypatch.setattr(near_dups, "SAMPLE", sample)
+    template = sentence("t", 60)
+    rows = [{"id": f"q{i:03d}", "stem": template[:30] + sentence((i // 2, "s"), 14) + ("又" if i % 2 else ""), "options": {"A": f"甲{i}"}, "explanation": template[30:] + sentence((i // 2, "e"), 14)} for i in range(60)]
+    sets = [grams(r) for r in rows]
+    want = {(rows[j]["id"], rows[i]["id"]) for i in range(60) for j in range(i) if len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])}
+    assert {tuple(r) for r in near_dups.near_duplicates(items(*rows)).collect()} == want and len(want) >= 30
+
+
+def test_prefix_pairs_against_all_pairs(spark, sentence):
+    rows, rng = [], random.Random(3)
+    for i in range(40):
+        base = sentence((i // 4, "p"), 40)
+        rows.append((i, [base[: rng.randint(20, 40)] + sentence((i, "q"), rng.randint(3, 12)), sentence("same", 10)]))
+    sets = [grams({"stem": p[0], "explanation": p[1], "options": {}}) for _, p in rows]
+    want = {(j, i) for i in range(40) for j in range(i) if len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])}
+    got = {tuple(r) for r in near_dups.prefix_pairs(spark.createDataFrame(rows, "content long, parts array<string>")).collect()}
+    assert want and want <= got
+
+
 def test_equal_contents_of_different_items(items, sentence):
     s = sentence(1, 30)
     rows = [{"id": f"c{i}", "stem": s, "options": {"A": "x"}, "explanation": None} for i in range(3)] + [{"id": "d", "stem": s, "options": {"A": "y"}, "explanation": None}]
