@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itemweave.operators.skew import lookup_join
 from itemweave.session import written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of `edges` (columns a, b); component is the smallest node reached.
 
-    Each round links every node to the minimum of its neighbourhood; a hub is touched by pre-aggregated minima only.
+    Each round links every node to the minimum of its neighbourhood. Minima combine before the shuffle, and the edges of a
+    node with more than HOT_ROWS of them meet its minimum by broadcast, so a hub's edges never gather in one task.
     Self loops and repeated edges change nothing; no edges give no rows; null ends are ignored.
     Every round is a written table, so lost executors repeat one round at most.
     """
@@ -20,12 +22,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # large star: all larger neighbours of a node point to the minimum around it
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count("*").alias("n")), "cc-low")
+        large = lookup_join(both, low, "a", "n").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
         large = written(large, "cc")
         # small star: all smaller neighbours and the node itself point to the minimum among them
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
+        low = written(large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")), "cc-low")
+        small = lookup_join(large, low, "a", "n").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
         small = written(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "cc")
         same = small.count() == links.count() and small.join(links, ["a", "b"], "left_anti").isEmpty()
         links = small

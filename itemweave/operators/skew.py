@@ -22,3 +22,8 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, hot_ro
     by_broadcast = rows.join(F.broadcast(hot), key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return by_broadcast.unionByName(rest.join(cold, key))
+
+
+def small(lookup: DataFrame, rows: int) -> DataFrame:
+    """The lookup, to be broadcast if it holds at most so many rows; a larger one is joined through a shuffle."""
+    return F.broadcast(lookup) if lookup.count() <= rows else lookup

@@ -30,12 +30,17 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> S
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir as the cluster names it, a temporary one only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir as the cluster names it, or the checkpoint directory set in the session.
+
+    A local session without either gets a temporary folder; on a cluster that raises, because no other machine would see it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="itemweave-"))
     return context.getCheckpointDir().rstrip("/")
 
