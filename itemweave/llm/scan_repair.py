@@ -93,7 +93,7 @@ def _ends_only(before: str, line: str) -> bool:
     return not any(c in line and before.count(o) > before.count(c) for o, c in ("（）", "()"))
 
 
-def structure(text: str, site: set[str], formulas: frozenset[str]) -> tuple[bool, str]:
+def structure(text: str, site: set[str], formulas: frozenset[int]) -> tuple[bool, str]:
     """(has traces of page and line, the text with edge lines removed, broken lines joined and gaps closed).
 
     Latin lines without a hyphen are joined by JOINT, for the bank's words to decide.
@@ -107,7 +107,7 @@ def structure(text: str, site: set[str], formulas: frozenset[str]) -> tuple[bool
         body = line.strip()
         if not body:
             continue
-        if several and (_is_site(body, site) or " ".join(body.split()) in formulas):
+        if several and (_is_site(body, site) or truncation.line_key(body) in formulas):
             out.append(("site", line))
             running = False
             continue
@@ -308,8 +308,8 @@ def repaired_fields(questions: DataFrame) -> DataFrame:
         rows = with_site.unionByName(rows.join(lists.select("source"), "source", "left_anti"), allowMissingColumns=True)
     none = F.array().cast("array<string>")
     rows = rows.select("id", "field", "text", "shape", "latin", F.when(F.col("text").contains("\n"), F.coalesce("site", none)).otherwise(none).alias("site"))
-    own = every.filter("field = 'explanation'").select("text")
-    formulas = frozenset(x for x in truncation._formulas(own, own.count()) if len(x) >= 6)
+    own = every.filter("field = 'explanation'").select("source", "text")
+    rows, formulas = truncation.with_formulas(rows, written(truncation.formula_keys(own), "p4-formulas"))
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folded: dict[tuple, set[str]] = {}
@@ -321,7 +321,7 @@ def repaired_fields(questions: DataFrame) -> DataFrame:
                 key = tuple(batch.column("site")[int(n)].as_py())
                 if key not in folded:
                     folded[key] = {_fold(x) for x in key}
-                one, new = structure(texts[n], folded[key], formulas)
+                one, new = structure(texts[n], folded[key], truncation.known(formulas, batch.column("formulas")[int(n)].as_py()))
                 two, fixed[n] = signs(new)
                 traced[n] = one or two
             names = batch.column("field").to_pylist()

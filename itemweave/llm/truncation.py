@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +23,14 @@ from itemweave.functions.identity import stripped
 from itemweave.llm import edges, linear, near_dups, residue
 from itemweave.llm import kernel as K
 from itemweave.llm.site_lines import SPACE, excessive_lines
-from itemweave.operators.skew import lookup_join
+from itemweave.operators.skew import lookup_join, small
 from itemweave.session import written
 
 TRAIN_ROWS, CUTS, PENALTY, ROUNDS = 2500, 3, 1e-7, 100
-#: A line of its own after so many different texts, as a share of all explanations (three at least), is a formula, not part of the explanation.
-FORMULA_SHARE, FORMULA_LETTERS = 1 / 5000, 4
+#: A line that ends so many different texts, finished without it, in so many sources is a formula, not part of the explanation.
+FORMULA_TEXTS, FORMULA_SOURCES, FORMULA_LETTERS = 3, 3, 4
+FORMULA_LINES = 1_000_000  # formulas whose 64-bit keys may travel with a function; more are joined to their rows
+BROADCAST_KEYS = 1_000_000  # texts whose keys may be broadcast
 WORDS, SIMILARITY = 5, 0.8  # shingles of five letters; what a cut text and the aligned part of its copy share of theirs at least
 SEEDS, BITS, MANTISSA, ROWS = 1, 6, 10, 5  # 64 registers in 12 bands
 TAIL = 12  # letters that have to agree where a copy is aligned
@@ -55,10 +58,11 @@ def plain(text: str) -> str:
 def fragment(text: str) -> tuple[str, bool]:
     """(what stands after the last finished sentence, whether a cut-off marker follows it); '' if the text is closed."""
     text = text.rstrip()
-    end = text[-24:]  # all marks are shorter than that
+    end = text[-24:]
     marked = _MARKER.search(end)
     if marked:
-        base = text[: len(text) - len(end) + marked.start()].rstrip()
+        # a run of points or replacement characters can be longer than the tail, all other marks are shorter
+        base = (text[: len(text) - len(end) + marked.start()] if marked.start() else text.rstrip(".…\ufffd")).rstrip()
         if not base:
             return "", False
         text = base
@@ -139,54 +143,76 @@ def _own_lines(questions: DataFrame) -> DataFrame:
     matched = lookup_join(rows, lists, "source", "total")
     kept = F.filter(F.split("explanation", "\n"), lambda x: ~F.array_contains("keys", F.xxhash64(F.col("source"), normal(x))))
     matched = matched.select("id", "source", F.array_join(kept, "\n").alias("text"))
-    rest = rows.join(F.broadcast(lists.select("source")), "source", "left_anti").select("id", "source", F.col("explanation").alias("text"))
+    rest = rows.join(small(lists.select("source"), BROADCAST_KEYS), "source", "left_anti").select("id", "source", F.col("explanation").alias("text"))
     return matched.unionByName(rest)
 
 
-def _formulas(rows: DataFrame, total: int) -> list[str]:
-    """Lines that end many different explanations whole; their number is bounded by 1 / FORMULA_SHARE.
+def line_key(line: str) -> int:
+    """The key of a line, white space reduced, as Spark's xxhash64 gives it."""
+    return xxhash.xxh64_intdigest(" ".join(line.split()).encode("utf-8", "replace"), 42)
 
-    What counts is the number of different texts before the line, by their letters: the last line of an explanation with
-    many copies follows one text only.
+
+def formula_keys(rows: DataFrame) -> DataFrame:
+    """(key): the formula lines of (source, text).
+
+    What counts is the number of different texts before the line, by their letters, that end with a closing mark, and the
+    number of sources they are from: the last line of an explanation with many copies follows one text only, and the second
+    half of a broken sentence follows none that is closed. Both numbers are fixed, so other rows never change a line's lot
+    by their mere number. A missing source counts as one.
     """
     text = F.rtrim("text")
     last = F.element_at(F.split(text, "\n"), -1)
     line = F.trim(F.regexp_replace(last, SPACE, " "))
-    before = F.xxhash64(stripped(text.substr(F.lit(1), F.length(text) - F.length(last))))
-    least = max(3.0, total * FORMULA_SHARE)
-    ends = rows.filter(F.col("text").contains("\n")).select(line.alias("line"), before.alias("before")).filter(F.length("line") >= FORMULA_LETTERS)
-    counts = ends.distinct().groupBy("line").agg(F.count("*").alias("n"))
-    return [r.line for r in counts.filter(F.col("n") >= least).collect()]
+    head = F.rtrim(text.substr(F.lit(1), F.length(text) - F.length(last)))
+    ends = rows.filter(F.col("text").contains("\n")).select(line.alias("line"), head.alias("head"), F.coalesce("source", F.lit("")).alias("source"))
+    ends = ends.filter((F.length("line") >= FORMULA_LETTERS) & F.col("head").rlike(r"[。！？!?.．）)】」』”\"]\s*$"))
+    ends = ends.select(F.xxhash64("line").alias("key"), F.xxhash64(stripped(F.col("head"))).alias("before"), F.xxhash64("source").alias("source"))
+    often = ends.distinct().groupBy("key").agg(F.count_distinct("before").alias("texts"), F.count_distinct("source").alias("sources"))
+    return often.filter((F.col("texts") >= FORMULA_TEXTS) & (F.col("sources") >= FORMULA_SOURCES)).select("key")
+
+
+def with_formulas(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, frozenset[int] | None]:
+    """(rows with `formulas`, the keys of each text's formula lines; or null where the second value holds all keys)."""
+    if keys.count() <= FORMULA_LINES:
+        return rows.withColumn("formulas", F.lit(None).cast("array<long>")), frozenset(r.key & (1 << 64) - 1 for r in keys.collect())
+    one = lambda x: F.xxhash64(F.trim(F.regexp_replace(x, SPACE, " ")))
+    of = F.xxhash64("text")
+    lines = rows.filter(F.col("text").contains("\n")).select(of.alias("of"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), one))).alias("key"))
+    found = lines.join(keys, "key", "left_semi").groupBy("of").agg(F.collect_set("key").alias("formulas"))
+    return rows.withColumn("of", of).join(found, "of", "left").drop("of"), None
+
 
+def known(every: frozenset[int] | None, own: list[int] | None) -> frozenset[int]:
+    """The formula keys that hold for a row of with_formulas()."""
+    return every if every is not None else frozenset(k & (1 << 64) - 1 for k in own or ())
 
-def _bands(rows: DataFrame, formulas: frozenset[str]) -> DataFrame:
-    """(band, content) of all texts; the lowest bit of content, the key of a text's id, says whether the text is open."""
+
+def _bands(texts: DataFrame) -> DataFrame:
+    """(band, content) of different texts (key, text); the lowest bit of a key says whether the text is open."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in K.bounded(batches, "text"):
-            texts = part.column("text").to_pylist()
-            flat, no = K.letters(texts)
+            flat, no = K.letters(part.column("text").to_pylist())
             if len(flat) < WORDS:
                 continue
             inside = no[: len(flat) - WORDS + 1] == no[WORDS - 1 :]
             h = flat[: len(inside)].astype(np.uint64)
             for k in range(1, WORDS):
                 h = h * np.uint64(0x100000001B3) + flat[k : k + len(inside)]
-            reg = K.hyperminhash(h[inside], no[: len(inside)][inside], len(texts), SEEDS, BITS, MANTISSA)
+            reg = K.hyperminhash(h[inside], no[: len(inside)][inside], part.num_rows, SEEDS, BITS, MANTISSA)
             keys = K.band_keys(reg, ROWS)
             some = reg.any(axis=1)
-            opened = np.array([len(t) >= TAIL and ("\n" in t or not shut(t)) and fragment(strip_formulas(t, formulas))[0] != "" for t in texts])
-            b = keys.shape[1]
-            key = (part.column("key").to_numpy() & ~1) | opened
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some].ravel().view(np.int64)), pa.array(np.repeat(key[some], b))], ["band", "content"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[some].ravel().view(np.int64)), pa.array(np.repeat(part.column("key").to_numpy()[some], keys.shape[1]))], ["band", "content"]
+            )
 
-    return rows.select(F.xxhash64("id").alias("key"), "text").mapInArrow(bands, "band long, content long")
+    return texts.mapInArrow(bands, "band long, content long")
 
 
-def strip_formulas(text: str, formulas: frozenset[str]) -> str:
+def strip_formulas(text: str, formulas: frozenset[int]) -> str:
     """The text without formula lines, edge lines and blank lines at its end."""
     lines = text.split("\n")
-    while lines and (not lines[-1].strip() or " ".join(lines[-1].split()) in formulas or (len(lines) > 1 and edges.is_edge(lines[-1]))):
+    while lines and (not lines[-1].strip() or line_key(lines[-1]) in formulas or (len(lines) > 1 and edges.is_edge(lines[-1]))):
         lines.pop()
     return "\n".join(lines)
 
@@ -221,63 +247,102 @@ def compare(cut: str, copy: str) -> int:
     return -1 if following in ("", "。") else 1
 
 
+def _tail_keys(texts: list[str], every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(key, text number) of the runs of TAIL letters of aligned texts: of the last one, or of every one."""
+    flat, no = K.codepoints([x.replace("。", "") for x in texts])
+    if len(flat) < TAIL:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    m = len(flat) - TAIL + 1
+    h = flat[:m].astype(np.uint64)
+    for k in range(1, TAIL):
+        h = K.mix64(h * np.uint64(31) + flat[k : k + m])
+    inside = no[:m] == no[TAIL - 1 :]
+    if not every:
+        inside &= np.r_[no[TAIL:] != no[TAIL - 1 : -1], True]
+    return h[inside].view(np.int64), no[:m][inside]
+
+
+def _tails(every: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in K.bounded(batches, "text"):
+            texts = part.column("text").to_pylist()
+            tail, no = _tail_keys([_aligned(t if every else _MARKER.sub("", t.rstrip())) for t in texts], every)
+            yield pa.RecordBatch.from_arrays([pa.array(tail), pa.array(part.column("key").to_numpy()[no])], ["tail", "key"])
+
+    return run
+
+
 def truncated(questions: DataFrame) -> DataFrame:
     """(id, source, evidence, score): the questions whose explanation was cut; evidence is 'copy' or 'ending'.
 
     Null and blank explanations, records of residue, complete statements without a mark, and lines of the source after a
     complete statement are no cases. Repeated rows change nothing; an empty table gives no rows.
+
+    Equal texts are one text for the copies, however many records hold it. Texts of a band that more than BUCKET_CAP texts
+    share are joined exactly instead: an open text's last TAIL letters with the runs of the others.
     """
-    rows = written(_own_lines(questions), "p1-rows")
-    total = rows.count()
-    formulas = frozenset(_formulas(rows, total))
+    rows = _own_lines(questions)
+    rows = written(rows, "p1-rows")
+    marked, every = with_formulas(rows, written(formula_keys(rows), "p1-formulas"))
     sample = rows.orderBy(F.xxhash64(F.lit(29), "id"), "id").limit(TRAIN_ROWS).select("text").collect()
     weights = fit(sorted(r.text for r in sample)).astype(np.float32)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.astype(np.float64)
-        for batch in batches:
-            ids, sources, texts, fragments = [], [], [], []
-            for i, s, t in zip(*(batch.column(c).to_pylist() for c in ("id", "source", "text"))):
+        for batch in K.bounded(batches, "text"):
+            ids, sources, texts, raw, fragments = [], [], [], [], []
+            for i, s, t, own in zip(*(batch.column(c).to_pylist() for c in ("id", "source", "text", "formulas"))):
                 if "\n" not in t and shut(t):
                     continue
-                t = strip_formulas(t, formulas)
+                whole, t = t, strip_formulas(t, known(every, own))
                 if not t or (_END.search(t[-24:]) and not _MARKER.search(t[-24:])):
                     continue
                 f, marked = fragment(plain(t))
                 if f or marked:
                     ids.append(i)
                     sources.append(s)
+                    raw.append(whole)
                     texts.append(t)
                     fragments.append(f)
             value = terminality(w, fragments)
             value = np.where([f == "" for f in fragments], 9.0, value) if fragments else value
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sources, pa.string()), pa.array(texts, pa.string()), pa.array(value, pa.float64())], ["id", "source", "text", "score"])
-
-    opened = written(rows.mapInArrow(score, "id string, source string, text string, score double"), "p1-open")
-    # near-copies of the open ones: bands of all texts, pairs kept where one of the two is open
-    bands = _bands(rows, formulas).repartition("band").sortWithinPartitions("band", "content")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.string()), pa.array(sources, pa.string()), pa.array(texts, pa.string()), pa.array(raw, pa.string()), pa.array(value, pa.float64())],
+                ["id", "source", "text", "raw", "score"],
+            )
+
+    opened = marked.mapInArrow(score, "id string, source string, text string, raw string, score double")
+    of = F.xxhash64("raw").bitwiseOR(F.lit(1)).alias("a")  # odd keys are those of open texts
+    opened = written(opened.select("id", "source", "text", "score", of), "p1-open")
+    # near-copies of the open ones: bands of all different texts, pairs kept where one of the two is open
+    openings = written(opened.select("a").distinct(), "p1-keys")
+    key = F.xxhash64("text")
+    texts = rows.select("text", key.bitwiseOR(F.lit(1)).alias("a")).join(small(openings.withColumn("open", F.lit(1)), BROADCAST_KEYS), "a", "left")
+    texts = texts.select(F.when(F.col("open") == 1, F.col("a")).otherwise(F.col("a") - 1).alias("key"), "text")
+    bands = _bands(texts).repartition("band").sortWithinPartitions("band")
     paired = written(bands.mapInArrow(near_dups.paired, "band long, a long, b long").filter("b is null or a % 2 <> 0 or b % 2 <> 0"), "p1-paired")
-    large = paired.filter("b is null").select("band", "a").distinct()
-    wide = large.filter("a % 2 <> 0").join(large.select("band", F.col("a").alias("b")), "band").filter("a <> b").select("a", "b")
     near = paired.filter("b is not null")
-    near = near.filter("a % 2 <> 0").select("a", "b").unionByName(near.filter("b % 2 <> 0").select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(wide)
-    keyless = lambda c: F.col(c).bitwiseAND(F.lit(-2)).alias(c)
-    pairs = written(near.select(keyless("a"), keyless("b")).distinct(), "p1-pairs")
-    key = F.xxhash64("id").bitwiseAND(F.lit(-2))
-    keyed = rows.select(key.alias("b"), F.col("text").alias("copy"))
-    needed = written(pairs.select("b").distinct(), "p1-needed")
-    if needed.count() <= 1_000_000:
-        needed = F.broadcast(needed)
-    copies = keyed.join(needed, "b", "left_semi")
-    both = pairs.join(opened.select(key.alias("a"), "id", "text"), "a").join(copies, "b")
+    near = near.filter("a % 2 <> 0").select("a", "b").unionByName(near.filter("b % 2 <> 0").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    large = paired.filter("b is null").select(F.col("a").alias("key"))
+    if not large.isEmpty():
+        wide = texts.join(written(large.distinct(), "p1-large"), "key", "left_semi").dropDuplicates(["key"])
+        wide = written(wide, "p1-wide")
+        ends = wide.filter("key % 2 <> 0").mapInArrow(_tails(False), "tail long, key long").select("tail", F.col("key").alias("a"))
+        runs = wide.mapInArrow(_tails(True), "tail long, key long").select("tail", F.col("key").alias("b"))
+        near = near.unionByName(ends.join(runs, "tail").filter("a <> b").select("a", "b"))
+    pairs = written(near.distinct(), "p1-pairs")
+    needed = small(written(pairs.select("b").distinct(), "p1-needed"), BROADCAST_KEYS)
+    copies = texts.withColumnRenamed("key", "b").join(needed, "b", "left_semi").dropDuplicates(["b"]).select("b", F.col("text").alias("copy"))
+    both = pairs.join(opened.select("a", "text").dropDuplicates(["a"]), "a").join(copies, "b")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [compare(t, c) for t, c in zip(batch.column("text").to_pylist(), batch.column("copy").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.int32())], ["id", "says"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(out, pa.int32())], ["a", "says"])
 
-    says = both.select("id", "text", "copy").mapInArrow(align, "id string, says int").groupBy("id").agg(F.sum("says").alias("says"))
-    judged = opened.select("id", "source", "score").join(says, "id", "left").withColumn("says", F.coalesce("says", F.lit(0)))
+    says = both.select("a", "text", "copy").mapInArrow(align, "a long, says int").groupBy("a").agg(F.sum("says").alias("says"))
+    says = small(written(says.filter("says <> 0"), "p1-says"), BROADCAST_KEYS)
+    judged = opened.select("id", "source", "score", "a").join(says, "a", "left").withColumn("says", F.coalesce("says", F.lit(0)))
     cases = judged.filter("says > 0 or (says = 0 and score < 0)")
     cases = cases.select("id", "source", F.when(F.col("says") > 0, "copy").otherwise("ending").alias("evidence"), "score")
     # records of residue, looked for among the open ones only

@@ -67,10 +67,52 @@ def test_last_line_of_copies_is_no_formula(items, sentence):
     copies = [{"id": f"cut{i}", "explanation": cut if i % 2 else " " + cut.replace("。", " 。")} for i in range(40)]
     thanks = [{"id": f"ok{i}", "explanation": sentence((i, "t")) + "\n祝各位复习顺利"} for i in range(4)]
     q = plain_bank(items, sentence, more=[{**r, "source": f"s{n}"} for n, r in enumerate(copies + thanks)])
-    assert truncation._formulas(q.selectExpr("explanation as text"), q.count()) == ["祝各位复习顺利"]
+    keys = {r.key % 2**64 for r in truncation.formula_keys(q.selectExpr("source", "explanation as text")).collect()}
+    assert keys == {truncation.line_key("祝各位复习顺利")}
     assert {i for i in ids(truncation.found(q)) if not i.startswith("a")} == {r["id"] for r in copies}
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_other_rows_change_no_case(items, sentence, copies, monkeypatch):
+    """The same records in a small table and in a larger one; a broken-off line that three texts end with stays a cut."""
+    same = [{"id": f"cut{i}", "explanation": sentence((i, "v")) + "\n若肝心脾肺"} for i in range(3)]
+    broken = [{"id": f"b{i}", "explanation": sentence((i, "b"))[:-1] + "，且见肝\n主疏泄之证候。", "source": f"b{i}"} for i in range(4)]
+    thanks = [{"id": f"ok{i}", "explanation": sentence((i, "t")) + "\n祝各位复习顺利", "source": f"t{i}"} for i in range(4)]
+    q = plain_bank(items, sentence, n=200 * copies, more=same + broken + thanks)
+    assert {i for i in ids(truncation.found(q)) if not i.startswith("a")} == {"cut0", "cut1", "cut2"}
+    got = {r.id for r in scan_repair.repaired_fields(q).collect() if r.field == "explanation"}
+    assert got == {r["id"] for r in broken}
+    monkeypatch.setattr(truncation, "FORMULA_LINES", 0)  # the keys are joined to their rows instead
+    assert {i for i in ids(truncation.found(q)) if not i.startswith("a")} == {"cut0", "cut1", "cut2"}
+    assert {r.id for r in scan_repair.repaired_fields(q).collect() if r.field == "explanation"} == got
+
+
+def test_twice_the_table_gives_the_same_rows(items, sentence):
+    more = [{"id": f"cut{i}", "explanation": sentence((i, "v")) + "若肝心脾肺", "source": f"s{i}"} for i in range(5)]
+    q = plain_bank(items, sentence, more=more)
+    twice = q.unionByName(q.selectExpr("concat(id, 'x') as id", *(c for c in q.columns if c != "id")))
+    for op, by in ((truncation.found, ["id"]), (scan_repair.found, ["id", "field"])):
+        one = {tuple(r[c] for c in by) for r in op(q).collect()}
+        assert {tuple(r[c] for c in by) for r in op(twice).collect() if not r.id.endswith("x")} == one
+
+
+@pytest.mark.parametrize("cap", [1024, 1])
+def test_copies_of_a_cut_text_and_large_buckets(items, sentence, monkeypatch, cap):
+    from itemweave.llm import near_dups
+
+    monkeypatch.setattr(near_dups, "BUCKET_CAP", cap)
+    body = "".join(sentence(i) for i in range(12))
+    last = "终至心脾两虚之证候群"
+    more = [{"id": f"cut{i}", "explanation": body + last, "source": f"c{i}"} for i in range(30)] + [{"id": "full", "explanation": body + last + "须久服。"}, {"id": "edit", "explanation": "甲" + body + last + "须久服。"}]
+    rows = {r.id: r.evidence for r in truncation.truncated(plain_bank(items, sentence, more=more)).collect() if not r.id.startswith("a")}
+    assert rows == {f"cut{i}": "copy" for i in range(30)}
+
+
+def test_long_marks_are_taken_off_whole():
+    assert truncation.fragment("肝主疏泄。脾主" + "." * 60) == ("脾主", True) and truncation.fragment("肝主疏泄。脾主" + "…" * 40) == ("脾主", True)
+    assert truncation.fragment("." * 60) == ("", False)
+
+
 def test_cut_before_a_closed_formula_or_page_line(items, sentence):
     thanks = [{"id": f"ok{i}", "explanation": sentence((i, "t")) + "\n祝各位复习顺利！", "source": f"t{i}"} for i in range(4)]
     more = [{"id": f"cut{i}", "explanation": sentence((i, "u")) + "若肝心脾肺\n" + end, "source": f"u{i}"} for i, end in enumerate(("祝各位复习顺利！", "【12】", "（12）"))]
@@ -175,7 +217,7 @@ def test_page_lines_and_headers():
     ],
 )
 def test_structure(text, traced, fixed):
-    got = scan_repair.structure(text, {scan_repair._fold("某站 仅供学习")}, frozenset({"有疑问请在评论区留言"}))
+    got = scan_repair.structure(text, {scan_repair._fold("某站 仅供学习")}, frozenset({truncation.line_key(" 有疑问请在评论区留言")}))
     assert got == (traced, fixed if fixed is not None else text)
 
 
