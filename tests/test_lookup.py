@@ -68,6 +68,13 @@ def test_cleaning_of_scanned_text(spark):
     assert [one(spark, t, S.is_missing) for t in ("【解析】略", "12", "实记题。", "正文")] == [True, True, True, False]
     assert one(spark, "【1】甲。【2】乙。", S.group_parts) == {1: "甲", 2: "乙"} and one(spark, "无标", S.group_parts) == {}
     assert one(spark, "甲证用乙。丙证用丁。", lambda c: S.focused(c, F.lit("丁"))) == "丙证用丁"
+    assert one(spark, "ⅠI)O后", S.restored_stops) == "ⅠD。后" and one(spark, "BOX", S.restored_stops) == "BOX"
+    cut = lambda t: one(spark, t, lambda c: S.without_anchor(c, F.lit(7), F.lit(8)))
+    assert [cut(t) for t in ("甲。7、乙", "甲9.乙8.【解析】丙", "o7.解析】甲", "17.乙在首", "甲。17.乙")] == ["甲。", "甲9.乙", "甲", "17.乙在首", "甲。17.乙"]
+    assert one(spark, "甲。13.乙", lambda c: S.without_anchor(c, F.lit(None).cast("int"), F.lit(None).cast("int"))) == "甲。13.乙"
+    assert one(spark, "前【1】甲；乙。【2】丙。【1】丁 戊", S.group_parts) == {1: "丁戊", 2: "丙"} and one(spark, "【1】甲【3】。", S.group_parts) == {1: "甲"}
+    assert one(spark, "旧解析】新。甲 【2】乙；", S.plain_explanation) == "新。甲乙" and one(spark, None, S.plain_explanation) == ""
+    assert [one(spark, t, lambda c: S.focused(c, F.lit(a))) for t, a in (("甲。乙。", "丁"), ("甲。乙。", ""), ("甲；乙甲。丙", "甲"))] == ["甲。乙", "甲。乙", "甲；乙甲"]
 
 
 def test_distributed_explanations(spark, items):
