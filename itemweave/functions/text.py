@@ -24,10 +24,9 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf(T.StringType())
-def alnum_key(text: pd.Series) -> pd.Series:
-    """NFKC, lower case, alphanumeric characters of any script only; an Arrow function."""
-    return text.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKC", x).lower() if c.isalnum()))
+def alnum_key(text: Column) -> Column:
+    """NFKC, lower case, letters and numbers of any script only; what only compatibility folding needs runs in Python."""
+    return F.regexp_replace(F.lower(nfkc(text)), r"[^\p{L}\p{N}]+", "")
 
 
 @F.pandas_udf(T.DoubleType())

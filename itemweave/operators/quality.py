@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemweave.functions.text import content_key, source_number, trimmed, unbalanced, year_of
+from itemweave.functions.text import content_key, nfkc, source_number, trimmed, unbalanced, year_of
 from itemweave.operators.bank import text_fields
 from itemweave.operators.skew import lookup_join
 from itemweave.schema import GROUPED_TYPES, HISTORY_YEARS, LETTERS, TYPES
@@ -46,10 +46,16 @@ HISTORY_OCR = r"原文件未提供解析|[•●▪〖〗【】]|·209|原7|訂|
 ANSWER_MARKER = r"答案[：:]|解析[：:]|型题"
 AUDIT_PLACEHOLDER = r"^(?:原文件未提供解析。?|略。?|实记题。?|\d{1,3})$"
 AUDIT_UNUSABLE = r"(?i)^[A-E]?\s*略\s*[。．.]?(?:\s*[【〖][^】〗]*[】〗]\s*[。．.]?)?$"
-# A question number inside another text, by what stands before and after it, and one at its end.
-ANCHOR = (r"(?:[·•]\s*(?:", r")(?=\s*[（(]|$)|(?:^|[^\d])(?:", r")[.．、]\s*(?:(?:[【〖]\s*)?(?:解析|一\s*点\s*笔\s*记)|患者|患儿|下列|上述|治疗|诊断|某|女性|男性))")
-TRAILING = (r"(?i)(?:^|[·。；;，,\s])(?:", r")(?:[IL])?[.．、]?\s*$")
+# Numbers that may be a question's inside another text (after a bullet, before what a question begins with), at its end, and before an entry.
+ANCHORS = (
+    r"[·•]\s*(\d+)(?=\s*[（(]|$)",
+    r"(?:^|[^\d])(\d+)[.．、]\s*(?=(?:[【〖]\s*)?(?:解析|一\s*点\s*笔\s*记)|患者|患儿|下列|上述|治疗|诊断|某|女性|男性)",
+)
+TRAILING = r"(?i)(?:^|[·。；;，,\s])(\d+)(?:[IL])?[.．、]?\s*$"
+FOLLOWING = r"(?i)(?:^|[。；;，,\s])(\d+)(?:[IL])?[.．、](?=\s|$|[【〖\x{3400}-\x{9FFF}])"
 STATED_ANSWER = r"(?i)(?:正确答案|答案|故|本题)(?:应|当|为|是|选|选择|选用|应该选择)*[：:，,。；; ]*([A-E])(?=[^A-Za-z]|$)"
+# White space and marks that loosely equal texts may differ in, once they are compatibility-folded.
+LOOSE = r"(?U)[\s\x{FEFF}，。；：、（）()《》\"“”‘’？?！!]+"
 PLACEHOLDER_STEM = r"^(?:[【\[]?\s*配伍题\s*[】\]]?|A[1234](?:\s*/\s*A4)?型题|B1型题)[（(]?\s*[)）]?$"
 
 
@@ -62,13 +68,12 @@ def scan_candidates(items: DataFrame) -> DataFrame:
     number = source_number(F.col("id"), F.col("unit"), F.col("number")) + 1
     rows = text_fields(items.withColumn("next", number), "next").withColumn("text", trimmed(F.col("text"))).filter("text <> ''")
     t = F.col("text")
-    follows = F.concat(F.lit("(?i)(?:^|[。；;，,\\s])"), F.col("next").cast("string"), F.lit("(?:[IL])?[.．、](?:\\s|$|[【〖\\x{3400}-\\x{9FFF}])"))
     tests = [(name, t.rlike(pattern)) for name, _, pattern in SCAN_RULES]
     tests += [
         ("embedded-question-type-label", t.rlike(TYPE_LABEL[0]) | F.regexp_replace(t, r"\s+", "").rlike(TYPE_LABEL[1])),
         ("unbalanced-brackets", t.rlike(r"[（()）【】〖〗\[\]]") & unbalanced(t)),
-        # a pattern that differs by row isn't compiled once: only rows with the plain digits are tried
-        ("possible-next-question-number", F.coalesce(t.contains(F.col("next").cast("string")) & F.regexp_like(t, follows), F.lit(False))),
+        # one pattern for all rows takes the numbers out, the row's own number is looked up among them
+        ("possible-next-question-number", F.coalesce(t.contains(F.col("next").cast("string")) & F.array_contains(F.regexp_extract_all(t, F.lit(FOLLOWING), F.lit(1)), F.col("next").cast("string")), F.lit(False))),
     ]
     levels = {name: level for name, level, _ in SCAN_RULES} | {"possible-next-question-number": "high"}
     found = rows.select("id", "field", "field_group", F.explode(F.array_distinct(_hits(t, tests))).alias("issue_type"))
@@ -102,10 +107,11 @@ def answer_conflicts(items: DataFrame) -> DataFrame:
     return groups.filter("members > 1 and answers > 1").select("first_id", "members", "answers")
 
 
-def structural_issues(items: DataFrame, order: str = "bank_ord") -> DataFrame:
+def structural_issues(items: DataFrame, order: str = "bank_ord", exceptions: DataFrame | None = None) -> DataFrame:
     """(id, severity, kind, field): the structural audit of every item. Kinds of one item and field are distinct.
 
-    Items of the history years turn warnings into errors. Group kinds have the group as id.
+    Items of the history years turn warnings into errors. Group kinds have the group as id. `exceptions` (id, field, label) are
+    labels that are right where they stand: they are taken out of the field before it is audited for symbols.
     """
     from itemweave.operators import sequence
 
@@ -151,18 +157,20 @@ def structural_issues(items: DataFrame, order: str = "bank_ord") -> DataFrame:
     rows = items.join(follows, "id", "left").withColumns({"strict": strict, "anchors": F.array_distinct(F.array_compact(F.array(number, local, current, following))), "nexts": F.array_distinct(F.array_compact(F.array(local, following)))})
     cells = text_fields(rows, "strict", "anchors", "nexts").filter(F.col("field").isin("stem", "explanation", *(f"option-{k}" for k in LETTERS)))
     cells = cells.withColumn("raw", trimmed(F.col("text"))).filter("raw <> ''")
-    audited = F.when((F.col("id") == "2021-U3-046") & (F.col("field") == "explanation"), F.replace("raw", F.lit("【主治】"), F.lit(""))).otherwise(F.col("raw"))
-    cells = cells.withColumn("audited", audited)
-    any_of = lambda c: F.array_join(F.transform(c, lambda n: n.cast("string")), "|")
-    a, n = any_of("anchors"), any_of("nexts")
-    merged = F.concat(F.lit(ANCHOR[0]), a, F.lit(ANCHOR[1]), a, F.lit(ANCHOR[2]))
-    trailing = F.concat(F.lit(TRAILING[0]), n, F.lit(TRAILING[1]))
+    if exceptions is None:
+        cells = cells.withColumn("audited", F.col("raw"))
+    else:
+        labels = exceptions.groupBy("id", "field").agg(F.collect_set("label").alias("labels"))
+        left = F.aggregate(F.coalesce("labels", F.array().cast("array<string>")), F.col("raw"), lambda t, x: F.replace(t, x, F.lit("")))
+        cells = cells.join(labels, ["id", "field"], "left").withColumn("audited", left).drop("labels")
+    plain = lambda c: F.transform(c, lambda n: n.cast("string"))
+    numbers = F.concat(*(F.regexp_extract_all("raw", F.lit(x), F.lit(1)) for x in ANCHORS))
     has_digit = F.col("raw").rlike(r"\d")
     text_tests = [(kind, F.col("audited").rlike(pattern)) for kind, pattern in AUDIT_RULES]
     text_tests += [
         ("history-source-ocr", F.col("strict") & F.col("audited").rlike(HISTORY_OCR)),
-        ("merged-question-anchor", has_digit & (F.size("anchors") > 0) & F.regexp_like("raw", merged)),
-        ("trailing-next-question-anchor", has_digit & (F.size("nexts") > 0) & F.regexp_like("raw", trailing)),
+        ("merged-question-anchor", has_digit & F.arrays_overlap(numbers, plain(F.col("anchors")))),
+        ("trailing-next-question-anchor", has_digit & F.array_contains(plain(F.col("nexts")), F.regexp_extract("raw", TRAILING, 1))),
     ]
     texts = cells.select("id", "field", "strict", F.explode(_hits(F.col("raw"), text_tests)).alias("kind"))
     texts = texts.select("id", F.when(F.col("strict") | (F.col("kind") == "history-source-ocr"), "error").otherwise("warning").alias("severity"), "kind", "field")
@@ -202,29 +210,48 @@ def stated_answer_conflicts(items: DataFrame) -> DataFrame:
     return rows.select("id", "answer", F.upper("stated").alias("stated")).filter(~F.col("stated").eqNullSafe(F.col("answer"))).select("id", "stated").distinct()
 
 
-_LOOSE = r"[\s，。；：、（）()《》\"“”‘’？?！!]"
+def loose(text: Column) -> Column:
+    """Trimmed, compatibility-folded, without white space and common marks; null gives ''.
+
+    Folding turns full-width commas, colons and semicolons into ASCII ones, which stay.
+    """
+    return F.regexp_replace(nfkc(trimmed(text)), LOOSE, "")
+
 
+#: Between texts that are folded in one pass; folding leaves it alone and no text holds it.
+_APART = "\x1e"
 
-def loose(text: Column) -> Column:
-    """Without white space and common punctuation, for texts that are NFKC already or are made so by the caller."""
-    return F.regexp_replace(trimmed(text), _LOOSE, "")
+
+def _folded(items: DataFrame, *texts: Column) -> DataFrame:
+    """The items with t, the array of their loose texts; all of a row go through one call of the folding function."""
+    one = F.concat_ws(_APART, *(trimmed(c) for c in texts))
+    return items.withColumn("t", F.transform(F.split(nfkc(one), _APART), lambda x: F.regexp_replace(x, LOOSE, "")))
 
 
 def answer_not_explained(items: DataFrame) -> DataFrame:
-    """(id): the explanation lacks the answer's text but holds another option's (texts of two characters or more)."""
-    rows = items.select("id", loose(F.col("explanation")).alias("e"), "answer", "options")
-    right = loose(F.coalesce(*(F.when(F.col("answer") == k, F.try_element_at("options", F.lit(k))) for k in LETTERS)))
-    other = F.lit(False)
-    for k in LETTERS:
-        text = loose(F.try_element_at("options", F.lit(k)))
-        other = other | ((~F.col("answer").eqNullSafe(F.lit(k))) & (F.length(text) >= 2) & F.col("e").contains(text))
-    return rows.filter((F.length(right) >= 2) & ~F.col("e").contains(right) & other).select("id").distinct()
+    """(id): the explanation lacks the answer's text but holds another option's (loose texts of two characters or more)."""
+    rows = _folded(items.select("id", "answer", "options", "explanation"), F.col("explanation"), *(F.try_element_at("options", F.lit(k)) for k in LETTERS))
+    said, options = F.col("t")[0], F.slice("t", 2, len(LETTERS))
+    of = F.array_position(F.array(*(F.lit(k) for k in LETTERS)), F.col("answer")).cast("int")
+    right = F.try_element_at(options, F.nullif(of, F.lit(0)))
+    other = F.exists(F.transform(options, lambda x, i: (i + 1 != F.coalesce(of, F.lit(0))) & (F.length(x) >= 2) & said.contains(x)), lambda x: x)
+    return rows.filter((F.length(right) >= 2) & ~said.contains(right) & other).select("id").distinct()
+
+
+def duplicate_answer_conflicts(items: DataFrame) -> DataFrame:
+    """(first_id, members, answers): items whose loose stem and loose options, in letter order, are equal but whose answers' texts differ."""
+    rows = _folded(items.select("id", "answer", "stem", "options"), F.col("stem"), *(F.try_element_at("options", F.lit(k)) for k in LETTERS))
+    of = F.array_position(F.array(*(F.lit(k) for k in LETTERS)), F.col("answer")).cast("int")
+    right = F.coalesce(F.try_element_at(F.slice("t", 2, len(LETTERS)), F.nullif(of, F.lit(0))), F.lit(""))
+    keyed = rows.select("id", F.sha2(F.concat_ws(_APART, "t"), 256).alias("key"), right.alias("right"))
+    groups = keyed.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("members"), F.count_distinct("right").alias("answers"))
+    return groups.filter("members > 1 and answers > 1").select("first_id", "members", "answers")
 
 
 def repeated_explanations(items: DataFrame) -> DataFrame:
-    """(first_id, members, groups): one explanation (loosely equal, not blank) in several groups or single items."""
+    """(first_id, members, groups): one explanation, loosely equal, in several groups or single items. Blank ones are equal too."""
     key = F.coalesce(F.nullif(F.col("group_id"), F.lit("")), F.col("id"))
-    rows = items.select("id", key.alias("block"), F.md5(loose(F.col("explanation"))).alias("e"), loose(F.col("explanation")).alias("t")).filter("t <> ''")
+    rows = items.select("id", key.alias("block"), F.md5(loose(F.col("explanation"))).alias("e"))
     groups = rows.groupBy("e").agg(F.min("id").alias("first_id"), F.count("*").alias("members"), F.count_distinct("block").alias("groups"))
     return groups.filter("members > 1 and groups > 1").select("first_id", "members", "groups")
 
@@ -246,18 +273,28 @@ def placeholder_stems(items: DataFrame) -> DataFrame:
 
 
 def group_member_issues(items: DataFrame) -> DataFrame:
-    """(group_id, kind): groups of fewer than two members ('single'), with blank prompts ('blank-prompt'), and B1 groups whose members'
-    options differ from each other or from the shared ones ('options'). Options are compared trimmed, in letter order.
-    """
-    from itemweave.operators.lookup import option_signature
+    """(group_id, kind): what is wrong with a group, whose type is that of its first member by number and id.
 
-    rows = items.filter("group_id <> ''").select(
-        "group_id", "type", option_signature(F.col("options")).alias("own"), option_signature(F.col("shared_options")).alias("shared"), (trimmed(F.col("prompt")) == "").alias("blank")
-    )
+    'single': fewer than two members. 'blank-prompt': a prompt of a B1 or A3 group is blank, or, in B1, a type label only.
+    'options': loose options, in letter order, of a B1 group differ among members or from the shared ones. 'child-numbers': the
+    numbers inside the source's group (source_sub_question_number, where the items have it and it is not null) aren't 1 to n in order.
+    """
+    letters = [F.lit(k) for k in LETTERS]
+    child = F.col("source_sub_question_number") if "source_sub_question_number" in items.columns else F.lit(None).cast("int")
+    rows = items.filter("group_id <> ''").select("group_id", "type", "number", "id", "prompt", "options", "shared_options", child.alias("child"))
+    rows = _folded(rows, *(F.try_element_at(c, k) for c in ("options", "shared_options") for k in letters))
+    side = lambda at: F.concat_ws("|", F.slice("t", at, len(LETTERS)))
+    rows = rows.select("group_id", "type", "number", "id", "child", trimmed(F.col("prompt")).alias("p"), side(1).alias("own"), side(1 + len(LETTERS)).alias("shared"))
+    order = F.struct("number", "id")
     g = rows.groupBy("group_id").agg(
-        F.count("*").alias("n"), F.max("blank").alias("blank"), F.min("type").alias("type"), F.count_distinct("own").alias("owns"), F.max(F.col("own") != F.col("shared")).alias("differs")
+        F.count("*").alias("n"), F.max(F.col("p") == "").alias("blank"), F.max(F.col("p").rlike(PLACEHOLDER_STEM)).alias("label"), F.min_by("type", order).alias("type"),
+        F.count_distinct("own").alias("owns"), F.max(F.col("own") != F.col("shared")).alias("differs"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("child").isNotNull(), F.struct("number", "id", "child")))), lambda x: x["child"]).alias("children"),
     )
+    b1 = F.col("type") == "B1"
     kinds = F.array(
-        F.when(F.col("n") < 2, "single"), F.when(F.col("blank"), "blank-prompt"), F.when((F.col("type") == "B1") & ((F.col("owns") != 1) | F.col("differs")), "options")
+        F.when(F.col("n") < 2, "single"), F.when((b1 & (F.col("blank") | F.col("label"))) | ((F.col("type") == "A3") & F.col("blank")), "blank-prompt"),
+        F.when(b1 & ((F.col("owns") != 1) | F.col("differs")), "options"),
+        F.when(b1 & (F.size("children") > 0) & (F.col("children") != F.sequence(F.lit(1), F.col("n").cast("int"))), "child-numbers"),
     )
     return g.select("group_id", F.explode(F.array_compact(kinds)).alias("kind"))

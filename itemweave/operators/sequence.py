@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from itemweave.functions.text import bigrams, containment, year_of
 from itemweave.schema import GROUPED_TYPES, LETTERS
@@ -41,9 +42,13 @@ def group_ranges(items: DataFrame) -> DataFrame:
 
 
 def group_contiguity(items: DataFrame, order: str) -> DataFrame:
-    """(group_id, contiguous): whether the members follow one another without a gap in `order`, a number without gaps."""
-    groups = items.filter("group_id is not null and group_id <> ''").groupBy("group_id")
-    return groups.agg((F.max(order) - F.min(order) + 1 == F.count("*")).alias("contiguous"))
+    """(group_id, contiguous): whether the members follow one another in the bank, by their places in `order`.
+
+    Only ids travel to find the places. Repeated values of the order get places of their own, by id.
+    """
+    placed = numbered(items.select("id", "group_id", F.col(order).alias("at_")), "at_", "id")
+    groups = placed.filter("group_id is not null and group_id <> ''").groupBy("group_id")
+    return groups.agg((F.max("pos") - F.min("pos") + 1 == F.count("*")).alias("contiguous"))
 
 
 def group_conflicts(items: DataFrame) -> DataFrame:
@@ -72,18 +77,32 @@ def next_number(items: DataFrame) -> DataFrame:
     return rows.join(following, ["year", "unit", "number"], "left").select("id", F.coalesce("next_exists", F.lit(False)).alias("next_exists"))
 
 
+#: Neighbours meet in blocks of so many places; the rows at the edge of a block also go to the one beside it.
+BLOCK = 4096
+
+
 def neighbour_overlap(items: DataFrame, order: list[str], expected: str, explanation: str, partition: str) -> DataFrame:
-    """(id, own, neighbours, suspect): how well an explanation fits its own item and those next to it in the partition.
+    """(id, own, neighbours, suspect): how well an explanation fits its own item and the items beside it in the whole order.
 
-    Own below 0.08 and a neighbour better by more than 0.12 is suspect. First and last rows of a partition have one neighbour.
-    Neighbours are found by place in one total order, so a partition of any size is spread over all tasks.
+    Scores are the share of an item's loose bigrams that an explanation holds. A neighbour of another partition scores 0. Own
+    below 0.08 and a neighbour better by more than 0.12 is suspect. Members of groups and the first and last row of the whole
+    order aren't judged. Ids alone are numbered; texts meet their neighbours in small blocks of places, whatever the
+    partitions' sizes.
     """
+    from itemweave.operators.quality import loose
+
     keys = [c for c in (partition, *order) if c != "id"]
-    rows = numbered(items.select("id", *keys, F.col(expected).alias("e"), F.coalesce(explanation, F.lit("")).alias("x")), partition, *order)
-    near = rows.select(F.col(partition).alias("other"), "pos", F.col("e").alias("ne"))
-    sides = [near.select((F.col("pos") + d).alias("pos"), F.col("other").alias(f"p{n}"), F.col("ne").alias(f"e{n}")) for n, d in enumerate((1, -1))]
-    both = rows.join(sides[0], "pos", "left").join(sides[1], "pos", "left")
+    place = numbered(items.select("id", *keys), partition, *order).select("id", "pos")
+    total = place.agg(F.max("pos").alias("n")).first().n or 0
+    texts = items.select("id", F.col(partition).alias("part"), F.coalesce("group_id", F.lit("")).alias("group"), loose(F.col(expected)).alias("e"), loose(F.col(explanation)).alias("x"))
+    rows = texts.join(place, "id")
+    block, at = F.floor((F.col("pos") - 1) / BLOCK), (F.col("pos") - 1) % BLOCK
+    homes = F.array_compact(F.array(block, F.when(at == 0, block - 1), F.when(at == BLOCK - 1, block + 1)))
+    rows = rows.select("*", block.alias("home"), F.explode(homes).alias("block"))
+    w = W.partitionBy("block").orderBy("pos")
+    beside = rows.withColumns({f"{c}{n}": f(c).over(w) for n, f in enumerate((F.lag, F.lead)) for c in ("part", "e")})
+    judged = beside.filter((F.col("block") == F.col("home")) & (F.col("group") == "") & (F.col("pos") > 1) & (F.col("pos") < total))
     found = bigrams(F.col("x"))
-    score = lambda n: F.when(F.col(f"p{n}") == F.col(partition), containment(bigrams(F.coalesce(f"e{n}", F.lit(""))), found)).otherwise(F.lit(0.0))
-    out = both.select("id", containment(bigrams(F.col("e")), found).alias("own"), F.greatest(score(0), score(1)).alias("neighbours"))
+    score = lambda n: F.when(F.col(f"part{n}").eqNullSafe(F.col("part")), containment(bigrams(F.coalesce(f"e{n}", F.lit(""))), found)).otherwise(F.lit(0.0))
+    out = judged.select("id", containment(bigrams(F.col("e")), found).alias("own"), F.greatest(score(0), score(1)).alias("neighbours"))
     return out.withColumn("suspect", (F.col("own") < 0.08) & (F.col("neighbours") > F.col("own") + 0.12))

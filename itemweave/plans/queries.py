@@ -5,6 +5,7 @@ bank_ord, the place of an item in its bank, is the rank of (imported_at, id) whe
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,28 @@ FLAGSHIP = "exam_paper_pages"
 SEED = 7
 
 
+def _folding() -> tuple[str, str]:
+    """Two strings for SQL's translate: every character of the usual blocks that compatibility folding turns into one other, and that one."""
+    blocks = (range(0x80, 0x500), range(0x2000, 0x3400), range(0xF900, 0xFB00), range(0xFF00, 0xFFF0))
+    pairs = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for b in blocks for c in b]
+    pairs = [(a, b) for a, b in pairs if a != b and len(b) == 1 and b != "'"]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_EDGE = r"[\s\x0B\x{85}\p{Z}\x{FEFF}]+"
+
+
+def _trim(c: str) -> str:
+    """SQL: without white space of any kind at both ends, null as ''."""
+    return f"regexp_replace(regexp_replace(coalesce({c}, ''), '^{_EDGE}', ''), '{_EDGE}$', '')"
+
+
+def _nfkc(c: str) -> str:
+    """SQL: compatibility folding. The two characters of the tables that fold into several are spelled out."""
+    a, b = _folding()
+    return f"nfc_normalize(replace(replace(translate({c}, '{a}', '{b}'), '℃', '°C'), '…', '...'))"
+
+
 def _on(*tables: str, sql: str | None = None):
     """Register a function of tables as the query of its name."""
 
@@ -147,14 +170,24 @@ def dedup_keep_first(q):
     return rows.select("id", "first_id", "duplicate")
 
 
-@_on("questions")
+def _lines(*columns: str) -> str:
+    """SQL: texts in one, apart by a character that folding leaves alone."""
+    return " || chr(30) || ".join(f"coalesce({c}, '')" for c in columns)
+
+
+_OPTIONS = [f"options['{k}']" for k in schema.LETTERS]
+_CONTENT = rf"lower(regexp_replace({_nfkc('stem || ' + ' || '.join(f'coalesce({c}, chr(30))' for c in _OPTIONS))}, '[^0-9A-Za-z\x{{3400}}-\x{{9FFF}}]', '', 'g'))"
+_FIRSTS = "select id, first_id from (select id, key, first_value(id) over w as first_id, row_number() over w as n from k window w as (partition by key order by t, id)) where n > 1 and key <> ''"
+
+
+@_on("questions", sql=f"with k as (select id, epoch_us(imported_at) as t, {_CONTENT} as key from questions where stem is not null) {_FIRSTS}")
 def dedup_nfkc_keep_first(q):
-    """As dedup_keep_first with the folded key (NFKC, letters and ideographs); DuckDB has no NFKC."""
+    """As dedup_keep_first with the folded key: NFKC, letters and ideographs."""
     key = F.concat(X.trimmed(F.col("stem")), *(F.coalesce(F.try_element_at("options", F.lit(k)), F.lit("")) for k in schema.LETTERS))
     return dedup.keep_first(_ordered(q), F.md5(X.content_key(key)), "bank_ord").filter("duplicate").select("id", "first_id")
 
 
-@_on("questions")
+@_on("questions", sql=rf"with k as (select id, epoch_us(imported_at) as t, regexp_replace(lower({_nfkc('stem')}), '[^\p{{L}}\p{{N}}]', '', 'g') as key from questions where stem is not null) {_FIRSTS}")
 def dedup_stem_keep_first(q):
     """Keep the first of equal stems under the alphanumeric key."""
     return dedup.keep_first(_ordered(q), X.alnum_key(F.col("stem")), "bank_ord").filter("duplicate").select("id", "first_id")
@@ -180,20 +213,43 @@ def block_dedup(q):
     return dedup.block_dedup(rows, "fp", "block", "bank_ord")
 
 
-@_on("questions")
+@_on("questions", sql=f"""
+with recursive k as (select coalesce(nullif(group_id, ''), id) as block, epoch_us(imported_at) as t, id, {_CONTENT} as key from questions),
+b as (select block, row_number() over (order by min(struct_pack(t := t, i := id))) as n, list(distinct key) filter (where key <> '') as keys from k group by block),
+often as (select list(key) as all_keys from (select key from k where key <> '' group by key having count(distinct block) > 1)),
+d as (select block, n, list_intersect(keys, all_keys) as keys from b, often),
+c as (select block, row_number() over (order by n) as n, keys from d where len(keys) > 0),
+walk(n, block, seen, dropped) as (select 0::bigint, '', []::varchar[], false union all
+  select c.n, c.block, case when list_has_any(w.seen, c.keys) then w.seen else list_concat(w.seen, c.keys) end, list_has_any(w.seen, c.keys) from walk w join c on c.n = w.n + 1)
+select block from walk where dropped""")
 def sequential_block_dedup(q):
-    """Blocks dropped because of a key that an accepted earlier block had; order-dependent, so checked by brute force."""
+    """Blocks dropped because of a key that an accepted earlier block had; the SQL walks the blocks one by one."""
     key = F.concat(X.trimmed(F.col("stem")), *(F.coalesce(F.try_element_at("options", F.lit(k)), F.lit("")) for k in schema.LETTERS))
     rows = _ordered(q).withColumns({"key": F.md5(X.content_key(key)), "block": F.coalesce(F.nullif(F.col("group_id"), F.lit("")), F.col("id"))})
     rows = rows.withColumn("ord", F.concat_ws("|", F.lpad(F.col("bank_ord.t").cast("string"), 20, "0"), "id"))
     return dedup.sequential_block_dedup(rows, "key", "block", "ord").filter("dropped").select("block")
 
 
-@_on("questions")
+@_on("questions", sql=rf"""
+with f as (select id, answer, string_split(regexp_replace({_nfkc(_lines(*(_trim(c) for c in ("stem", *_OPTIONS))))}, '[^0-9A-Za-z\x{{3400}}-\x{{9FFF}}\x{{1E}}]', '', 'g'), chr(30)) as t from questions),
+k as (select id, lower(t[1]) || '|' || array_to_string(list_sort(list_transform(t[2:6], lambda x: lower(x))), '|') as key,
+  case when trim(answer) in ('A', 'B', 'C', 'D', 'E') then lower(t[ascii(trim(answer)) - 63]) else '' end as right_text from f)
+select min(id) as first_id, count(*) as members, count(distinct right_text) as answers from k group by key having count(*) > 1 and count(distinct right_text) > 1""")
 def conflicting_answers(q):
     return quality.answer_conflicts(q)
 
 
+_LOOSE = r"[\s\x0B\x{85}\p{Z}\x{FEFF}，。；：、（）()《》\"“”‘’？?！!]+"
+_LOOSED = rf"""loosed as (select id, answer, group_id, string_split(regexp_replace({_nfkc(_lines(*(_trim(c) for c in ("explanation", "stem", *_OPTIONS))))}, '{_LOOSE}', '', 'g'), chr(30)) as t from questions)"""
+
+
+@_on("questions", sql=rf"""
+with {_LOOSED}, k as (select id, array_to_string(t[2:7], chr(30)) as key, case when answer in ('A', 'B', 'C', 'D', 'E') then t[ascii(answer) - 62] else '' end as right_text from loosed)
+select min(id) as first_id, count(*) as members, count(distinct right_text) as answers from k group by key having count(*) > 1 and count(distinct right_text) > 1""")
+def duplicate_answer_conflicts(q):
+    return quality.duplicate_answer_conflicts(q)
+
+
 @_on("questions", "bank_sources", sql=f"""
 with q as (select {_FP} as fp, b.kind from questions q join bank_sources b using (source))
 select a.kind, count(distinct a.fp) as shared from q a where a.kind <> 'docx' and a.fp in (select fp from q where kind = 'docx') group by a.kind""")
@@ -287,10 +343,21 @@ def group_range_complete(q):
 
 
 @_on("questions", sql="""
-with g as (select group_id, source, min(number) as lo, max(number) as hi, count(*) as n from questions where group_id is not null group by group_id, source)
-select group_id, hi - lo + 1 = n as contiguous from (select group_id, min(lo) as lo, max(hi) as hi, sum(n) as n from g group by group_id)""")
+with p as (select id, group_id, row_number() over (order by epoch_us(imported_at), id) as pos from questions),
+s as (select group_id, pos - lag(pos) over (partition by group_id order by pos) as step from p where coalesce(group_id, '') <> '')
+select group_id, bool_and(coalesce(step, 1) = 1) as contiguous from s group by group_id""")
 def group_contiguity(q):
-    return sequence.group_contiguity(q, "number")
+    """Whether the members stand side by side in the bank."""
+    return sequence.group_contiguity(_ordered(q), "bank_ord")
+
+
+@_on("questions", sql="""
+with p as (select id, group_id, row_number() over (order by unit, number, id) as pos from questions),
+s as (select group_id, pos - lag(pos) over (partition by group_id order by pos) as step from p where coalesce(group_id, '') <> '')
+select group_id, bool_and(coalesce(step, 1) = 1) as contiguous from s group by group_id""")
+def group_contiguity_by_number(q):
+    """The same with the bank in the order of unit and number."""
+    return sequence.group_contiguity(q.withColumn("place", F.struct("unit", "number")), "place")
 
 
 @_on("questions", sql=f"""
@@ -314,19 +381,20 @@ def next_number_present(q):
     return sequence.next_number(q)
 
 
-_GRAMS = "list_distinct(list_transform(generate_series(1, length({0}) - 1), lambda i: substr({0}, i, 2)))"
+_GRAMS = lambda c: f"case when length({c}) > 1 then list_distinct(list_transform(generate_series(1, length({c}) - 1), lambda i: substr({c}, i, 2))) else [] end"
 
 
-@_on("questions", sql=f"""
-with q as (select id, subject_id, number, {_GRAMS.format("(stem || coalesce(options[answer], ''))")} as e, {_GRAMS.format("coalesce(explanation, '')")} as a from questions where subject_id is not null),
-n as (select *, lag(e) over w as before, lead(e) over w as after from q window w as (partition by subject_id order by number, id)),
-s as (select id, case when len(e) > 0 then len(list_intersect(e, a)) / len(e) else 0.0 end as own,
-  greatest(case when len(before) > 0 then len(list_intersect(before, a)) / len(before) else 0.0 end, case when len(after) > 0 then len(list_intersect(after, a)) / len(after) else 0.0 end) as neighbours from n)
+@_on("questions", sql=rf"""
+with l as (select id, subject_id, number, group_id, string_split(regexp_replace({_nfkc(_lines(_trim("stem || coalesce(options[answer], '')"), _trim("explanation")))}, '{_LOOSE}', '', 'g'), chr(30)) as t from questions where subject_id is not null),
+q as (select id, subject_id, group_id, {_GRAMS("t[1]")} as e, {_GRAMS("t[2]")} as a, row_number() over (order by subject_id, number, id) as pos from l),
+n as (select id, group_id, e, a, pos, case when lag(subject_id) over w = subject_id then lag(e) over w else [] end as before, case when lead(subject_id) over w = subject_id then lead(e) over w else [] end as after,
+  count(*) over () as total from q window w as (order by pos)),
+s as (select id, case when len(e) > 0 then len(list_intersect(e, a)) / len(e) else 0.0 end as own, greatest(case when len(before) > 0 then len(list_intersect(before, a)) / len(before) else 0.0 end,
+  case when len(after) > 0 then len(list_intersect(after, a)) / len(after) else 0.0 end) as neighbours from n where pos > 1 and pos < total and coalesce(group_id, '') = '')
 select id, round(own, 9) as own, round(neighbours, 9) as neighbours, own < 0.08 and neighbours > own + 0.12 as suspect from s""")
 def neighbour_overlap(q):
-    rows = q.filter("subject_id is not null").withColumns(
-        {"expected": F.concat("stem", F.coalesce(F.try_element_at("options", "answer"), F.lit("")))}
-    )
+    """The items with a subject in the order of subject, number and id."""
+    rows = q.filter("subject_id is not null").withColumn("expected", F.concat("stem", F.coalesce(F.try_element_at("options", "answer"), F.lit(""))))
     out = sequence.neighbour_overlap(rows, ["number", "id"], "expected", "explanation", "subject_id")
     return out.select("id", F.round("own", 9).alias("own"), F.round("neighbours", 9).alias("neighbours"), "suspect")
 
@@ -430,7 +498,10 @@ def unbalanced_brackets(q):
     return quality.scan_candidates(q).filter("issue_type = 'unbalanced-brackets'").select("id", "field")
 
 
-@_on("questions")
+@_on("questions", sql=rf"""
+with n as (select id, 1 + case when try_cast(regexp_extract(id, '^(\d{{4}})(-|$)', 1) as integer) between 2019 and 2022 and unit is not null then (unit - 1) * 150 + number else number end as next from questions)
+select distinct t.id, t.field from (select id, field, {_trim("text")} as text from ({_CELLS})) t join n using (id)
+where next is not null and regexp_matches(text, '(?i)(^|[。；;，,\s\x0B])' || next || '[IL]?[.．、](\s|\x0B|$|[【〖\x{{3400}}-\x{{9FFF}}])')""")
 def next_number_in_text(q):
     return quality.scan_candidates(q).filter("issue_type = 'possible-next-question-number'").select("id", "field")
 
@@ -481,13 +552,77 @@ def subject_reconciliation(q, s):
     return validate.subject_reconciliation(q, s.withColumn("count", F.col("ord") * 100))
 
 
-@_on("questions")
+_SHARED = [f"shared_options['{k}']" for k in schema.LETTERS]
+
+
+def _audit_sql() -> str:
+    """The structural audit in SQL: one query for each kind of issue, numbers of neighbouring questions as patterns of each row."""
+    pattern = lambda p: p.replace("'", "''")
+    some = lambda c: f"{_trim(c)} = ''"
+    letters = "['A', 'B', 'C', 'D', 'E']"
+    issue = lambda test, kind, field, severity="'error'": f"select id, {severity} as severity, '{kind}' as kind, '{field}' as field from r where {test}"
+    by_history = "case when strict then 'error' else 'warning' end"
+    grouped = "kind_ in ('A3', 'B1')"
+    missing, odd = f"regexp_matches(e, '{pattern(quality.AUDIT_PLACEHOLDER)}')", f"regexp_matches(e, '{pattern(quality.AUDIT_UNUSABLE)}')"
+    keys = lambda c: f"coalesce(list_sort(map_keys({c})), [])"
+    records = [
+        issue(some("id"), "missing-id", "id"), issue(some("stem"), "missing-stem", "stem"), issue(f"{keys('options')} <> {letters}", "invalid-option-keys", "options"),
+        *(issue(some(c), "missing-option", f"option-{k}") for k, c in zip(schema.LETTERS, _OPTIONS)),
+        issue(f"not coalesce({_trim('answer')} in ('A', 'B', 'C', 'D', 'E') and {_trim('options[' + _trim('answer') + ']')} <> '', false)", "invalid-answer", "answer"),
+        issue("e = ''", "empty-explanation", "explanation"), issue("kind_ not in ('A1/A2', 'A3', 'B1')", "invalid-type", "type"),
+        issue(f"{grouped} and {some('group_id')}", "missing-group-id", "group_id"), issue(f"{grouped} and {some('prompt')}", "missing-group-prompt", "prompt"),
+        issue(f"kind_ = 'A3' and {some('shared_stem')}", "missing-shared-stem", "shared_stem"),
+        issue(f"kind_ = 'B1' and ({keys('shared_options')} <> {letters} or " + " or ".join(some(c) for c in _SHARED) + ")", "invalid-shared-options", "shared_options"),
+        issue(f"not {grouped} and {_trim('group_id')} <> ''", "unexpected-group-id", "group_id"),
+        *(issue(f"regexp_matches({_trim(c)}, '{quality.ANSWER_MARKER}')", "embedded-answer-marker", n) for n, c in [("stem", "stem"), *((f"option-{k}", c) for k, c in zip(schema.LETTERS, _OPTIONS))]),
+        issue(missing, "placeholder-explanation", "explanation", by_history), issue(f"{odd} and not {missing}", "unusable-explanation", "explanation", "'warning'"),
+    ]
+    found = lambda test, kind, severity=by_history: f"select id, {severity} as severity, '{kind}' as kind, field from cells where {test}"
+    either = lambda numbers: f"'(' || array_to_string({numbers}, '|') || ')'"
+    begins = "(([【〖]\\s*)?(解析|一\\s*点\\s*笔\\s*记)|患者|患儿|下列|上述|治疗|诊断|某|女性|男性)"
+    texts = [found(f"regexp_matches(raw, '{pattern(p)}')", kind) for kind, p in quality.AUDIT_RULES]
+    texts += [
+        found(f"strict and regexp_matches(raw, '{quality.HISTORY_OCR}')", "history-source-ocr", "'error'"),
+        found(f"len(anchors) > 0 and regexp_matches(raw, '[·•]\\s*' || {either('anchors')} || '(\\s*[（(]|$)|(^|[^\\d])' || {either('anchors')} || '[.．、]\\s*{begins}')", "merged-question-anchor"),
+        found(f"len(nexts) > 0 and regexp_matches(raw, '(?i)(^|[·。；;，,\\s])' || {either('nexts')} || '[IL]?[.．、]?\\s*$')", "trailing-next-question-anchor"),
+    ]
+    signature = rf"lower(regexp_replace({_nfkc(' || '.join(_trim(c) for c in ('stem', *_OPTIONS)))}, '[^0-9A-Za-z\x{{3400}}-\x{{9FFF}}]', '', 'g'))"
+    cells = " union all ".join(f"select id, '{n}' as field, {_trim(c)} as raw from questions" for n, c in [("stem", "stem"), ("explanation", "explanation"), *((f"option-{k}", c) for k, c in zip(schema.LETTERS, _OPTIONS))])
+    return rf"""
+with y as (select *, try_cast(regexp_extract(id, '^(\d{{4}})(-|$)', 1) as integer) as year, epoch_us(imported_at) as t from questions),
+r as (select *, coalesce(year between 2018 and 2022, false) as strict, {_trim("explanation")} as e, coalesce(nullif({_trim("type")}, ''), '(missing)') as kind_,
+  exists (select 1 from y b where b.year is not distinct from y.year and b.year is not null and b.unit = y.unit and b.number = y.number + 1) as has_next from y),
+a as (select *, case when strict then case when year = 2018 then number else (unit - 1) * 150 + number end end as current, case when has_next then number + 1 end as local from r),
+f as (select *, case when strict then case when year = 2021 then case when unit between 1 and 4 then case when number < case when unit = 4 then 126 else 150 end then number + 1 when unit < 4 then 1 end end
+  when current < case when year = 2018 then 162 else 600 end then current + 1 end end as following from a),
+n as (select id, strict, list_distinct(list_filter([number, local, current, following], lambda x: x is not null)) as anchors, list_distinct(list_filter([local, following], lambda x: x is not null)) as nexts from f),
+cells as (select c.*, n.strict, n.anchors, n.nexts from ({cells}) c join n using (id) where raw <> ''),
+s as (select id, t, {signature} as key, {_trim("id")} as i from r),
+repeated as (select id, 'duplicate-id' as kind, 'id' as field, row_number() over (partition by i order by t, id) as k from s where i <> ''
+  union all select id, 'duplicate-question-content', null, row_number() over (partition by key order by t, id) from s where key <> ''),
+g as (select group_id, count(distinct type) as types, arg_min(type, struct_pack(n := number, i := id)) as type, count(distinct coalesce(year, -1)) as years, count(distinct coalesce(unit, -1)) as units,
+  count(distinct coalesce(trim(shared_stem), '')) as stems, min(coalesce(trim(shared_stem), '')) as stem, count(distinct {_SHARED_ROW}) as options, min({_SHARED_ROW}) as option,
+  count(distinct group_start) = 1 and count(distinct group_end) = 1 and count(group_start) = count(*) and count(group_end) = count(*) as agreed,
+  list_sort(list(number)) as numbers, min(group_start) as low, max(group_end) as high from y where coalesce(group_id, '') <> '' group by group_id)
+{" union all ".join(records)} union all {" union all ".join(texts)}
+union all select id, 'error', kind, field from repeated where k > 1
+union all select group_id, 'error', 'group-type-conflict', 'group_id' from g where types <> 1 or type not in ('A3', 'B1')
+union all select group_id, 'error', 'group-scope-conflict', 'group_id' from g where years <> 1 or units <> 1
+union all select group_id, 'error', 'shared-stem-conflict', 'shared_stem' from g where type = 'A3' and (stems <> 1 or stem = '')
+union all select group_id, 'error', 'shared-options-conflict', 'shared_options' from g where type = 'B1' and (options <> 1 or option = '')
+union all select group_id, 'error', case when agreed then 'incomplete-group-members' else 'group-range-conflict' end, 'group_start/group_end' from g
+  where not agreed or low > high or numbers <> generate_series(low, high)"""
+
+
+_SHARED_ROW = "case when shared_options is null then '' else array_to_string([" + ", ".join(f"'{k}:' || coalesce(trim({c}), '')" for k, c in zip(schema.LETTERS, _SHARED)) + "], '|') end"
+
+
+@_on("questions", sql=_audit_sql())
 def structural_audit(q):
-    """All structural issues; NFKC signatures and row-dependent patterns have no DuckDB form."""
     return quality.structural_issues(_ordered(q)).select("id", "severity", "kind", "field")
 
 
-@_on("questions")
+@_on("questions", sql=f"select severity, kind, count(*) as issues, count(distinct id) as ids from ({_audit_sql()}) group by severity, kind")
 def structural_audit_counts(q):
     return quality.issue_counts(quality.structural_issues(_ordered(q)), "severity", "kind")
 
@@ -504,30 +639,29 @@ def placeholder_stems(q):
     return quality.placeholder_stems(q)
 
 
-_SIGNATURE = lambda c: "case when " + c + " is null then '' else " + " || '|' || ".join(f"'{k}:' || trim(coalesce({c}['{k}'], ''))" for k in schema.LETTERS) + " end"
 
 
-@_on("questions", sql=f"""
-with r as (select group_id, type, {_SIGNATURE("options")} as own, {_SIGNATURE("shared_options")} as shared, {_TRIM.replace("text", "coalesce(prompt, '')")} = '' as blank
-  from questions where group_id <> ''),
-g as (select group_id, count(*) as n, bool_or(blank) as blank, min(type) as type, count(distinct own) as owns, bool_or(own <> shared) as differs from r group by group_id)
-select group_id, 'single' as kind from g where n < 2 union all select group_id, 'blank-prompt' from g where blank
+@_on("questions", sql=rf"""
+with f as (select group_id, type, number, id, {_trim("prompt")} as p, string_split(regexp_replace({_nfkc(_lines(*(_trim(c) for c in (*_OPTIONS, *_SHARED))))}, '{_LOOSE}', '', 'g'), chr(30)) as t from questions where group_id <> ''),
+g as (select group_id, count(*) as n, bool_or(p = '') as blank, bool_or(regexp_matches(p, '{quality.PLACEHOLDER_STEM}')) as label, arg_min(type, struct_pack(n := number, i := id)) as type,
+  count(distinct array_to_string(t[1:5], '|')) as owns, bool_or(t[1:5] <> t[6:10]) as differs from f group by group_id)
+select group_id, 'single' as kind from g where n < 2 union all select group_id, 'blank-prompt' from g where (type = 'B1' and (blank or label)) or (type = 'A3' and blank)
 union all select group_id, 'options' from g where type = 'B1' and (owns <> 1 or differs)""")
 def group_member_issues(q):
     return quality.group_member_issues(q)
 
 
-_LOOSE = lambda c: f"regexp_replace(coalesce({c}, ''), '[ \\t\\n\\x0B\\f\\r，。；：、（）()《》\"“”‘’？?！!]', '', 'g')"
-
-
-@_on("questions")
+@_on("questions", sql=rf"""
+with {_LOOSED}, r as (select id, t[1] as said, t[3:7] as o, case when answer in ('A', 'B', 'C', 'D', 'E') then ascii(answer) - 64 end as k from loosed)
+select id from r where length(o[k]) >= 2 and not contains(said, o[k])
+  and len(list_filter(generate_series(1, 5), lambda i: i <> k and length(o[i]) >= 2 and contains(said, o[i]))) > 0""")
 def answer_not_explained(q):
     return quality.answer_not_explained(q)
 
 
 @_on("questions", sql=f"""
-with r as (select id, coalesce(nullif(group_id, ''), id) as block, {_LOOSE(_TRIM.replace("text", "coalesce(explanation, '')"))} as t from questions)
-select min(id) as first_id, count(*) as members, count(distinct block) as groups from r where t <> '' group by t having count(*) > 1 and count(distinct block) > 1""")
+with {_LOOSED} select min(id) as first_id, count(*) as members, count(distinct coalesce(nullif(group_id, ''), id)) as groups from loosed
+group by t[1] having count(*) > 1 and count(distinct coalesce(nullif(group_id, ''), id)) > 1""")
 def repeated_explanations(q):
     return quality.repeated_explanations(q)
 

@@ -101,5 +101,8 @@ def test_state_records_and_backup(spark):
     df = spark.createDataFrame([("d", one)], "device string, state string")
     assert {(r.collection, r.key, r.version) for r in state.records(df).collect()} == {("sessions", "a", 2), ("wrongs", "q", None)}
     out = df.select(state.redacted(F.col("state")).alias("b")).first().b
-    assert "secret" not in out and json.loads(out)["state"]["settings"] == {"passwordHash": None}
+    assert "secret" not in out and json.loads(out)["state"]["settings"] == {}
+    odd = json.dumps({"sync": {"passwordHash": 'ab"cd', "code": "x"}, "a": 'passwordHash":"q', "l": [1], "n": None})
+    out2 = spark.createDataFrame([(odd,)], "s string").select(state.redacted(F.col("s")).alias("b")).first().b
+    assert json.loads(out2)["state"] == {"sync": {"code": "x"}, "a": 'passwordHash":"q', "l": [1], "n": None}
     assert spark.createDataFrame([(out,), ("{}",)], "b string").select(state.valid_backup(F.col("b"))).collect() == [(True,), (False,)]
