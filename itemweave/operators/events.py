@@ -63,10 +63,13 @@ def grade(papers: DataFrame, answers: DataFrame, bank: DataFrame) -> DataFrame:
 
 
 def grade_totals(graded: DataFrame) -> DataFrame:
-    """(session_id, total, correct, wrong, unanswered)."""
+    """(session_id, total, correct, wrong, unanswered, wrong_ids), wrong_ids in the order of pos, where there is one, and id."""
     count = lambda c: F.count_if(c)
+    keys = [c for c in ("pos", "question_id") if c in graded.columns]
+    wrongs = F.collect_list(F.when(~F.col("right"), F.struct(*keys)))  # an exam's questions are few
     return graded.groupBy("session_id").agg(
-        F.count("*").alias("total"), count(F.col("right")).alias("correct"), count(~F.col("right")).alias("wrong"), count(F.col("unanswered")).alias("unanswered")
+        F.count("*").alias("total"), count(F.col("right")).alias("correct"), count(~F.col("right")).alias("wrong"), count(F.col("unanswered")).alias("unanswered"),
+        F.transform(F.array_sort(wrongs), lambda x: x["question_id"]).alias("wrong_ids"),
     )
 
 

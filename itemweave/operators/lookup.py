@@ -44,6 +44,29 @@ def corrected_options(items: DataFrame, corrections: DataFrame) -> DataFrame:
     return found.select("correction_id", status.alias("status"))
 
 
+class CorrectionConflict(ValueError):
+    """A verified correction no longer fits; the message names the corrections."""
+
+
+def corrected(items: DataFrame, corrections: DataFrame, strict: bool = True) -> DataFrame:
+    """The items with all fitting corrections applied to options, and to shared options where an item has them.
+
+    Strict: any correction whose items or texts have changed raises CorrectionConflict before anything is returned. Without
+    it such corrections are left out. Of several corrections of one letter the one with the largest correction_id counts.
+    """
+    status = corrected_options(items, corrections)
+    if strict:
+        wrong = status.filter("status <> 'ok'").orderBy("correction_id").limit(5).collect()
+        if wrong:
+            raise CorrectionConflict(", ".join(f"{r.correction_id}: {r.status}" for r in wrong))
+    good = corrections.join(status.filter("status = 'ok'").select("correction_id"), "correction_id")
+    by = ["subject_id", "source_question_number"]
+    new = good.groupBy(*by, "letter").agg(F.max_by("after", "correction_id").alias("after")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("letter", "after"))).alias("fix_"))
+    put = lambda c: F.transform_values(c, lambda k, v: F.coalesce(F.try_element_at("fix_", k), v))
+    rows = items.join(new, by, "left")
+    return rows.withColumns({c: F.when(F.col("fix_").isNull(), F.col(c)).otherwise(put(c)) for c in ("options", "shared_options")}).select(*items.columns)
+
+
 def evidence(backfills: DataFrame, assignments: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, source_ids, organizations, corroborated): the sources of each backfill in their order; every link must resolve.
 
@@ -59,9 +82,19 @@ def evidence(backfills: DataFrame, assignments: DataFrame, sources: DataFrame) -
 
 
 def undisputed(backfills: DataFrame, disputes: DataFrame) -> DataFrame:
+    """The backfills without those of disputed items."""
     return backfills.join(disputes.select("id").distinct(), "id", "left_anti")
 
 
+def settled(backfills: DataFrame, disputes: DataFrame, number: int) -> DataFrame:
+    """The backfills, if there are exactly `number` disputed items and none of them is backfilled; else ValueError."""
+    ids = disputes.select("id").distinct()
+    found, both = ids.count(), backfills.join(ids, "id", "left_semi").count()
+    if found != number or both:
+        raise ValueError(f"{found} disputes instead of {number}, {both} of them backfilled")
+    return backfills
+
+
 def zip_readings(*readings: DataFrame, on: str = "ord") -> DataFrame:
     """Readings of one layout side by side by ordinal: text_0, text_1, ...; a reading that lacks an ordinal is null there."""
     out = None
@@ -112,14 +145,19 @@ def next_after_removal(order: DataFrame, removed: str) -> str | None:
     return rest.agg(F.max_by("id", "pos")).first()[0]
 
 
-def type_cursor(events: DataFrame, types: list[str]) -> DataFrame:
-    """(session_id, current_type, locked): after the confirmations of each session; the cursor only moves forward.
+def type_cursor(confirmations: DataFrame, types: list[str], order: list[str]) -> DataFrame:
+    """(session_id, current_type, locked, submitted): where the cursor of each session stands after its confirmations in order.
 
-    events: (session_id, ...) one row per confirmation. The last type's confirmation submits and locks nothing.
+    confirmations: (session_id, type, *order). A confirmation counts if its type is the current one; it locks that type and
+    moves on. Confirmations of other types are late or repeated and do nothing. The last type's one submits, and nothing
+    counts after it. A session's confirmations are few, so they are folded as one array.
     """
-    steps = events.groupBy("session_id").agg(F.least(F.count("*"), F.lit(len(types) - 1)).cast("int").alias("n"))
     names = F.array(*(F.lit(t) for t in types))
-    return steps.select("session_id", F.element_at(names, F.col("n") + 1).alias("current_type"), F.slice(names, 1, F.col("n")).alias("locked"))
+    said = confirmations.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(*order, "type"))).alias("said"))
+    step = lambda n, x: F.when((n < len(types)) & x["type"].eqNullSafe(F.try_element_at(names, n + 1)), n + 1).otherwise(n)
+    done = said.select("session_id", F.aggregate("said", F.lit(0), step).alias("n"))
+    at = F.least(F.col("n"), F.lit(len(types) - 1))
+    return done.select("session_id", F.element_at(names, at + 1).alias("current_type"), F.slice(names, 1, at).alias("locked"), (F.col("n") == len(types)).alias("submitted"))
 
 
 def option_signature(options: Column) -> Column:
@@ -128,6 +166,18 @@ def option_signature(options: Column) -> Column:
     return F.when(options.isNotNull(), F.concat_ws("|", *parts)).otherwise(F.lit(""))
 
 
+# The letters of sync codes, without those that look alike.
+CODE_LETTERS = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+
+
+def sync_code(seed: Column) -> Column:
+    """Ten letters with a hyphen in the middle, from the first ten bytes of the seed's digest; a random seed gives a random code."""
+    digest = F.sha2(seed.cast("string"), 256)
+    value = lambda i: F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int") % len(CODE_LETTERS)
+    letters = [F.substring(F.lit(CODE_LETTERS), value(i) + 1, F.lit(1)) for i in range(10)]
+    return F.concat(*letters[:5], F.lit("-"), *letters[5:])
+
+
 def sync_hash(code: Column, password: Column) -> Column:
     return F.sha2(F.concat_ws(":", code, password), 256)
 

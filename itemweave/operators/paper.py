@@ -94,6 +94,10 @@ def review_paper(items: DataFrame, count: int, seed: int, at_most: bool = False,
     """A random review of `count` items of whole blocks, sorted by type; 0 counts as 10, and more than there are as all."""
     total = items.count()
     wanted = max(1, min(total, count or 10))
+    if wanted == total:  # everything: no choice to make, and no task has to see all blocks
+        rows = blocks(items, order)
+        rows = rows.withColumns({"draw": draw(seed, F.col("block")), "rank_": type_rank(F.col("block_type"))})
+        return numbered(rows, "rank_", "draw", "block", order).withColumnRenamed("pos", "paper_pos").drop("rank_")
     one = items.withColumn("pool", F.lit(1))
     quota = items.sparkSession.createDataFrame([(1, wanted)], "pool int, count int")
     rows = whole_blocks(one, quota, ["pool"], seed, at_most, order).drop("pool")  # `count` rows at most from here on
@@ -124,10 +128,11 @@ def pages(items: DataFrame, paper: list[str], pos: str = "paper_pos", size: int
 
 
 def mistake_order(ids: DataFrame, bank: DataFrame, seed: int) -> DataFrame:
-    """(id, pos): known ids once each, members of A3 and B1 groups together by number and id, blocks in random order."""
+    """(id, pos): known ids once each, members of A3 and B1 groups together by number and id in Chinese order, blocks in random order."""
     rows = ids.select("id").distinct().join(bank.select("id", "type", "group_id", "number"), "id")
     grouped = F.col("type").isin("A3", "B1") & (F.coalesce("group_id", F.lit("")) != "")
     block = F.when(grouped, F.concat_ws(":", "type", "group_id")).otherwise(F.concat(F.lit("question:"), F.col("id")))
     rows = rows.withColumn("block", block)
     rows = rows.select("id", "block", draw(seed, F.col("block")).alias("d"), F.coalesce("number", F.lit(0)).alias("number"))
-    return numbered(rows, "d", "block", "number", "id").select("id", "pos")
+    rows = rows.withColumn("zh", F.collate("id", "zh"))
+    return numbered(rows, "d", "block", "number", "zh", "id").select("id", "pos")

@@ -42,6 +42,19 @@ def subject_reconciliation(items: DataFrame, subjects: DataFrame) -> DataFrame:
     return rows.select("subject_id", F.explode(tests).alias("problem"))
 
 
+def duplicate_names(subjects: DataFrame) -> DataFrame:
+    """(subject_name, n): display names that several subjects share. Null names are no names."""
+    return subjects.filter("subject_name is not null").groupBy("subject_name").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def unique_names(subjects: DataFrame) -> DataFrame:
+    """The subjects, if no name repeats; else ValueError."""
+    names = sorted(r.subject_name for r in duplicate_names(subjects).limit(20).collect())
+    if names:
+        raise ValueError(f"repeated subject names: {', '.join(names)}")
+    return subjects
+
+
 def fuse_readings(layout: DataFrame, readings: list[DataFrame], least: float = 0.72) -> tuple[DataFrame, DataFrame]:
     """(fused, disagreements) of readings (ord, field, text) of one layout (ord), the first preferred.
 

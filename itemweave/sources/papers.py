@@ -21,6 +21,10 @@ STEM = re.compile(r"共用题干[：:]\s*(.*)", re.DOTALL)
 NUMBER = re.compile(r"(\d{1,3})\s*[.．、]\s*(?!\d)(.*)", re.DOTALL)
 OPTION = re.compile(r"(?<![A-Za-z])([A-E])\s*[.．、]\s*")
 LABEL = re.compile(r"[【\[]?\s*(答\s*案|解\s*析)\s*(?:[】\]]\s*[：:]?|[：:])\s*")
+KEY = re.compile(r"(?:答案(?:解析)?|案)[】\]]*[：:]?([A-E])|^[【\[]?([A-E])(?:略|[。. ]|$)")
+KEY_HEAD = re.compile(r"^.*?(?:答案(?:解析)?|案)[】\]]*[：:]?[A-E]")
+EXPLANATION_HEAD = re.compile(r"[【\[]*\s*解\s*析\s*[】\]]*[：:]?\s*")
+NEXT_NUMBER = re.compile(r"\s*\d{1,3}\s*[.．、]\s*$")
 _UNITS = {c: n for n, c in enumerate("一二三四", 1)}
 _TYPES = {"A3/A4": "A3", "B": "B1"}
 _GLUED = re.compile(r"(?<![\d.])(?=\d{1,3}[．、]\s*[^\d\s])")
@@ -141,8 +145,7 @@ def answers(paragraphs: list[str], missing: dict[int, str] | None = None) -> lis
     Numbers in `missing` are placed at the paragraph that holds nothing but the number.
     """
     missing = missing or {}
-    letter = lambda t: re.search(r"(?:答案(?:解析)?|案)[】\]]*[：:]?([A-E])|^[【\[]?([A-E])(?:略|[。. ]|$)", re.sub(r"\s+", "", t))
-    found = [(n, m[1] or m[2]) for n, t in enumerate(paragraphs) if (m := letter(t))]
+    found = [(n, m[1] or m[2]) for n, t in enumerate(paragraphs) if (m := KEY.search("".join(t.split())))]
     anchors, number = [], 0
     lone = {n: i for i, t in enumerate(paragraphs) for n in missing if re.fullmatch(rf"{n}\s*[.．、]", t.strip())}
     if set(lone) != set(missing):
@@ -156,7 +159,17 @@ def answers(paragraphs: list[str], missing: dict[int, str] | None = None) -> lis
     out = []
     for (n, at, key), end in zip(anchors, ends):
         text = " ".join(paragraphs[at:end])
-        mark = re.search(r"[【\[]*\s*解\s*析\s*[】\]]*[：:]?\s*", text)
-        body = text[mark.end() :] if mark else re.sub(r"^.*?(?:答案(?:解析)?|案)[】\]]*[：:]?[A-E]", "", text)
-        out.append((n, key, " ".join(re.sub(r"\s*\d{1,3}\s*[.．、]\s*$", "", body).split()).strip("。 ")))
+        mark = EXPLANATION_HEAD.search(text)
+        body = text[mark.end() :] if mark else KEY_HEAD.sub("", text)
+        out.append((n, key, " ".join(NEXT_NUMBER.sub("", body).split()).strip("。 ")))
     return out
+
+
+def parse_answers(paragraphs: DataFrame, missing: dict[int, str] | None = None) -> DataFrame:
+    """(paper, number, answer, explanation) of answer papers (paper, pos, text), as answers() reads them; one paper is one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = answers(pdf.sort_values("pos")["text"].tolist(), missing)
+        return pd.DataFrame([(pdf["paper"].iloc[0], *r) for r in rows], columns=["paper", "number", "answer", "explanation"])
+
+    return paragraphs.groupBy("paper").applyInPandas(run, "paper string, number int, answer string, explanation string")

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from itemweave.plans import literals
 from itemweave.plans import queries as core
 
 SMALL = "/root/testdata/sf0.001"
@@ -40,6 +41,11 @@ def test_query(spark, name):
         assert core.QUERIES[name](spark, SMALL).count() >= 0
 
 
+@pytest.mark.parametrize("name", sorted(literals.QUERIES))
+def test_literal_query(spark, name):
+    compare(spark, name, literals.QUERIES[name], literals.SQL[name])
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and all(r.items <= 10 for r in rows)

@@ -20,6 +20,11 @@ def test_corrections_by_source_number(spark):
         "correction_id string, subject_id string, source_question_number int, letter string, before string, after string, expected_ids array<string>",
     )
     assert {r.correction_id: r.status for r in lookup.corrected_options(q, c).collect()} == {"1": "ok", "2": "other-items", "3": "changed", "4": "changed"}
+    rows = {r.id: (r.options, r.shared_options) for r in lookup.corrected(q, c, strict=False).collect()}
+    assert rows == {"a": ({"A": "z"}, {"A": "z"}), "b": ({"A": "z"}, None), "c": ({"A": "y"}, None)}
+    with pytest.raises(lookup.CorrectionConflict, match="2: other-items, 3: changed"):
+        lookup.corrected(q, c)
+    assert lookup.corrected(q, c.filter("correction_id = '1'")).count() == 3 == lookup.corrected(q, c.limit(0)).count()
 
 
 def test_evidence(spark):
@@ -43,8 +48,9 @@ def test_views_of_a_session(spark, items):
     assert lookup.next_after_removal(order, "b") == "c" and lookup.next_after_removal(order, "c") == "b" and lookup.next_after_removal(order.limit(0), "x") is None
     pages = spark.createDataFrame([("a", 1), ("b", 2)], "id string, page_no int")
     assert [lookup.page_of(pages, n).first().id for n in (0, 1, 2, 99)] == ["a", "a", "b", "b"]
-    cur = lookup.type_cursor(spark.createDataFrame([("s",)] * 2 + [("t",)] * 9, "session_id string"), ["A1/A2", "A3", "B1"]).collect()
-    assert {r.session_id: (r.current_type, r.locked) for r in cur} == {"s": ("B1", ["A1/A2", "A3"]), "t": ("B1", ["A1/A2", "A3"])}
+    said = [("s", 1, "A1/A2"), ("s", 2, "A1/A2"), ("s", 3, "A3"), ("t", 1, "B1"), ("t", 2, "A1/A2"), ("u", 3, "B1"), ("u", 2, "A3"), ("u", 1, "A1/A2"), ("u", 4, "A1/A2")]
+    cur = lookup.type_cursor(spark.createDataFrame(said, "session_id string, ts int, type string"), ["A1/A2", "A3", "B1"], ["ts"]).collect()
+    assert {r.session_id: (r.current_type, r.locked, r.submitted) for r in cur} == {"s": ("B1", ["A1/A2", "A3"], False), "t": ("A3", ["A1/A2"], False), "u": ("B1", ["A1/A2", "A3"], True)}
     book = spark.createDataFrame([("a",), ("zz",)], "question_id string")
     assert [r.id for r in lookup.pruned_ids(spark.createDataFrame([("a", 1), ("b", 2), ("zz", 3)], "id string, pos int"), book, bank).collect()] == ["a"]
     assert lookup.explained(items({}, {"explanation": "无"}, {"explanation": " "}, {"explanation": None}), "无").count() == 1
@@ -113,3 +119,33 @@ def test_layout_and_carry(spark):
     df = spark.createDataFrame([("p", 1, None), ("p", 2, "a"), ("p", 3, None), ("p", 4, "b")], "paper string, n int, unit string")
     assert [x.unit for x in S.carried(df, ["paper"], ["n"], ["unit"]).orderBy("n").collect()] == [None, "a", "a", "b"]
     assert [x.segment for x in S.segments(df, ["paper"], ["n"], F.col("unit").isNotNull()).orderBy("n").collect()] == [0, 1, 1, 2]
+
+
+def test_resumable_sessions(spark, items):
+    from itemweave.operators import sessions
+
+    bank = items({"id": "a", "subject_id": "s"}, {"id": "b", "subject_id": "t"})
+    base = {"mode": "review", "bank_version": "v5", "paper_format_version": "1", "blueprint_version": None, "source": None, "subject_id": None, "subject_bank_version": None, "question_ids": ["a", "b"]}
+    cases = {
+        "ok": {}, "mode": {"mode": "other"}, "null": {"mode": None}, "old": {"bank_version": "v4"}, "none": {"question_ids": []}, "gone": {"question_ids": ["a", "x"]}, "nullid": {"question_ids": ["a", None]},
+        "subject": {"source": "subject", "subject_id": "s", "subject_bank_version": "n1", "question_ids": ["a"]}, "other": {"source": "subject", "subject_id": "s", "subject_bank_version": "n1"},
+        "late": {"source": "subject", "subject_id": "s", "subject_bank_version": "n9", "question_ids": ["a"]}, "exam": {"mode": "exam", "blueprint_version": "b1"}, "exam-old": {"mode": "exam", "blueprint_version": "b0"},
+    }
+    schema = "session_id string, mode string, bank_version string, paper_format_version string, blueprint_version string, source string, subject_id string, subject_bank_version string, question_ids array<string>"
+    rows = spark.createDataFrame([{"session_id": k, **base, **v} for k, v in cases.items()], schema)
+    versions = {"review": {"bank_version": "v5", "paper_format_version": "1"}, "exam": {"bank_version": "v5", "blueprint_version": "b1", "paper_format_version": "1"}}
+    got = {r.session_id: r.reason for r in sessions.resumable(rows, bank, versions, ["n1", "n0"]).collect()}
+    assert got == {"ok": None, "mode": "mode", "null": "mode", "old": "version", "none": None, "gone": "question", "nullid": "question", "subject": None, "other": "subject", "late": "subject-version", "exam": None, "exam-old": "version"}
+    assert sessions.resumable(rows.limit(0), bank, versions, []).count() == 0
+    df = spark.createDataFrame([("n1",), ("n2",), (None,)], "v string")
+    assert [r[0] for r in df.select(sessions.compatible(F.col("v"), "n2", ["n0"])).collect()] == [False, True, False]
+
+
+def test_disputes_and_codes(spark):
+    b, d = (spark.createDataFrame([(x,) for x in ids], "id string") for ids in ("ab", "cd"))
+    assert lookup.settled(b, d, 2).count() == 2
+    for wrong in ((b, d, 5), (b, b, 2)):
+        with pytest.raises(ValueError):
+            lookup.settled(*wrong)
+    code = spark.createDataFrame([("x",)], "s string").select(lookup.sync_code(F.col("s"))).first()[0]
+    assert len(code) == 11 and code[5] == "-" and set(code) - {"-"} <= set(lookup.CODE_LETTERS)

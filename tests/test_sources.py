@@ -2,6 +2,7 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from itemweave.sources import documents, files, ocr, state, subject_text
@@ -13,6 +14,33 @@ def test_array_module(spark, tmp_path):
     got = files.read_array_module(spark, str(tmp_path / "m.js"), "QUESTIONS_9").orderBy("bank_ord").collect()
     assert [(r.bank_ord, r.id, r.stem) for r in got] == [(0, "a", "甲]"), (1, "b", None)] and got[0].options == {"A": "x"}
     assert files.read_array_module(spark, str(tmp_path / "m.js"), "OTHER").count() == 0
+    assert files.read_bank_module(spark, str(tmp_path / "m.js")).count() == 2
+    (tmp_path / "two.js").write_text("export const QUESTIONS_1 = [];\nexport const QUESTIONS_2 = [];\n")
+    (tmp_path / "main.js").write_text("export const QUESTIONS_1 = [];\nexport const QUESTIONS = [];\n")
+    (tmp_path / "none.js").write_text("export const OTHER = [];\n")
+    assert files.bank_name(spark, str(tmp_path / "main.js")) == "QUESTIONS"
+    for name, why in (("two.js", "several"), ("none.js", "no bank")):
+        with pytest.raises(files.ExportError, match=why):
+            files.bank_name(spark, str(tmp_path / name))
+
+
+def test_paths_stay_inside(items, tmp_path):
+    assert files.inside("/a/b", "c/../d") == "/a/b/d"
+    for path in ("../x", "/a/bc", "."):
+        with pytest.raises(ValueError):
+            files.inside("/a/b", path)
+    with pytest.raises(ValueError):
+        files.write_bank(items({}), "../out", root=str(tmp_path))
+
+
+def test_version_depends_on_order_and_names(spark, items, monkeypatch):
+    monkeypatch.setattr(files, "VERSION_BLOCK", 2)
+    q = items(*({} for _ in range(5)))
+    s = "subject_id string, ord int, source_name string, subject_name string"
+    one = lambda rows, order=("number",), subs=(("x", 1, "f", "n"), ("y", 2, "g", "m")): files.bank_version(rows, spark.createDataFrame(list(subs), s), ["id", "stem"], list(order)).first().version
+    base = one(q)
+    assert len(base) == 16 and base == one(q.orderBy(F.desc("id"))) and base != one(q.withColumn("number", -F.col("number")))
+    assert base not in (one(q.limit(4)), one(q, subs=(("x", 1, "f", "other"), ("y", 2, "g", "m"))), one(q, subs=(("x", 3, "f", "n"), ("y", 2, "g", "m"))))
 
 
 def test_text_files(spark, tmp_path):
@@ -54,6 +82,19 @@ def test_word_files(spark, tmp_path):
     assert [(r.pos, r.text) for r in rows[:3]] == [(0, "3.甲"), (1, "乙"), (2, "4.丙")] and rows[3].pos == -1
 
 
+def test_text_boxes_levels_and_noise():
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"'
+    p = lambda t, level=None: "<w:p>" + (f'<w:pPr><w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="1"/></w:numPr></w:pPr>' if level is not None else "") + f"<w:r><w:t>{t}</w:t></w:r></w:p>"
+    box = f"<w:p><w:r><w:t>outer </w:t></w:r><w:r><mc:AlternateContent><mc:Choice><w:txbxContent>{p('box')}</w:txbxContent></mc:Choice><mc:Fallback><w:txbxContent>{p('box')}</w:txbxContent></mc:Fallback></mc:AlternateContent></w:r><w:r><w:t>end</w:t></w:r></w:p>"
+    body = box + p("a", 0) + p("b", 1) + p("c", 1) + p("d", 0) + p("e", 1) + p("www.x.y 1") + "<w:tbl><w:tr><w:tc>" + p("cell") + "</w:tc></w:tr></w:tbl>"
+    level = lambda n, kind, label: f'<w:lvl w:ilvl="{n}"><w:start w:val="1"/><w:numFmt w:val="{kind}"/><w:lvlText w:val="{label}"/></w:lvl>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/numbering.xml", f'<w:numbering {w}><w:abstractNum w:abstractNumId="0">{level(0, "upperRoman", "%1.")}{level(1, "lowerLetter", "%1.%2)")}</w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num></w:numbering>')
+    assert documents.paragraphs(out.getvalue(), r"www") == ["outer end", "box", "I.a", "I.a)b", "I.b)c", "II.d", "II.a)e", "cell"]
+
+
 def test_scanned_lines(spark, tmp_path):
     page = {"source": "s", "kind": "k", "dpi": 200, "records": [{"page": 1, "column": 1, "row": 1, "lines": ["甲 乙", "www.x.com", "丙"]}, {"page": 1, "column": 1, "row": 2, "lines": ["丙", "丁", "Ａ"]}]}
     (tmp_path / "o.json").write_text(json.dumps(page, ensure_ascii=False), encoding="utf-8")
