@@ -246,7 +246,7 @@ def cleaned_texts(spark):
 @_gives(
     "t string, letter string, numeral int, first int, answers string",
     ("ｂ", "Ｂ", None, None, None), ("Ｃ", "C", None, None, "0:C"), ("四十二", "四十二", 42, None, None), ("百", "百", 100, None, None), ("十", "十", 10, None, None), ("I2.x", "I2.X", None, 12, None),
-    ("(2)A (3) B 2.C", "(2)A (3) B 2.C", None, None, "2:C,3:B"), ("&0、d", "&0、D", None, 80, "0:D"), ("7", "7", None, 7, None), ("二", "二", 2, None, None),
+    ("(2)A (3) B 2.C", "(2)A (3) B 2.C", None, 2, "2:C,3:B"), ("&0、d", "&0、D", None, 80, "0:D"), ("7", "7", None, 7, None), ("二", "二", 2, None, None),
 )
 def letters_and_numerals(spark):
     """Answer letters, Chinese numerals, numbers as a scanner reads them, and answers by number."""

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from itemweave import schema
 from itemweave.functions import text as X
@@ -432,7 +433,72 @@ def exam_paper_pages(q):
     return paper.pages(drawn, ["unit"]).groupBy("unit", "page_no", "type").agg(F.count("*").alias("items"), F.count_distinct(F.coalesce("group_id", "id")).alias("blocks"))
 
 
-@_on("questions")
+_PLAN = f"""
+plan as (select b.unit, b.type, b.section_ord, least(b.count, greatest(2, 2 * (p.pool // 6))) as wanted from (values {", ".join(map(str, schema.BLUEPRINT))}) b(unit, section_ord, type, count)
+  join (select unit, type, count(*) as pool from questions group by unit, type) p on p.unit = b.unit and p.type = b.type)"""
+
+
+def _paper_rules(drawn: DataFrame, q: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, items, ids, ordered, whole, known): how many rows and ids a paper has, whether types follow the order, groups are whole, and all ids are the bank's."""
+    key = F.coalesce(F.nullif(F.col("group_id"), F.lit("")), F.col("id"))
+    sizes = q.groupBy(key.alias("block")).agg(F.count("*").alias("size"))
+    rows = drawn.withColumns({"block": key, "rank": paper.type_rank(F.col("type"))}).join(sizes, "block")
+    blocks = rows.groupBy(*by, "block").agg(F.count("*").alias("n"), F.max("size").alias("size")).groupBy(*by).agg(F.bool_and(F.col("n") == F.col("size")).alias("whole"))
+    w = W.partitionBy(*by).orderBy("paper_pos")
+    seen = rows.withColumn("before", F.lag("rank").over(w)).join(q.select("id", F.lit(True).alias("known")), "id", "left")
+    told = seen.groupBy(*by).agg(F.count("*").alias("items"), F.count_distinct("id").alias("ids"), F.bool_and(F.coalesce(F.col("before") <= F.col("rank"), F.lit(True))).alias("ordered"), F.bool_and(F.coalesce("known", F.lit(False))).alias("known"))
+    return told.join(blocks, by).select(*by, "items", "ids", "ordered", "whole", "known")
+
+
+@_on("questions", sql=f"with {_PLAN} select unit, cast(sum(wanted) as bigint) as items, cast(sum(wanted) as bigint) as ids, true as ordered, true as whole, true as known from plan group by unit")
+def exam_paper_rules(q):
+    """What every exam paper has to fulfil: the blueprint's total, no item twice, sections in order, groups whole."""
+    return _paper_rules(paper.exam_paper(_ordered(q), _plan(q), SEED).select("unit", "paper_pos", "id", "type", "group_id"), q, ["unit"])
+
+
+@_on("questions", sql=f"with {_PLAN} select unit, cast(sum(wanted) as bigint) as items, true as small, true as typed, true as whole, true as full from plan group by unit")
+def exam_page_rules(q):
+    """What the pages of every exam have to fulfil: ten items at most, one type, groups on one page, and no page that the next block would have fitted on."""
+    drawn = paper.exam_paper(_ordered(q), _plan(q), SEED).select("unit", "paper_pos", "id", "type", "group_id")
+    rows = paper.pages(drawn, ["unit"]).withColumn("block", F.coalesce(F.nullif(F.col("group_id"), F.lit("")), F.col("id")))
+    groups = rows.groupBy("unit", "block").agg(F.count_distinct("page_no").alias("n")).groupBy("unit").agg((F.max("n") == 1).alias("whole"))
+    pages = rows.groupBy("unit", "page_no").agg(F.count("*").alias("n"), F.count_distinct("type").alias("types"), F.min("type").alias("type"), F.min_by("block", "paper_pos").alias("first"))
+    sizes = rows.groupBy("unit", "block").agg(F.count("*").alias("size"))
+    w = W.partitionBy("unit").orderBy("page_no")
+    beside = pages.join(sizes.withColumnRenamed("block", "first"), ["unit", "first"]).withColumns({"n0": F.lag("n").over(w), "t0": F.lag("type").over(w)})
+    told = beside.groupBy("unit").agg(
+        F.sum("n").alias("items"), (F.max("n") <= schema.PAGE_SIZE).alias("small"), (F.max("types") == 1).alias("typed"),
+        F.bool_and(F.coalesce((F.col("t0") != F.col("type")) | (F.col("n0") + F.col("size") > schema.PAGE_SIZE), F.lit(True))).alias("full"),
+    )
+    return told.join(groups, "unit").select("unit", "items", "small", "typed", "whole", "full")
+
+
+@_on("questions", sql="select 60 as asked, 60::bigint as items, 60::bigint as ids, true as ordered, true as whole, true as known union all select count(*)::integer + 5, count(*), count(*), true, true, true from questions")
+def review_paper_rules(q):
+    """A review of 60 items, and one of more than there are, which is the whole bank."""
+    n = q.count()
+    out = [_paper_rules(paper.review_paper(_ordered(q), k, SEED).withColumn("asked", F.lit(k)), q, ["asked"]) for k in (60, n + 5)]
+    return out[0].unionByName(out[1])
+
+
+@_on("questions", sql="select 40::bigint as most, true as ids, true as ordered, true as whole, true as known, true as own")
+def subject_review_rules(q):
+    """A review of at most 40 items of one subject: whole groups, no item twice, none of another subject."""
+    first = q.agg(F.min("subject_id")).first()[0]
+    own = q.filter(F.col("subject_id") == first)
+    drawn = paper.review_paper(_ordered(own), 40, SEED, at_most=True)
+    told = _paper_rules(drawn.withColumn("asked", F.lit(40).cast("long")), own, ["asked"])
+    return told.select(F.greatest("asked", "items").alias("most"), (F.col("ids") == F.col("items")).alias("ids"), "ordered", "whole", "known", F.lit(drawn.filter(F.col("subject_id") != first).isEmpty()).alias("own"))
+
+
+@_on("questions", sql="select true as differ, true as same")
+def seeds_of_papers(q):
+    """Two seeds give other papers, one seed gives the same."""
+    one, two, again = (paper.review_paper(_ordered(q), 60, seed).select("id", "paper_pos") for seed in (SEED, SEED + 1, SEED))
+    return q.sparkSession.createDataFrame([(not one.exceptAll(two).isEmpty(), one.exceptAll(again).isEmpty())], "differ boolean, same boolean")
+
+
+@_on("questions", sql=f"with {_PLAN} select unit, type, cast(wanted as integer) as count, cast(wanted as bigint) as reached from plan")
 def whole_block_exact_total(q):
     """The reached totals of each section beside the wanted ones."""
     drawn = paper.exam_paper(_ordered(q), _plan(q), SEED).groupBy("unit", "type").agg(F.count("*").alias("reached"))
@@ -720,15 +786,16 @@ def last_answer_before_submit(log):
 
 @_on("answer_log", "questions", sql=f"""
 with {_CLEAN}, {_EXAM}, papers as (select distinct session_id, question_id from clean where mode = 'exam' and action = 'answer' and session_id in (select session_id from sub)),
-g as (select p.session_id, coalesce(a.letter = q.answer, false) as hit, a.letter is null as blank from papers p left join ans a using (session_id, question_id) left join questions q on q.id = p.question_id)
-select session_id, count(*) as total, count(*) filter (where hit) as correct, count(*) filter (where not hit) as wrong, count(*) filter (where blank) as unanswered from g group by session_id""")
+g as (select p.session_id, p.question_id, coalesce(a.letter = q.answer, false) as hit, a.letter is null as blank from papers p left join ans a using (session_id, question_id) left join questions q on q.id = p.question_id)
+select session_id, count(*) as total, count(*) filter (where hit) as correct, count(*) filter (where not hit) as wrong, count(*) filter (where blank) as unanswered,
+  coalesce(string_agg(question_id, ',' order by question_id) filter (where not hit), '') as wrong_ids from g group by session_id""")
 def grade_submission(log, q):
     """Papers are all questions an exam session ever answered; answers after the submission leave them blank."""
     clean = events.clean_events(log)
     exam = clean.filter("mode = 'exam'")
     submitted = exam.filter("action = 'submit'").select("session_id").distinct()
     papers = exam.filter("action = 'answer'").select("session_id", "question_id").distinct().join(submitted, "session_id", "left_semi")
-    return events.grade_totals(events.grade(papers, events.exam_answers(clean), q))
+    return events.grade_totals(events.grade(papers, events.exam_answers(clean), q)).withColumn("wrong_ids", F.array_join("wrong_ids", ","))
 
 
 @_on("answer_log", "questions", sql=f"""
@@ -862,8 +929,85 @@ def bank_counts(q):
     return q.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("type").alias("types"))
 
 
-@_on("questions")
+_DIGEST = "sha256(array_to_string([" + ", ".join(f"coalesce({c}, chr(29))" for c in ("id", "stem", "answer", "explanation")) + "], chr(31)))"
+
+
+@_on("questions", sql=f"""
+with d as (select {_DIGEST} as d from questions), s as (select count(*) as n, {", ".join(f"sum(('0x' || substr(d, {1 + 12 * i}, 12))::bigint)::hugeint::varchar as p{i}" for i in range(5))} from d)
+select n, sha256(array_to_string([n::varchar, p0, p1, p2, p3, p4], '|')) as digest from s""")
 def bank_fingerprint(q):
     return files.fingerprint(q, ["id", "stem", "answer", "explanation"])
 
 
+@_on("questions", "subjects", sql=f"""
+with p as (select subject_id, {_DIGEST} as d, row_number() over (order by s.ord, number, id) as pos from questions join subjects s using (subject_id)),
+b as (select subject_id, (pos - 1) // 65536 as b, sha256(string_agg(d, '' order by pos)) as bd from p group by all), t as (select subject_id, sha256(string_agg(bd, '' order by b)) as sd from b group by all),
+n as (select ord, sha256(array_to_string([source_file_name, subject_name, coalesce(sd, '')], chr(31))) as nd from subjects left join t using (subject_id))
+select substr(sha256(string_agg(nd, '' order by ord)), 1, 16) as version from n""")
+def bank_version(q, s):
+    """The order-sensitive version of the subjects' items."""
+    return files.bank_version(q, s.withColumnRenamed("source_file_name", "source_name"), ["id", "stem", "answer", "explanation"], ["number"])
+
+
+@_on("questions", sql="select id, row_number() over (order by unit, number, id) as pos from questions")
+def unit_number_order(q):
+    """The bank in the order of unit and number."""
+    return sequence.numbered(q.select("id", "unit", "number"), "unit", "number", "id").select("id", "pos")
+
+
+@_on("subjects", sql="select subject_id, row_number() over (order by subject_name collate zh) as zh, row_number() over (order by encode(subject_name)) as binary from subjects")
+def subject_name_orders(s):
+    """Subjects in the Chinese order of their names and in that of their code units."""
+    rows = s.select("subject_id", F.collate("subject_name", "zh").alias("zh_"), "subject_name")
+    one = sequence.numbered(rows, "zh_").select("subject_id", F.col("pos").alias("zh"))
+    return one.join(sequence.numbered(rows, "subject_name").select("subject_id", F.col("pos").alias("binary")), "subject_id")
+
+
+@_on("questions", sql="""
+with n as (select regexp_extract(id, '^(\\d{4})', 1) as year, unit, count(*) as items, count(distinct number) as numbers, max(number) as last, count(*) filter (where trim(coalesce(explanation, '')) = '') as unexplained,
+  count(distinct (number - 1) // 10) as pages from questions group by all) select year, unit, items, numbers, last - numbers as missing, last = numbers as complete, unexplained, pages from n""")
+def paper_diagnostics(q):
+    """For each year and unit: items, different numbers, numbers missing up to the last, whether none is, items without explanation, pages of ten numbers."""
+    n = q.groupBy(F.regexp_extract("id", r"^(\d{4})", 1).alias("year"), "unit").agg(
+        F.count("*").alias("items"), F.count_distinct("number").alias("numbers"), F.max("number").alias("last"), F.count_if(F.trim(F.coalesce("explanation", F.lit(""))) == "").alias("unexplained"),
+        F.count_distinct(F.floor((F.col("number") - 1) / 10)).alias("pages"),
+    )
+    return n.select("year", "unit", "items", "numbers", (F.col("last") - F.col("numbers")).alias("missing"), (F.col("last") == F.col("numbers")).alias("complete"), "unexplained", "pages")
+
+
+@_on("questions", "subjects", sql="""
+select q.id, coalesce(s.subject_name, '') || ' ' || q.type as heading, substr(q.stem, 1, 20) as summary, q.options[q.answer] as answer_text, len(map_keys(q.options)) as choices,
+  array_to_string(list_transform(list_sort(map_keys(q.options)), lambda k: k || '.' || coalesce(q.options[k], '')), ' ') as line, coalesce(q.prompt, q.stem) as asked, q.group_id is not null as grouped
+from questions q left join subjects s using (subject_id)""")
+def derived_texts(q, s):
+    """A wide projection of texts derived from an item: heading, summary, answer text, options in one line."""
+    rows = q.join(F.broadcast(s.select("subject_id", "subject_name")), "subject_id", "left")
+    keys = F.array_sort(F.map_keys("options"))
+    line = F.array_join(F.transform(keys, lambda k: F.concat(k, F.lit("."), F.coalesce(F.try_element_at("options", k), F.lit("")))), " ")
+    return rows.select(
+        "id", F.concat_ws(" ", F.coalesce("subject_name", F.lit("")), "type").alias("heading"), F.substring("stem", 1, 20).alias("summary"), F.try_element_at("options", "answer").alias("answer_text"),
+        F.size(F.map_keys("options")).cast("long").alias("choices"), line.alias("line"), F.coalesce("prompt", "stem").alias("asked"), F.col("group_id").isNotNull().alias("grouped"),
+    )
+
+
+@_on("questions", sql=f"""
+with f as (select source, {_FULL} as fp, id from questions), g as (select source, min(id) as first_id, count(*) as n from f group by source, fp having count(*) > 1)
+select source, count(*) as duplicates, cast(sum(n - 1) as bigint) as extra from g group by source""")
+def residual_duplicates_by_source(q):
+    """Repeated items by the full fingerprint within each source: how many, and how many records too many."""
+    fp = F.sha2(F.concat_ws("\x1f", X.item_fingerprint(F.col("stem"), F.col("options")), F.coalesce("answer", F.lit("")), F.regexp_replace(F.coalesce("explanation", F.lit("")), r"\s+", "")), 256)
+    groups = q.withColumn("fp", fp).groupBy("source", "fp").agg(F.count("*").alias("n")).filter("n > 1")
+    return groups.groupBy("source").agg(F.count("*").alias("duplicates"), F.sum(F.col("n") - 1).alias("extra"))
+
+
+@_on("questions", sql=f"""
+with q as (select source, source || '|' || coalesce(nullif(group_id, ''), id) as block, epoch_us(imported_at) as t, id, {_FULL} as fp from questions where source is not null),
+b as (select source, block, list_sort(list(fp)) as bag, min(struct_pack(t := t, i := id)) as o from q group by source, block)
+select block, first_value(block) over (partition by source, bag order by o) as kept_block from b""")
+def block_dedup_by_source(q):
+    """Blocks with equal bags of members within one source; the first is kept."""
+    fp = F.sha2(F.concat_ws("\x1f", X.item_fingerprint(F.col("stem"), F.col("options")), F.coalesce("answer", F.lit("")), F.regexp_replace(F.coalesce("explanation", F.lit("")), r"\s+", ""), "source"), 256)
+    rows = _ordered(q.filter("source is not null")).withColumns({"fp": fp, "block": F.concat_ws("|", "source", F.coalesce(F.nullif(F.col("group_id"), F.lit("")), F.col("id")))})
+    return dedup.block_dedup(rows, "fp", "block", "bank_ord")
+
+
