@@ -2,10 +2,15 @@
 
 Strings and code points that look alike are linked, the links are closed transitively by union-find, each class gets its
 most frequent admissible member as representative, and a multi-pattern automaton rewrites the others, longest match first.
+
+Members are odd (never a representative, and a case wherever the rewrite meets them) or usual. Where a class has several
+usual members, such as the two micro signs, the counts over all texts decide which one all others become; that makes texts
+comparable but is no case by itself. A field is a case if the rewrite replaced something odd in it.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,6 +33,9 @@ LATIN_VARIANTS = ("ɡɑıȷօսհ", "gaijouh")
 # Radicals of the supplement block that have a form of their own among the ideographs.
 RADICALS = ("⺟⺠⻁⻄⻅⻆⻉⻋⻓⻔⻘⻙⻚⻛⻜⻝⻢⻣⻤⻥⻦⻧⻨⻩⻬⻮⻰⻳", "母民虎西见角贝车长门青韦页风飞食马骨鬼鱼鸟卤麦黄齐齿龙龟")
 
+# Usual signs that are drawn alike; which one stays is a matter of frequency.
+FORMS = ("µμ", "Ω\u2126", "·‧・⋅", "-‐‑", "～〜", "：∶", "’ʼ", "—―", "/∕", "∑Σ", "∆Δ")
+
 #: Texts without any character outside these ranges need no look: ASCII, ideographs, common Chinese punctuation.
 UNUSUAL = r"[^\t\n -~\x{4E00}-\x{9FFF}\x{3001}-\x{3002}\x{3010}\x{3011}\x{FF01}-\x{FF0F}\x{FF1A}-\x{FF1F}\x{2014}\x{2018}-\x{201D}\x{2026}]"
 
@@ -39,31 +47,50 @@ def _invisible(c: str) -> bool:
     )
 
 
-def links() -> Iterator[tuple[str, str, bool]]:
-    """(odd, usual, needs a Latin neighbour) pairs of strings that look alike, by rule and from the tables above."""
+def _combining(i: int) -> bool:
+    return any(a <= i < b for a, b in ((0x300, 0x370), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x20D0, 0x2100), (0xFE20, 0xFE30)))
+
+
+def _radicals() -> Iterator[tuple[str, str]]:
+    """Radicals of the supplement block with the ideograph of the classical radical of the same name."""
+    names = {unicodedata.name(chr(i))[15:]: unicodedata.normalize("NFKC", chr(i)) for i in range(0x2F00, 0x2FD6)}
+    for i in range(0x2E80, 0x2EF4):
+        name = unicodedata.name(chr(i), "")[12:]
+        plain = re.sub(r"^(?:[CJ]-|)SIMPLIFIED | (?:ONE|TWO|THREE|FOUR)$", "", name)
+        if plain in names:
+            yield chr(i), names[plain]
+
+
+def links() -> Iterator[tuple[str, str, str]]:
+    """(string, string it looks like, kind), by rule and from the tables above.
+
+    Kinds: 'odd', the first string is no usual form; 'near', the same only beside a Latin letter; 'form', both are usual.
+    """
     for i in range(0x110000):
         c = chr(i)
         kind = unicodedata.category(c)
         if kind in ("Cn", "Co", "Cs"):
             continue
-        if _invisible(c):
-            yield c, "", False
+        if _invisible(c) or _combining(i):  # an accent that has no composed form with what stands before it is dropped
+            yield c, "", "odd"
         elif kind in ("Zs", "Zl", "Zp") and c != " ":
-            yield c, " ", False
-        elif 0xFF10 <= i <= 0xFF5A and kind[0] in "LN" or 0x1D400 <= i <= 0x1D7FF or 0x2F00 <= i <= 0x2FDF or 0xF900 <= i <= 0xFAFF or 0x2F800 <= i <= 0x2FA1F or 0xFF66 <= i <= 0xFF9D or 0xFB00 <= i <= 0xFB06 or i in (0x212A, 0x212B):
+            yield c, " ", "odd"
+        elif 0xFF10 <= i <= 0xFF5A and kind[0] in "LN" or 0x1D400 <= i <= 0x1D7FF or 0x2E80 <= i <= 0x2FDF or 0xF900 <= i <= 0xFAFF or 0x2F800 <= i <= 0x2FA1F or 0xFF66 <= i <= 0xFF9D or 0xFB00 <= i <= 0xFB06 or i in (0x212A, 0x212B):
             usual = unicodedata.normalize("NFKC", c)
             if usual != c:
-                yield c, usual, False
+                yield c, usual, "odd"
         elif i < 0x2000 and kind[0] == "L" and not 0x1100 <= i <= 0x11FF:
             apart = unicodedata.normalize("NFD", c)
             if apart != c and unicodedata.normalize("NFC", apart) == c:
-                yield apart, c, False
+                yield apart, c, "odd"
                 once = unicodedata.normalize("NFC", apart[:-1]) + apart[-1]
                 if once != apart:
-                    yield once, c, False
+                    yield once, c, "odd"
     for odd, usual in (CYRILLIC, CHEROKEE, GREEK_CAPITALS, LISU, LATIN_VARIANTS, RADICALS):
-        yield from ((a, b, False) for a, b in zip(odd, usual, strict=True))
-    yield from ((a, b, True) for a, b in zip(*GREEK_SMALL, strict=True))
+        yield from ((a, b, "odd") for a, b in zip(odd, usual, strict=True))
+    yield from ((a, b, "odd") for a, b in _radicals() if a not in RADICALS[0])
+    yield from ((a, b, "near") for a, b in zip(*GREEK_SMALL, strict=True))
+    yield from ((a, b, "form") for group in FORMS for a, b in zip(group, group[1:]))
 
 
 def classes() -> tuple[dict[str, list[str]], set[str], set[str]]:
@@ -78,9 +105,10 @@ def classes() -> tuple[dict[str, list[str]], set[str], set[str]]:
         return x
 
     odd, near = set(), set()
-    for a, b, latin in links():
-        odd.add(a)
-        if latin:
+    for a, b, kind in links():
+        if kind != "form":
+            odd.add(a)
+        if kind == "near":
             near.add(a)
         parent[root(a)] = root(b)
     found: dict[str, list[str]] = defaultdict(list)
@@ -97,12 +125,7 @@ def _tables() -> dict:
         members, odd, near = classes()
         known = np.zeros(0x110000, bool)
         known[[ord(x) for group in members.values() for x in group if len(x) == 1]] = True
-        flag = np.zeros(0x110000, bool)  # code points that are a case wherever they stand
-        flag[[ord(x) for x in odd if len(x) == 1 and x not in near]] = True
-        flag[0x2E80:0x2E9A] = flag[0x2E9B:0x2EF4] = True
-        for a, b in ((0x300, 0x370), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x20D0, 0x2100), (0xFE20, 0xFE30)):
-            flag[a:b] = True
-        _CACHE.update(members=members, odd=odd, near=near, known=known, flag=flag)
+        _CACHE.update(members=members, odd=odd, near=near, known=known)
     return _CACHE
 
 
@@ -135,18 +158,18 @@ def fields(questions: DataFrame) -> DataFrame:
 
 
 def representatives(texts: DataFrame) -> dict[str, str]:
-    """Odd string -> the representative of its class: the admissible member seen most often in all texts.
+    """String -> the representative of its class: the usual member seen most often in all texts, of equal ones the first by code point.
 
-    What reaches the driver is one count for each character of the look-alike tables, whatever the number of texts.
+    What reaches the driver is one count for each string of the look-alike tables, whatever the number of texts.
     """
     seen = texts.select("text").mapInArrow(_counts, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     n = {r.token: r.n for r in seen.collect()}
     t = _tables()
     to = {}
     for group in t["members"].values():
-        admissible = [x for x in group if x not in t["odd"]] or group
-        best = max(admissible, key=lambda x: (n.get(x, 0), -len(x), x))
-        to.update({x: best for x in group if x in t["odd"] and x != best})
+        usual = [x for x in group if x not in t["odd"]] or group
+        best = min(usual, key=lambda x: (-n.get(x, 0), len(x), x))
+        to.update({x: best for x in group if x != best})
     return to
 
 
@@ -155,63 +178,59 @@ def _latin(c: str) -> bool:
 
 
 def rewriter(to: dict[str, str]):
-    """A function of one text: greedy leftmost-longest rewrite, repeated until nothing changes (classes nest at most twice)."""
+    """A function of one text: (greedy leftmost-longest rewrite, repeated until nothing changes; whether something odd was replaced).
+
+    Classes nest at most twice.
+    """
     automaton = ahocorasick.Automaton()
-    near = _tables()["near"]
+    near, odd = _tables()["near"], _tables()["odd"]
     for a, b in to.items():
-        automaton.add_word(a, (a, b))
+        automaton.add_word(a, (a, b, a in odd, a in near))
     automaton.make_automaton()
 
-    def once(text: str) -> str:
-        out, at = [], 0
-        for end, (a, b) in automaton.iter_long(text):
+    def once(text: str) -> tuple[str, bool]:
+        out, at, case = [], 0, False
+        for end, (a, b, strange, beside) in automaton.iter_long(text):
             start = end + 1 - len(a)
-            if a in near and not (_latin(text[start - 1 : start]) or _latin(text[end + 1 : end + 2])):
+            if beside and not (_latin(text[start - 1 : start]) or _latin(text[end + 1 : end + 2])):
                 continue
+            case |= strange
             out += [text[at:start], b]
             at = end + 1
-        return "".join(out) + text[at:] if out else text
+        return ("".join(out) + text[at:] if out else text), case
 
-    def rewrite(text: str) -> str:
+    def rewrite(text: str) -> tuple[str, bool]:
+        case = False
         for _ in range(4):
-            new = once(text)
+            new, odd_here = once(text)
+            case |= odd_here
             if new == text:
                 break
             text = new
-        return text
+        return text, case
 
     return rewrite
 
 
-def _cases(texts: list[str]) -> np.ndarray:
-    """Which texts hold a case: a flagged code point, or a small Greek look-alike beside a Latin letter."""
-    t = _tables()
-    flat, no = K.codepoints(texts)
-    out = np.zeros(len(texts), bool)
-    out[no[t["flag"][flat]]] = True
-    near = np.isin(flat, np.array([ord(x) for x in t["near"]], np.uint32))
-    for i in np.flatnonzero(near):
-        around = [flat[j] for j in (i - 1, i + 1) if 0 <= j < len(flat) and no[j] == no[i]]
-        out[no[i]] |= any(_latin(chr(c)) for c in around)
-    return out
+def _rewritten(texts: DataFrame, to: dict[str, str]) -> DataFrame:
+    """(id, field, text, consistent, case) of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rewrite = rewriter(to)
+        for batch in K.bounded(batches, "text", 10_000):
+            done = [rewrite(x) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "field", "text")), pa.array([x for x, _ in done], pa.string()), pa.array([c for _, c in done], pa.bool_())], ["id", "field", "text", "consistent", "case"])
+
+    return texts.mapInArrow(run, "id string, field string, text string, consistent string, case boolean")
 
 
 def consistent_fields(questions: DataFrame) -> DataFrame:
-    """(id, field, text, consistent): every field that holds a look-alike or hidden character, and its consistent form.
+    """(id, field, text, consistent): every field in which the rewrite replaced a look-alike or hidden character, and its consistent form.
 
     Null and empty texts are no cases; long texts are rewritten whole; an empty table gives no rows.
     """
     texts = fields(questions)
-    to = representatives(texts)
-
-    def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rewrite = rewriter(to)
-        for batch in K.bounded(batches, "text", 10_000):
-            case = pa.array(_cases(batch.column("text").to_pylist()))
-            batch = batch.filter(case)
-            yield batch.append_column("consistent", pa.array([rewrite(x) for x in batch.column("text").to_pylist()], pa.string()))
-
-    return texts.filter(F.col("text").rlike(UNUSUAL)).mapInArrow(rewritten, "id string, field string, text string, consistent string")
+    return _rewritten(texts.filter(F.col("text").rlike(UNUSUAL)), representatives(texts)).filter("case").drop("case")
 
 
 def found(questions: DataFrame) -> DataFrame:
@@ -222,14 +241,4 @@ def found(questions: DataFrame) -> DataFrame:
 def consistent_texts(questions: DataFrame) -> DataFrame:
     """(id, field, text): all fields in one consistent form, changed or not."""
     texts = fields(questions)
-    to = representatives(texts)
-
-    def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rewrite = rewriter(to)
-        for batch in K.bounded(batches, "text", 10_000):
-            texts = batch.column("text").to_pylist()
-            case = _cases(texts)
-            new = [rewrite(x) if y else x for x, y in zip(texts, case)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("field"), pa.array(new, pa.string())], ["id", "field", "text"])
-
-    return texts.mapInArrow(rewritten, "id string, field string, text string")
+    return _rewritten(texts, representatives(texts)).select("id", "field", F.col("consistent").alias("text"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,20 +113,23 @@ select q.id, q.source, case when q.source is null or q.stem is null then q.stem
 from questions q left join kept s on s.id = q.id and s.field = 'stem' left join kept e on e.id = q.id and e.field = 'explanation'"""
 
 
-def _p5_sql() -> str:
-    """The case definition as one character class, from the same tables, plus small Greek look-alikes beside Latin letters."""
-    flag, near = lookalike._tables()["flag"], sorted(lookalike._tables()["near"])
-    edges = np.flatnonzero(np.diff(np.r_[False, flag, False].astype(np.int8)))
-    ranges = "".join(f"\\x{{{a:X}}}-\\x{{{b - 1:X}}}" for a, b in edges.reshape(-1, 2) if not 0xD800 <= a <= 0xDFFF)
-    greek = "".join(f"\\x{{{ord(x):X}}}" for x in near)
-    pattern = f"[{ranges}]|[{greek}][A-Za-z]|[A-Za-z][{greek}]"
-    cells = " union all ".join(
-        f"select id, '{n}' as field, {c} as text from questions"
-        for n, c in [("stem", "stem"), ("explanation", "explanation"), *((f"shared-option-{k}", f"shared_options['{k}']") for k in "ABCDE")]
+# p5 by its definition, in ranges of code points: nothing of the operator's tables goes in here.
+_P5_CASE = "|".join(
+    (
+        r"[\p{Cf}\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}\x{E0100}-\x{E01EF}]",  # invisible
+        r"[\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]",  # spaces other than the plain one
+        r"[\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}]",  # full-width digits and letters
+        r"[\x{300}-\x{36F}\x{1AB0}-\x{1AFF}\x{1DC0}-\x{1DFF}\x{20D0}-\x{20FF}\x{FE20}-\x{FE2F}]",  # separate accents
+        r"[\x{2E80}-\x{2FDF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}\x{FF66}-\x{FF9D}\x{FB00}-\x{FB06}\x{1D400}-\x{1D7FF}\x{212A}\x{212B}]",  # other blocks of the same characters
+        r"[\p{Cyrillic}\p{Cherokee}\p{Lisu}\p{Armenian}ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹɡɑıȷ]",  # other scripts
+        r"[ανιορυϲ][A-Za-z]|[A-Za-z][ανιορυϲ]",  # Greek letters inside Latin words
     )
-    return f"select distinct id, field from ({cells}) where regexp_matches(text, '{pattern}')"
-
-
+)
+_P5_CELLS = " union all ".join(
+    f"select id, '{n}' as field, {c} as text from questions"
+    for n, c in [("stem", "stem"), ("explanation", "explanation"), *((f"shared-option-{k}", f"shared_options['{k}']") for k in "ABCDE")]
+)
+SQL["p5_found"] = f"select distinct id, field from ({_P5_CELLS}) where regexp_matches(text, '{_P5_CASE}')"
 
 
 @_on("documents", "eval_items")
@@ -227,5 +229,5 @@ SQL["p8_leaked_items"] = f"with {_LEAKS} select item_id, count(*) as documents f
 
 
 def sql() -> dict[str, str]:
-    """All SQL; the text of p5_found is built from the look-alike tables here, not on import."""
-    return SQL | {"p5_found": _p5_sql()}
+    """The SQL of all queries that have some."""
+    return SQL

@@ -266,6 +266,30 @@ def test_lookalikes(items):
     assert every["f1", "stem"] == fine["f1"] and every["c3", "stem"] == "A1"
 
 
+def test_frequency_chooses_among_usual_forms(items):
+    """The micro sign or the Greek letter, whichever the texts hold more often; neither is a case."""
+    for many, few in (("μ", "µ"), ("µ", "μ")):
+        rows = [{"id": f"m{i}", "stem": f"5{many}g", "explanation": None} for i in range(3)] + [{"id": "f", "stem": f"7{few}g", "explanation": "Ａ-7‐9"}]
+        q = items(*rows)
+        every = {(r.id, r.field): r.text for r in lookalike.consistent_texts(q).collect()}
+        assert every["f", "stem"] == f"7{many}g" and every["m0", "stem"] == f"5{many}g" and every["f", "explanation"] == "A-7-9"
+        assert {(r.id, r.field) for r in lookalike.found(q).collect()} == {("f", "explanation")}
+    members, odd, _ = lookalike.classes()
+    several = [g for g in members.values() if len(set(g) - odd) > 1]
+    assert len(several) >= len(lookalike.FORMS)
+
+
+def test_every_odd_string_is_rewritten():
+    """No odd string is left after the rewrite, so what is flagged and what is changed are one thing."""
+    members, odd, near = lookalike.classes()
+    to = {x: min((y for y in g if y not in odd), default=g[0]) for g in members.values() for x in g if x in odd}
+    rewrite = lookalike.rewriter(to)
+    for x in odd - near:
+        new, case = rewrite("甲" + x + "乙")
+        assert case and x not in new, x
+    assert all(rewrite(x)[1] is False and rewrite(f"a{x}")[1] for x in near)
+
+
 # ---- p6
 
 
