@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from itemweave.llm import kernel as K
 
 RUN, SHINGLE = 40, 20
-BLOCK_CHARS = 4_000_000  # letters of the items that travel to the executors at once; more items are taken in blocks
+BLOCK_CHARS = 1_000_000  # letters, and so shingles, of the items that travel to the executors at once; more items are taken in blocks
 _CHARS = 1 << 20
 
 
@@ -57,9 +57,13 @@ class Items:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
-    def prefixes(self, count: dict[int, int]) -> np.ndarray:
+    def prefixes(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Which shingles are the rarest of some window of RUN letters; ties go to the smaller hash, then the earlier place."""
-        rank = np.array([count.get(int(h), 0) for h in self.hash.view(np.int64)], np.int64)
+        by = np.argsort(keys)
+        keys, counts = keys[by], counts[by]
+        own = self.hash.view(np.int64)
+        k = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+        rank = np.where(keys[k] == own, counts[k], 0) if len(keys) else np.zeros(len(own), np.int64)
         order = np.lexsort((self.at, self.hash, rank))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -138,8 +142,8 @@ def _leaks(documents: DataFrame, items: Items) -> DataFrame:
 
     texts = documents.filter(F.length("text") >= RUN).select("doc_id", "text")
     counts = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    rarity = {r.key: r.n for r in counts.collect()}  # one number for each shingle of the block's items, not of the documents
-    items.use(items.prefixes(rarity))
+    rarity = counts.toArrow()  # two numbers for each shingle of the block's items, BLOCK_CHARS at most, none of the documents'
+    items.use(items.prefixes(rarity.column("key").to_numpy(), rarity.column("n").to_numpy()))
     return texts.mapInArrow(join, "doc_id long, item_id long").distinct()
 
 

@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemweave.functions.identity import option_values, stripped
-from itemweave.operators.skew import lookup_join
+from itemweave.operators.skew import lookup_join, small
 from itemweave.session import written
 
 
+BROADCAST_IDS = 1_000_000  # ids that may be broadcast
+
+
 def _histogram(text: Column) -> Column:
     """A number that depends on the letters of a text and how often each occurs, not on their order."""
     return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda a, c: a + F.xxhash64(c).bitwiseAND(F.lit(0x3FFFFFFFFF)))
@@ -50,10 +53,13 @@ def deduplicated(questions: DataFrame) -> DataFrame:
 
     A column that is already called copies is replaced. Repeated rows of one id are one record.
     """
-    classes = item_classes(questions)
-    kept = classes.filter("id = first_id").select("id", "copies").distinct()
-    dropped = classes.filter("id <> first_id").select("id")
+    classes = written(item_classes(questions), "p3-members")
+    kept = small(classes.filter("id = first_id").select("id", "copies").distinct(), BROADCAST_IDS)
+    dropped = small(classes.filter("id <> first_id").select("id").distinct(), BROADCAST_IDS)
     columns = [c for c in questions.columns if c != "copies"]
-    rows = questions.select(F.col("id"), F.struct(*columns).alias("row")).dropDuplicates(["id"])
+    rows = questions.select(F.col("id"), F.struct(*columns).alias("row"))
+    # ids alone are counted; whole records move only where an id repeats, or where the ids to join are too many to broadcast
+    often = small(written(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "p3-often"), BROADCAST_IDS)
+    rows = rows.join(often, "id", "left_anti").unionByName(rows.join(often, "id", "left_semi").dropDuplicates(["id"]))
     rows = rows.join(dropped, "id", "left_anti").join(kept, "id", "left")
     return rows.select("row.*", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))

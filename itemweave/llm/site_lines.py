@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemweave.operators.skew import lookup_join
+from itemweave.operators.skew import lookup_join, small
 from itemweave.session import written
 
+BROADCAST_SOURCES = 1_000_000  # sources whose names may be broadcast
 MIN_DOCS, MIN_SHARE_OF_20 = 3, 1  # at least 3 questions and at least 1/20 of the source's questions
 SPACE = r"[\t\x0B\f\r\x{85}\p{Z}]+"
 
@@ -61,5 +62,5 @@ def without_site_lines(questions: DataFrame) -> DataFrame:
         cells = F.arrays_zip(F.split(text, "\n").alias("raw"), _line_keys(F.col("source"), text).alias("key"))
         kept = F.filter(cells, lambda x: x["key"].isNull() | ~F.array_contains(F.col("keys"), x["key"]))
         cleaned = cleaned.withField(field, F.array_join(F.transform(kept, lambda x: x["raw"]), "\n"))
-    rest = rows.join(F.broadcast(lists.select("source")), "source", "left_anti").select("row")
+    rest = rows.join(small(lists.select("source"), BROADCAST_SOURCES), "source", "left_anti").select("row")
     return matched.select(cleaned.alias("row")).unionByName(rest).select("row.*")
