@@ -201,10 +201,10 @@ def _bands(texts: DataFrame) -> DataFrame:
                 h = h * np.uint64(0x100000001B3) + flat[k : k + len(inside)]
             reg = K.hyperminhash(h[inside], no[: len(inside)][inside], part.num_rows, SEEDS, BITS, MANTISSA)
             keys = K.band_keys(reg, ROWS)
-            some = reg.any(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[some].ravel().view(np.int64)), pa.array(np.repeat(part.column("key").to_numpy()[some], keys.shape[1]))], ["band", "content"]
-            )
+            key = part.column("key").to_numpy()
+            _, first = np.unique(key, return_index=True)  # copies within the batch go once
+            first = first[reg[first].any(axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first].ravel().view(np.int64)), pa.array(np.repeat(key[first], keys.shape[1]))], ["band", "content"])
 
     return texts.mapInArrow(bands, "band long, content long")
 
