@@ -321,7 +321,7 @@ def repaired_fields(questions: DataFrame) -> DataFrame:
                 key = tuple(batch.column("site")[int(n)].as_py())
                 if key not in folded:
                     folded[key] = {_fold(x) for x in key}
-                one, new = structure(texts[n], folded[key], truncation.known(formulas, batch.column("formulas")[int(n)].as_py()))
+                one, new = structure(texts[n], folded[key], truncation.known(formulas, batch, int(n)))
                 two, fixed[n] = signs(new)
                 traced[n] = one or two
             names = batch.column("field").to_pylist()

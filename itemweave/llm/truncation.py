@@ -172,9 +172,9 @@ def formula_keys(rows: DataFrame) -> DataFrame:
 
 
 def with_formulas(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, frozenset[int] | None]:
-    """(rows with `formulas`, the keys of each text's formula lines; or null where the second value holds all keys)."""
+    """(rows, all keys), or, where those are too many to travel, (rows with `formulas`, the keys of each text's formula lines, and None)."""
     if keys.count() <= FORMULA_LINES:
-        return rows.withColumn("formulas", F.lit(None).cast("array<long>")), frozenset(r.key & (1 << 64) - 1 for r in keys.collect())
+        return rows, frozenset(r.key & (1 << 64) - 1 for r in keys.collect())
     one = lambda x: F.xxhash64(F.trim(F.regexp_replace(x, SPACE, " ")))
     of = F.xxhash64("text")
     lines = rows.filter(F.col("text").contains("\n")).select(of.alias("of"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), one))).alias("key"))
@@ -182,9 +182,9 @@ def with_formulas(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, frozense
     return rows.withColumn("of", of).join(found, "of", "left").drop("of"), None
 
 
-def known(every: frozenset[int] | None, own: list[int] | None) -> frozenset[int]:
-    """The formula keys that hold for a row of with_formulas()."""
-    return every if every is not None else frozenset(k & (1 << 64) - 1 for k in own or ())
+def known(every: frozenset[int] | None, batch: pa.RecordBatch, n: int) -> frozenset[int]:
+    """The formula keys that hold for row n of a batch of with_formulas()."""
+    return every if every is not None else frozenset(k & (1 << 64) - 1 for k in batch.column("formulas")[n].as_py() or ())
 
 
 def _bands(texts: DataFrame) -> DataFrame:
@@ -291,10 +291,10 @@ def truncated(questions: DataFrame) -> DataFrame:
         w = weights.astype(np.float64)
         for batch in K.bounded(batches, "text"):
             ids, sources, texts, raw, fragments = [], [], [], [], []
-            for i, s, t, own in zip(*(batch.column(c).to_pylist() for c in ("id", "source", "text", "formulas"))):
+            for n, (i, s, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "source", "text")))):
                 if "\n" not in t and shut(t):
                     continue
-                whole, t = t, strip_formulas(t, known(every, own))
+                whole, t = t, strip_formulas(t, known(every, batch, n))
                 if not t or (_END.search(t[-24:]) and not _MARKER.search(t[-24:])):
                     continue
                 f, marked = fragment(plain(t))
