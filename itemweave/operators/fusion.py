@@ -11,15 +11,16 @@ from itemweave.functions.text import match_ratio
 from itemweave.session import written
 
 LEAST_LENGTH, LEAST_RATIO = 12, 0.94
+GRAM = 3  # characters of the runs that two texts are joined on; longer ones are rarer, but a text may lack more of them
 
 
 def near_matches(new: DataFrame, existing: DataFrame) -> DataFrame:
     """(id, similar_to, ratio): for each text of `new` (id, text) of 12 characters or more the best match in `existing`, from a ratio of 0.94.
 
     Candidates differ in length by at most max(8, 20 %). With a ratio of r at most u = (1 - r)(a + b) characters of both
-    texts are unmatched, in at most u + 1 runs, so a text of n characters lacks at most 2u <= 4(1 - r)n/r of its character
-    pairs in the other. Joining the 2u + 1 rarest pairs of each text (prefix filter) therefore loses no match. Equal texts
-    are one candidate. Ties: smallest id.
+    texts are unmatched; each of them breaks at most GRAM runs of GRAM characters, so a text of n characters lacks at most
+    2 GRAM (1 - r)n/r of its runs in the other. Joining one more than that of each text's rarest runs (prefix filter) therefore
+    loses no match. Equal texts are one candidate. Ties: smallest id.
     """
     def texts(df: DataFrame) -> DataFrame:
         one = df.filter(F.length("text") >= 1).groupBy("text").agg(F.min("id").alias("owner"))
@@ -27,14 +28,14 @@ def near_matches(new: DataFrame, existing: DataFrame) -> DataFrame:
 
     a = written(texts(new.filter(F.length("text") >= LEAST_LENGTH)), "near-new")
     b = written(texts(existing), "near-old")
-    pair = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
-    grams = lambda df: df.filter("n > 1").select("k", "n", F.posexplode(pair(F.col("text"))).alias("i", "g"))
+    runs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - GRAM + 1), lambda i: F.xxhash64(F.substring(t, i, F.lit(GRAM))))
+    grams = lambda df: df.filter(F.col("n") >= GRAM).select("k", "n", F.explode(runs(F.col("text"))).alias("g"))
     numbered = lambda df: grams(df).groupBy("k", "n", "g").agg(F.count("*").alias("m")).select("k", "n", F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("j"), "g")
     ga, gb = numbered(a), numbered(b)
     rarity = ga.select("g", "j").unionByName(gb.select("g", "j")).groupBy("g", "j").agg(F.count("*").alias("df"))
 
     def prefix(df: DataFrame) -> DataFrame:
-        loss = F.floor(F.col("n") * (4 * (1 - LEAST_RATIO) / LEAST_RATIO))
+        loss = F.floor(F.col("n") * (2 * GRAM * (1 - LEAST_RATIO) / LEAST_RATIO))
         ranked = df.join(rarity, ["g", "j"]).withColumn("r", F.row_number().over(W.partitionBy("k").orderBy("df", "g", "j")))
         return ranked.filter(F.col("r") <= loss + 1).select("k", "n", "g", "j")
 
