@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from itemweave.functions.text import scanned_number
+from itemweave.operators.fusion import align_sequences
 from itemweave.schema import LETTERS
 
 # The formats of answer lines, options, ranges, printed labels, member numbers, sentence ends, and empty entries.
@@ -18,6 +19,9 @@ ANSWER_LINE = r"(?i)^(?:(?:[0-9IL&]{1,3})[.．、,，·一—-]?|[&·一—-])?[
 ANSWER = r"(?i)[答荅][案秦].*?([A-E])(?:\b|$)"
 OPTION = re.compile(r"([A-Fa-f])[.．、,，:：]\s*(.*)")
 RANGE = r"[（(〈]?([1-9]\d{0,2})\s*[、～~至-]\s*([1-9]\d{0,2})[^0-9]{0,8}共用(题干|[各备]选答(?:案|秦)?)"
+HEADING = re.compile(r"第\s*[一二三四]\s*单元|型题|[〈<]第?\d+页[〉>]|" + RANGE)
+SHARED = re.compile(r"^.*共用题干[：:]?")
+LEADING = re.compile(r"[（(]?([0-9ILil&]{1,3})[.．、,，·]?\s*(.*)", re.DOTALL)
 LABEL = r"[【〖]?解析[】〗]?"
 MEMBER = r"[【〖]?\s*[1-4]\s*[】〗]"
 SENTENCE = r"(?:(?!解析)[^。；;【】〖〗])+[。；;]?"
@@ -189,22 +193,92 @@ def option_runs(texts: list[str]) -> list[dict]:
             end()
     if now:
         sets.append(now)
-    return [{"context": s["context"], "options": {k: "".join(s["options"].get(k, [])).strip() for k in LETTERS}} for s in sets]
+    after = [s["context"] for s in sets[1:]] + [list(held)]  # what follows a set stands before the next one
+    return [{"context": s["context"], "after": a, "options": {k: "".join(s["options"].get(k, [])).strip() for k in LETTERS}} for s, a in zip(sets, after)]
+
+
+def leading(text: str) -> tuple[int, str] | None:
+    """(number of 1 to 600 at the start of a line, with I and L read as 1 and & as 8; the rest of the line)."""
+    m = LEADING.match(text)
+    if not m or not re.search(r"\d", m[1]):
+        return None
+    number = int(m[1].upper().translate(str.maketrans("IL&", "118")))
+    return (number, m[2]) if 1 <= number <= 600 else None
+
+
+def _joined(lines: list[str], noise: tuple[str, ...]) -> str:
+    """The lines as one text, without headings, ranges and lines that hold a noise word, and without marks at its ends."""
+    said = (t for t in lines if not HEADING.search(t) and not any(x.lower() in t.lower() for x in noise))
+    return "".join(said).strip(".．、,，:：")
+
+
+def prompt_of(context: list[str], number: int, noise: tuple[str, ...] = ()) -> str:
+    """The question before an option set: from the last line with its number on, or the last three lines where no line has it."""
+    at = max((i for i, t in enumerate(context) if (leading(t) or (0,))[0] == number), default=None)
+    if at is None:
+        kept = [t for t in context if _joined([t], noise)]
+        return _joined(kept[-3:], noise)
+    return _joined([leading(context[at])[1], *context[at + 1 :]], noise)
+
+
+def shared_stem_of(context: list[str], number: int, noise: tuple[str, ...] = ()) -> str:
+    """The stem that the questions of a group share: from the last mark of such a stem to the first line with the number; '' without either."""
+    plain = [i for i, t in enumerate(context) if not re.search(RANGE, t) and "共用题干" not in t and (leading(t) or (0,))[0] == number]
+    marks = [i for i, t in enumerate(context[: plain[0]]) if "共用题干" in t] if plain else []
+    if not marks:
+        return ""
+    return _joined([SHARED.sub("", context[marks[-1]]), *context[marks[-1] + 1 : plain[0]]], noise).lstrip(")）")
+
+
+def member_prompts(after: list[str], numbers: list[int], noise: tuple[str, ...] = ()) -> dict[int, str]:
+    """The questions below shared options by number; one ends where another number, a range or an option begins."""
+    starts = {i: leading(t) for i, t in enumerate(after)}
+    ends = [i for i, t in enumerate(after) if starts[i] or re.search(RANGE, t) or OPTION.fullmatch(t)] + [len(after)]
+    out: dict[int, str] = {}
+    for i, found in starts.items():
+        if found and found[0] in numbers and found[0] not in out:
+            out[found[0]] = _joined([found[1], *after[i + 1 : next(e for e in ends if e > i)]], noise)
+    return out
+
+
+def read_sets(lines: DataFrame, layout: DataFrame, paper: list[str], noise: tuple[str, ...] = ()) -> DataFrame:
+    """(*paper, set_first, set_no, type, number, prompt, shared_stem, options) of the expected numbers of each paper.
+
+    layout: (*paper, type, number, set_first), as layout() gives them. The option sets found among the lines are aligned with the
+    expected sets by the number before them; numbers of a set that wasn't found have no text. B1 questions are below their set.
+    """
+    seen = option_sets(lines, paper)
+    known = F.filter(F.transform("context", scanned_number), lambda n: n.isNotNull())
+    observed = seen.select(*paper, F.col("set_no").alias("pos"), F.try_element_at(known, F.lit(-1)).alias("number"))
+    wanted = layout.select(*paper, F.col("set_first").alias("ord"), F.col("set_first").alias("number")).distinct()
+    placed = align_sequences(observed, wanted, paper).select(*paper, F.col("number").alias("set_first"), F.col("pos").alias("set_no"))
+    rows = layout.select(*paper, "type", "number", "set_first").join(placed, [*paper, "set_first"]).join(seen, [*paper, "set_no"], "left")
+
+    @F.pandas_udf("prompt string, shared_stem string")
+    def texts(kind: pd.Series, number: pd.Series, context: pd.Series, after: pd.Series) -> pd.DataFrame:
+        out = []
+        for k, n, c, a in zip(kind, number, context, after):
+            before, behind = list(c) if c is not None else [], list(a) if a is not None else []
+            own = member_prompts(behind, [n], noise).get(n, "") if k == "B1" else prompt_of(before, n, noise)
+            out.append((own, shared_stem_of(before, n, noise) if k == "A3" else ""))
+        return pd.DataFrame(out, columns=["prompt", "shared_stem"])
+
+    return rows.withColumn("x", texts("type", "number", "context", "after")).select(*paper, "set_first", "set_no", "type", "number", "x.prompt", "x.shared_stem", "options")
 
 
 def option_sets(lines: DataFrame, paper: list[str]) -> DataFrame:
-    """(*paper, set_no, context, options, missing) of each paper's lines in page order; one paper is one task, a few thousand lines."""
+    """(*paper, set_no, context, after, options, missing) of each paper's lines in page order; one paper is one task, a few thousand lines."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = {k: pdf[k].iloc[0] for k in paper}
         ordered = pdf.sort_values(["page", "column", "row", "line"])["text"].tolist()
         return pd.DataFrame(
-            [{**keys, "set_no": n, "context": s["context"], "options": s["options"], "missing": [k for k in LETTERS if not s["options"][k]]} for n, s in enumerate(option_runs(ordered), 1)],
-            columns=[*paper, "set_no", "context", "options", "missing"],
+            [{**keys, "set_no": n, "context": s["context"], "after": s["after"], "options": s["options"], "missing": [k for k in LETTERS if not s["options"][k]]} for n, s in enumerate(option_runs(ordered), 1)],
+            columns=[*paper, "set_no", "context", "after", "options", "missing"],
         )
 
     kinds = dict(lines.dtypes)
-    return lines.groupBy(*paper).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in paper) + ", set_no int, context array<string>, options map<string,string>, missing array<string>")
+    return lines.groupBy(*paper).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in paper) + ", set_no int, context array<string>, after array<string>, options map<string,string>, missing array<string>")
 
 
 def layout(ranges: DataFrame) -> DataFrame:

@@ -179,6 +179,23 @@ def scanned_option_sets(spark):
     return rows.select("set_no", F.array_join("context", "|").alias("context"), texts.alias("options"), F.array_join("missing", "").alias("missing"))
 
 
+_PAGE = [
+    "第一单元", "1.甲问", "续甲", "A.一", "B.二", "C.三", "D.四", "E.五", "（2～3题共用题干）", "共用题干：病例文", "某水印", "2.乙问", "A.a", "B.b", "C.c", "D.d", "E.e", "3.丙问", "A.f", "B.g", "C.h", "D.i", "E.j",
+    "（5～6题共用备选答案）", "A.甲", "B.乙", "C.丙", "D.丁", "E.戊", "5.戊问", "续戊", "6.己问", "（7～8题共用备选答案）",
+]
+
+
+@_gives(
+    "number int, set_first int, prompt string, shared_stem string, b string",
+    (1, 1, "甲问续甲", "", "二"), (2, 2, "乙问", "病例文", "b"), (3, 3, "丙问", "", "g"), (4, 4, "", "", None), (5, 5, "戊问续戊", "", "乙"), (6, 5, "己问", "", "乙"),
+)
+def scanned_questions(spark):
+    """Option sets aligned with the expected numbers (4 is missing), with their questions and shared stems."""
+    wanted = _table(spark, "paper string, type string, number int, set_first int", ("p", "A1/A2", 1, 1), ("p", "A3", 2, 2), ("p", "A3", 3, 3), ("p", "A1/A2", 4, 4), ("p", "B1", 5, 5), ("p", "B1", 6, 5))
+    rows = scanned_bank.read_sets(_scan_lines(spark, *_PAGE), wanted, ["paper"], ("某水印",))
+    return rows.select("number", "set_first", "prompt", "shared_stem", F.try_element_at("options", F.lit("B")).alias("b"))
+
+
 @_gives(
     "number int, set_first int, group_id string",
     (1, 1, None), (2, 2, None), (3, 3, "2021-U1-B1-003-004"), (4, 3, "2021-U1-B1-003-004"), (5, 5, "2021-U1-B1-005-006"), (6, 5, "2021-U1-B1-005-006"), (7, 7, "2021-U1-B1-007-007"),
