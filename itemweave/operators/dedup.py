@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +31,16 @@ def block_dedup(items: DataFrame, fingerprint: str, block: str, order: str) -> D
     return lookup_join(bags, kept, "bag", "n").select(F.col(block).alias("block"), "kept_block")
 
 
-def sequential_block_dedup(items: DataFrame, key: str, block: str, order: str, max_rounds: int = 200) -> DataFrame:
+def sequential_block_dedup(items: DataFrame, key: str, block: str, order: str) -> DataFrame:
     """(block, dropped): blocks taken in order; a block with any key that an accepted earlier block had is dropped whole.
 
     A dropped block's keys don't count as seen, so the decision depends on the sequence: it is the first maximal independent
     set in the order. Rounds decide it without walking the sequence: a block that comes first for each of its keys is
     accepted, whatever shares a key with it is dropped, and both leave. Every round is two aggregates by key and a written
-    table; no key's blocks meet in one task, and the number of rounds follows the longest chain of dependent blocks.
+    table; no key's blocks meet in one task, and the number of rounds follows the longest chain of dependent blocks. Every round
+    decides at least the first block left, so there is an end.
     Null and empty keys never collide.
     """
-    spark = items.sparkSession
     pairs = items.filter(F.col(key) != "").groupBy(F.col(block).alias("block"), F.col(key).alias("key")).agg(F.min(order).alias("ord"))
     # a block's place is that of its first item
     places = items.groupBy(F.col(block).alias("block")).agg(F.struct(F.min(order).alias("o"), F.first(block).alias("b")).alias("place"))
@@ -46,7 +48,7 @@ def sequential_block_dedup(items: DataFrame, key: str, block: str, order: str, m
     contested = lookup_join(pairs, repeated, "key", "n").select("block").distinct()  # all other blocks stay, whatever happens
     left = written(pairs.select("block", "key").join(contested, "block", "left_semi").join(places, "block"), "blocks")
     dropped = None
-    for _ in range(max_rounds):
+    for n in count(1):
         firsts = written(left.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n")), "blocks")
         seen = lookup_join(left, firsts, "key", "n").select("block", "key", "n", (F.col("place") == F.col("first")).alias("leads"))
         accepted = written(seen.groupBy("block").agg(F.min("leads").alias("all")).filter("all").select("block"), "blocks")
@@ -54,13 +56,11 @@ def sequential_block_dedup(items: DataFrame, key: str, block: str, order: str, m
         losers = lookup_join(left, taken, "key", "n").select("block").distinct().join(accepted, "block", "left_anti")
         losers = written(losers, "blocks")
         dropped = losers if dropped is None else dropped.unionByName(losers)
+        if n % 20 == 0:  # a long chain doesn't become a long plan
+            dropped = written(dropped, "blocks")
         left = written(left.join(accepted.unionByName(losers), "block", "left_anti"), "blocks")
         if left.isEmpty():
             break
-    else:
-        raise RuntimeError(f"undecided blocks after {max_rounds} rounds")
-    if dropped is None:
-        dropped = spark.createDataFrame([], "block string")
     return places.select("block").join(dropped.distinct().withColumn("hit", F.lit(True)), "block", "left").select("block", F.coalesce("hit", F.lit(False)).alias("dropped"))
 
 

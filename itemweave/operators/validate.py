@@ -55,20 +55,21 @@ def unique_names(subjects: DataFrame) -> DataFrame:
     return subjects
 
 
-def fuse_readings(layout: DataFrame, readings: list[DataFrame], least: float = 0.72) -> tuple[DataFrame, DataFrame]:
+def fuse_readings(layout: DataFrame, readings: list[DataFrame], least: float | dict[str, float] = 0.72) -> tuple[DataFrame, DataFrame]:
     """(fused, disagreements) of readings (ord, field, text) of one layout (ord), the first preferred.
 
     fused: (ord, field, text), the first reading that isn't blank; disagreements: (ord, field, ratio) where the first two that are
-    not blank agree less than `least`.
+    not blank agree less than `least`, which may differ by field.
     """
     sides = None
     for n, r in enumerate(readings):
         side = r.select("ord", "field", F.nullif(F.trim("text"), F.lit("")).alias(f"t{n}"))
         sides = side if sides is None else sides.join(side, ["ord", "field"], "full")
     rows = sides.join(layout.select("ord").distinct(), "ord", "left_semi").withColumn("found", F.array_compact(F.array(*(f"t{n}" for n in range(len(readings))))))
+    bound = F.lit(least) if not isinstance(least, dict) else F.try_element_at(F.create_map(*(F.lit(x) for kv in least.items() for x in kv)), F.col("field"))
     fused = rows.filter(F.size("found") > 0).select("ord", "field", F.element_at("found", 1).alias("text"))
     pairs = rows.filter(F.size("found") > 1).select("ord", "field", F.element_at("found", 1).alias("a"), F.element_at("found", 2).alias("b"))
-    return fused, pairs.select("ord", "field", F.round(match_ratio("a", "b"), 3).alias("ratio")).filter(F.col("ratio") < least)
+    return fused, pairs.select("ord", "field", F.round(match_ratio("a", "b"), 3).alias("ratio")).filter(F.col("ratio") < bound)
 
 
 def excluded(layout: DataFrame, fused: DataFrame, answers: DataFrame, fields: list[str]) -> DataFrame:

@@ -251,6 +251,37 @@ def dealt_explanations(spark):
     return scanned_bank.distributed_explanations(rows)
 
 
+def _built(spark: SparkSession):
+    layout = _table(spark, "paper string, type string, number int, set_first int", ("p", "A1/A2", 1, 1), ("p", "A3", 2, 2), ("p", "A3", 3, 3), ("p", "A1/A2", 4, 4), ("p", "B1", 5, 5), ("p", "B1", 6, 5))
+    layout = layout.withColumn("group_id", F.when(F.col("type") == "A3", "g"))
+    other = [{"C.三": "C.散三三散", "B.乙": "B.乙", "1.甲问": "1.甲问甲问甲问甲问甲问"}.get(t, t) for t in _PAGE if t != "A.一"]
+    keys = _table(spark, "paper string, number int, answer string", ("p", 1, "A"), ("p", 2, "B"), ("p", 3, "C"), ("p", 4, "D"), ("p", 5, "E"), ("p", 6, None))
+    return scanned_bank.build_papers([_scan_lines(spark, *_PAGE), _scan_lines(spark, *other)], layout, keys, ["paper"], ("某水印",))
+
+
+@_gives("number int, prompt string, shared_stem string, c string, answer string", (1, "甲问续甲", None, "三", "A"), (2, "乙问", "病例文", "c", "B"), (3, "丙问", "病例文", "h", "C"), (5, "戊问续戊", None, "丙", "E"))
+def built_papers(spark):
+    """Items of a paper that was read twice; 4 was not found and 6 has no answer."""
+    return _built(spark)[0].select("number", "prompt", "shared_stem", F.try_element_at("options", F.lit("C")).alias("c"), "answer")
+
+
+@_gives("number int, reason string", (4, "field"), (6, "answer"))
+def built_exclusions(spark):
+    return _built(spark)[1].select("number", "reason")
+
+
+@_gives("number int, field string, ratio double", (1, "option-A", 0.0), (1, "option-C", 0.4), (1, "prompt", 0.429))
+def built_disagreements(spark):
+    """The second reading lost its first option, so it took the line before, and read two texts differently."""
+    return _built(spark)[2].select("number", "field", "ratio")
+
+
+@_gives("n int, clean string", (1, "女子之病"), (2, "正文"), (3, "5mmol，完。"))
+def cleaned_by_default(spark):
+    rows = _table(spark, "n int, t string", (1, "女于之病。12.一点笔记"), (2, "正文<第12页>以后"), (3, "5mmo1，完。 45."))
+    return rows.select("n", scanned_bank.rewritten(F.col("t")).alias("clean"))
+
+
 @_gives("n int, clean string", (1, "甲子之病"), (2, "正文"), (3, "完。"), (4, ""))
 def cleaned_texts(spark):
     rows = _table(spark, "n int, t string", (1, "甲于之病。12.某水印"), (2, "正文第12页以后"), (3, "完。 45."), (4, None))

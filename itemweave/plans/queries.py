@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -554,6 +555,13 @@ def quality_issue_counts(q):
     return quality.issue_counts(rows, "issue_type")
 
 
+@_on("questions", sql=_SCANNED + " select field_group, issue_type, count(*) as issues, count(distinct id) as ids from (select distinct id, field, field_group, issue_type from found) group by all")
+def scan_report(q):
+    """Candidates by kind of field and issue, for the rules that are literal patterns."""
+    rows = quality.scan_candidates(q).filter(~F.col("issue_type").isin("unbalanced-brackets", "possible-next-question-number"))
+    return quality.issue_counts(rows, "field_group", "issue_type")
+
+
 @_on("questions", sql=f"""
 with t as (select id, field, text from ({_CELLS}) where regexp_matches(text, '[（()）【】〖〗\\[\\]]')),
 c as (select id, field, unnest(string_split(text, '')) as c, unnest(generate_series(1, length(text))) as i from t),
@@ -732,6 +740,19 @@ def repeated_explanations(q):
     return quality.repeated_explanations(q)
 
 
+@_on("questions", sql=" union all ".join(
+    f"select '{n}' as kind, count(*) as found from ({SQL[n]})" for n in ("placeholder_stems", "stated_answer_conflicts", "duplicate_answer_conflicts", "answer_not_explained", "repeated_explanations", "group_member_issues")
+) + f" union all select 'neighbour_overlap', count(*) from ({SQL['neighbour_overlap']}) where suspect")
+def subject_quality_report(q):
+    """How much each rule of the subject audit finds."""
+    parts = {
+        "placeholder_stems": placeholder_stems(q), "stated_answer_conflicts": stated_answer_conflicts(q), "duplicate_answer_conflicts": duplicate_answer_conflicts(q), "answer_not_explained": answer_not_explained(q),
+        "repeated_explanations": repeated_explanations(q), "group_member_issues": group_member_issues(q), "neighbour_overlap": neighbour_overlap(q).filter("suspect"),
+    }
+    rows = [df.agg(F.count("*").alias("found")).select(F.lit(n).alias("kind"), "found") for n, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @_on("questions", sql=f"""
 with r as (select group_id, nullif(nullif({_TRIM.replace("text", "coalesce(explanation, '')")}, ''), '原文件未提供解析。') as given from questions where type = 'B1' and group_id <> '')
 select group_id, case when count(given) = 0 then 'none' when count(given) < count(*) then 'merged' when count(distinct given) = 1 then 'shared' else 'individual' end as policy,
