@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemweave.operators.skew import lookup_join
+from itemweave.operators.skew import HOT_ROWS, lookup_join
 from itemweave.session import written
 
 
@@ -19,17 +19,25 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     links = edges.select("a", "b").filter("a is not null and b is not null and a <> b")
     links = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    size = links.count()
+
+    def with_low(rows: DataFrame, low: DataFrame) -> DataFrame:
+        if 2 * size <= HOT_ROWS:  # no node has so many edges, and stars never add any
+            return rows.join(low, "a")
+        return lookup_join(rows, written(low, "cc-low"), "a", "n")
+
     for _ in range(max_rounds):
         # large star: all larger neighbours of a node point to the minimum around it
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count("*").alias("n")), "cc-low")
-        large = lookup_join(both, low, "a", "n").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count("*").alias("n"))
+        large = with_low(both, low).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
         large = written(large, "cc")
         # small star: all smaller neighbours and the node itself point to the minimum among them
-        low = written(large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")), "cc-low")
-        small = lookup_join(large, low, "a", "n").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
+        low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+        small = with_low(large, low).select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
         small = written(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "cc")
-        same = small.count() == links.count() and small.join(links, ["a", "b"], "left_anti").isEmpty()
+        before, size = size, small.count()
+        same = size == before and small.join(links, ["a", "b"], "left_anti").isEmpty()
         links = small
         if same:
             break

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from itemweave.operators import bank, dedup, merge, patches, sequence
+from itemweave.operators import components
 from itemweave.operators.components import connected_components
 from itemweave.operators.skew import lookup_join
 
@@ -87,7 +88,7 @@ def test_lookup_join_splits_hot_keys(spark):
         assert sorted(r.w for r in lookup_join(rows, look, "k", "n", hot_rows=hot).collect()) == ["cold"] + ["hot"] * 50
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(1)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(100, i) for i in range(101, 140)]
     parent = {}
@@ -105,6 +106,8 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    monkeypatch.setattr(components, "HOT_ROWS", 0)  # minima by lookup
+    assert {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == got
 
 
 def test_merge_rules(spark):
