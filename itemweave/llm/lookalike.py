@@ -217,8 +217,14 @@ def _rewritten(texts: DataFrame, to: dict[str, str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rewrite = rewriter(to)
+        last = np.zeros(0x110000, bool)  # a text without the last character of any string to rewrite stays as it is
+        last[[ord(x[-1]) for x in to if x]] = True
         for batch in K.bounded(batches, "text", 10_000):
-            done = [rewrite(x) for x in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            flat, no = K.codepoints(texts)
+            touched = np.zeros(len(texts), bool)
+            touched[no[last[flat]]] = True
+            done = [rewrite(x) if t else (x, False) for x, t in zip(texts, touched.tolist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "field", "text")), pa.array([x for x, _ in done], pa.string()), pa.array([c for _, c in done], pa.bool_())], ["id", "field", "text", "consistent", "case"])
 
     return texts.mapInArrow(run, "id string, field string, text string, consistent string, case boolean")
