@@ -8,11 +8,13 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -45,19 +47,35 @@ def scratch_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Cut the lineage: write `df` as a Parquet table into the shared folder and read it back.
 
     The table outlives lost executors, and its columns are stored compressed, unlike a checkpoint's rows. Tables are deleted
-    when the driver ends, or by clear_scratch() as soon as no result that reads them is needed any more.
+    when the driver ends, or by clear_scratch() as soon as no result that reads them is needed any more. With `free`, the files
+    of its shuffles are deleted as soon as it is written, instead of when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/itemweave-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE, None)
+    if free:
+        spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(*tables: DataFrame) -> None:
+    """Delete tables of written(), or selections of one, that nothing reads any more."""
+    for table in tables:
+        for path in {unquote(file.rpartition("/")[0]) for file in table.inputFiles()}:
+            system, name = _path(table.sparkSession, path)
+            system.delete(name, True)
+
+
 def _path(spark: SparkSession, path: str):
     """(file system, path) on the JVM side."""
     context = spark.sparkContext

@@ -177,3 +177,53 @@ def test_a_hot_item_with_two_contents(items, sentence):
     rows += [{"id": f"o{i}", "stem": sentence((i, 5), 40), "options": {"A": "x"}, "explanation": sentence((i, 6), 80)} for i in range(60)]
     got = {tuple(r) for r in near_dups.near_duplicates(items(*rows)).collect()}
     assert got == {("edit", f"h{i:03d}") for i in range(60)}
+
+
+def test_no_table_grows_with_the_chance_meetings_of_a_template(spark, items, sentence, monkeypatch):
+    """200 unrelated items of one template meet in thousands of buckets, most of them large; no step writes those meetings or all runs."""
+    written, sizes = near_dups.written, {}
+
+    def counted(df, name, **more):
+        out = written(df, name, **more)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dups, "written", counted)
+    monkeypatch.setattr(near_dups, "BUCKET_CAP", 4)
+    template = sentence("t", 50)
+    rows = [{"id": f"q{i:03d}", "stem": template[:25] + sentence((i, "s"), 25), "options": {"A": f"甲{i}"}, "explanation": template[25:] + sentence((i, "e"), 25)} for i in range(200)]
+    rows.append(rows[0] | {"id": "edit", "stem": rows[0]["stem"] + "又"})
+    sets = [grams(r) for r in rows]
+    alike = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(200) for j in range(i)]
+    assert 0.3 < min(alike) and max(alike) < 0.45
+    assert {tuple(r) for r in near_dups.near_duplicates(items(*rows)).collect()} == {("edit", "q000")}
+    assert max(sizes.values()) <= 2 * len(rows), sizes
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+@pytest.mark.parametrize("cap", [2, 70, 1024])
+def test_bucket_pairs_against_all_pairs(monkeypatch, cap):
+    """Small and large buckets, copies, and contents that differ in about a fifth or a half of their marks."""
+    monkeypatch.setattr(near_dups, "BUCKET_CAP", cap)
+    rng = np.random.default_rng(cap)
+    base = rng.integers(0, 2**63, (7, near_dups.MARKS // 64)).astype(np.uint64)
+    entries = np.empty(400, near_dups.ENTRY)
+    entries["content"] = rng.integers(-150, 150, 400)
+    flips = lambda: np.bitwise_and.reduce(rng.integers(0, 2**63, (3, base.shape[1])).astype(np.uint64))
+    marks = {c: base[c % 7] ^ flips() for c in range(-150, 150)}
+    entries["marks"] = [marks[c] for c in entries["content"].tolist()]
+    entries["band"] = np.where(np.arange(400) < 250, 5, rng.integers(6, 60, 400))
+    differing = lambda a, b: sum(bin(int(x)).count("1") for x in marks[a] ^ marks[b])
+    places = set(zip(entries["band"].tolist(), entries["content"].tolist()))
+    limit = (1 - near_dups.THRESHOLD + near_dups.MARK_SLACK) * near_dups.MARKS / 2
+    want = {(x, a, b) for x, a in places for y, b in places if x == y and a < b and differing(a, b) <= limit}
+    got = [(a, b) for pair in near_dups._bucket_pairs(entries) for a, b in zip(*(x.tolist() for x in pair))]
+    assert len(got) == len(want) > 500 and set(got) == {w[1:] for w in want}
+
+
+def test_texts_that_travel_in_several_rounds(items, sentence, monkeypatch):
+    rows = bank(3, sentence, 30)
+    q = items(*rows)
+    once = sorted(tuple(r) for r in near_dups.near_duplicates(q).collect())
+    monkeypatch.setattr(near_dups, "VERIFIED", 3)
+    assert sorted(tuple(r) for r in near_dups.near_duplicates(q).collect()) == once and len(once) > 10
